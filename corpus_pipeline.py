@@ -1,12 +1,68 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Language identification, quality, near-duplicates, mixing and tokens, in this order. Every stage works on
+all rows that its predecessor kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.llm.bpe import encode_documents
+from scriptorium.llm.common import read, staged
+from scriptorium.llm.langid import UNKNOWN, identify
+from scriptorium.llm.mixing import mix
+from scriptorium.llm.simhash import near_duplicates
+from scriptorium.llm.site_quality import site_quality
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told."""
+    told = identify(docs, keep=tuple(docs.columns))
+    return told.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior quality is high enough."""
+    judged = site_quality(docs, read(spark, sf_dir, "labels"), keep=tuple(docs.columns))
+    return judged.where("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id, and of rows that share it one.
+
+    Rows without a doc_id can't be named, so they stay.
+    """
+    groups = near_duplicates(docs)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources, languages and topics come near their target shares of tokens."""
+    return mix(docs).where("sampled").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, their number, and digests of the ids and of what they decode to."""
+    return encode_documents(docs, want=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("language identification", language),
+    ("quality classifier", quality),
+    ("SimHash near-duplicates", near_dedup),
+    ("mixing to target weights", mixing),
+    ("byte-level BPE", tokens),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

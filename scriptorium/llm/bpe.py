@@ -65,6 +65,7 @@ class Codec:
         self.bytes_of = dict(map(reversed, ranks.items()))
         library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.merge, self.whole = library._core_bpe.encode_single_piece, library.encode_ordinary
+        self.packed = library._core_bpe.encode_to_tiktoken_buffer
         self.pieces = regex.compile(pattern).findall
         self.text_leaf, self.piece_leaf = text_leaf, piece_leaf
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -131,6 +132,12 @@ class Codec:
         rest = b[len(self.span(right[:j])) :] if j < len(right) else []
         return kept + self.span(left[i:] + right[:j]) + rest
 
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of a text as little-endian 16-bit integers; leaves stay packed until they are joined."""
+        if len(text) <= self.text_leaf:
+            return np.frombuffer(self.packed(text, frozenset()), np.uint32).astype("<u2").tobytes()
+        return np.asarray(self.encode(text), "<u2").tobytes()
+
     def encode(self, text: str) -> list[int]:
         if len(text) <= self.text_leaf:
             return self.whole(text)
@@ -153,7 +160,7 @@ def outputs(codec: Codec, text: str, want: tuple[str, ...]) -> dict:
         whole = codec.decode(ids)
         row |= {"decoded": whole, "decoded_sha256": hashlib.sha256(whole).hexdigest()}
     if "token_bytes" in want:
-        row["token_bytes"] = np.array(ids, "<u2").tobytes()
+        row["token_bytes"] = np.asarray(ids, "<u2").tobytes()
     return row
 
 

@@ -7,15 +7,41 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import held_out, read
+from .html_text import extract
 from .langid import identify
+from .maxscore import top_k
+from .mixing import mix
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
+from .site_quality import site_quality
+from .sql import SQL
+from .toxicity import score_documents, train
+from .training_order import training_order
+
+
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(read(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = score_documents(docs, train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), "sampled")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), want=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -24,11 +50,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), keep=("doc_id", "source", "lang"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(read(spark, sf_dir, "documents"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_bpe, op7_simhash, op10_language_id)}
-
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_training_order, op2_quality_rules, op3_toxicity, op4_maxscore, op5_mixing, op6_bpe, op7_simhash, op8_html_text, op9_site_quality, op10_language_id)
+}
