@@ -19,7 +19,7 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     p = k / n
     mid = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    return F.when(mid.isNotNull(), F.greatest(F.lit(0.0), mid - half)), F.when(mid.isNotNull(), F.least(F.lit(1.0), mid + half))
 
 
 def log_log_interval(s: Column, greenwood: Column, z: float = 1.96, least: float = 1e-12) -> tuple[Column, Column]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -109,7 +109,8 @@ def marc_bodies(records: DataFrame) -> DataFrame:
     own = F.filter("datafields", lambda d: (d["_tag"] == "016") & (last(parts(d, "2")) == "DE-600") & last(parts(d, "a")).isNotNull())
     zdb = F.coalesce(F.try_element_at(F.transform(own, lambda d: last(parts(d, "a"))), F.lit(1)), F.lit("N/A"))
     name = lambda d: F.array_join(F.transform(F.filter(d["marc:subfield"], lambda s: s["_code"].isin("a", "b")), lambda s: F.when(s["_code"] == "b", F.concat(F.lit("("), s["_VALUE"], F.lit(")"))).otherwise(s["_VALUE"])), " ")
-    tagged = F.flatten(F.array(*[F.filter("datafields", lambda d, t=t: d["_tag"] == t) for t in ("110", "710", "610")]))
+    of_tag = lambda t: F.filter("datafields", lambda d: d["_tag"] == t)
+    tagged = F.flatten(F.array(*[of_tag(t) for t in ("110", "710", "610")]))
     rows = F.transform(tagged, lambda d: F.struct(name(d).alias("corporate_body"), F.coalesce(last(parts(d, "0")), F.lit("N/A")).alias("koeref")))
     return records.select(zdb.alias("zdb_id"), F.explode(F.filter(rows, lambda r: r["corporate_body"] != "")).alias("r")).select("zdb_id", "r.*")
 
@@ -128,13 +129,9 @@ def table_rows(pages: DataFrame, key: str, html: str, anchor: str, columns: int
     cells and the heading are left out. Links are those of the second cell.
     """
     after = F.regexp_extract(html, rf'(?is)(?:id|name)\s*=\s*"{anchor}".*?(<table.*?</table>)', 1)
-    row = F.posexplode(F.regexp_extract_all(after, F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("position", "row")
     each = pages.select(key, after.alias("t")).select(key, F.posexplode(F.regexp_extract_all("t", F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("position", "row"))
-    del row
     cells = F.regexp_extract_all("row", F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))
     told = each.select(key, "position", F.when(F.col("row").rlike(rf'(?i)colspan\s*=\s*"?{columns}'), text_of_html(F.col("row"))).alias("named"), cells.alias("raw"))
-    from pyspark.sql import Window
-
     filled = told.withColumn("area", F.last("named", ignorenulls=True).over(Window.partitionBy(key).orderBy("position")))
     kept = filled.where(F.col("named").isNull() & (F.size("raw") == columns))
     out = kept.select(key, "position", "area", *[text_of_html(F.get("raw", F.lit(i))).alias(f"c{i}") for i in range(columns)], anchor_of(F.get("raw", F.lit(1))).alias("link"))
