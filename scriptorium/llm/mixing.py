@@ -98,7 +98,7 @@ def calibrated(cells: DataFrame, fraction: float = FRACTION, rounds: int = SCALE
     scale = fraction
     for _ in range(rounds):
         kept = cells.agg(F.sum(F.col("tokens") / total * F.least(F.lit(1.0), F.lit(scale) * ratio)).alias("k")).first()["k"]
-        if not kept or abs(kept - fraction) < 1e-6 * fraction:
+        if not kept:
             break
         scale *= fraction / kept
     return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(scale) * ratio))

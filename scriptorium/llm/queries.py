@@ -24,7 +24,8 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read(spark, sf_dir, "documents"))
+    judged = quality_rules(read(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "base_failed", "kept")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,87 @@
-"""SQL that says what some of the corpus queries return."""
+"""SQL that says what some of the corpus queries return.
+
+Tokens, XXH64 fingerprints, fitted models and page trees have no counterpart in SQL; their queries are held
+against brute force in the tests.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from .maxscore import EVERY, SCALE, K
+from .mixing import FRACTION, MARGINS, ROUNDS, SCALE_ROUNDS, SEED, Margin
+from .quality_rules import RULES, STOP_WORDS
+
+SPACE = r"[\x20\x09-\x0D]"
+
+
+def quality() -> str:
+    stops = ", ".join(f"'{w}'" for w in sorted({w for v in STOP_WORDS.values() for w in v}))
+    ratios = {
+        "mean_word_length": "word_chars / greatest(n_words, 1)",
+        "symbols_per_word": "n_symbols / greatest(n_words, 1)",
+        "stop_word_ratio": "n_stop_words / greatest(n_words, 1)",
+        "duplicate_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+        "ellipsis_line_ratio": "n_ellipsis_lines / greatest(n_lines, 1)",
+        "bullet_line_ratio": "n_bullet_lines / greatest(n_lines, 1)",
+    }
+    tests = [f"{ratios[r.metric]} {sign} {bound!r}" for r in RULES for sign, bound in ((">=", r.least), ("<=", r.most)) if bound is not None]
+    return rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+  w as (select *, list_filter(regexp_split_to_array(t, '{SPACE}+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+  g as (select r, i, count(*) over (partition by r, w[i], w[i + 1], w[i + 2]) as n from (select r, w, unnest(range(1, len(w) - 1)) as i from w)),
+  c as (select r, count(distinct i + k) as n_repeat_words from g, (select unnest([0, 1, 2]) as k) where n > 1 group by r),
+  b as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines,
+    coalesce(n_repeat_words, 0) as n_repeat_words, len(l) as n_lines, len(list_filter(w, lambda x: x in ({stops}))) as n_stop_words,
+    len(list_filter(l, lambda x: ends_with(x, '...') or ends_with(x, '…'))) as n_ellipsis_lines, len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-*•]\s'))) as n_bullet_lines from w left join c using (r)),
+  f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words, n_lines, base_failed, not base_failed and {" and ".join(tests)} as kept from f"""
+
+
+def search() -> str:
+    return f"""
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor({SCALE} * cast(x as double)) as bigint)) as v from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score from v q join v c on q.vec_id % {EVERY} = 0 and c.vec_id <> q.vec_id),
+  r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= {K}"""
+
+
+def mixing() -> str:
+    trimmed = "trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    has = lambda *parts: "(" + " or ".join(f"contains(coalesce(text, ''), {p})" for p in parts) + ")"
+    legal = has("'License'", "'license'", "'Copyright'", "'copyright'", "'rights reserved'")
+
+    def raw(m: Margin) -> str:
+        own = f"power(sum(tokens) over (partition by {m.column}) / total, {m.power!r})"
+        if not m.weights:
+            return own
+        given = " ".join(f"when '{k}' then {v!r}" for k, v in m.weights.items())
+        return f"coalesce(case {m.column} {given} end, {own} * (1 - least(0.99, {sum(m.weights.values())!r})))"
+
+    steps = [
+        f"""d as (select doc_id, source, lang, case when {trimmed} = '' then 'empty' when {legal} then 'legal' when {has("'@'", "'http://'", "'https://'", "'www.'")} then 'contact'
+    when {has("' | '", "chr(9)")} then 'tabular' when strlen(coalesce(text, '')) > 8000 then 'long prose' else 'prose' end as topic,
+    case when {trimmed} = '' then 0 else len(regexp_split_to_array({trimmed}, '{SPACE}+')) end as tokens from documents)""",
+        "c as (select source, lang, topic, sum(tokens) as tokens from d group by 1, 2, 3 having sum(tokens) > 0)",
+        "t as (select *, cast(sum(tokens) over () as double) as total from c)",
+        f"r as (select *, tokens / total as weight, {', '.join(f'{raw(m)} as raw{i}' for i, m in enumerate(MARGINS))} from t)",
+        f"n as (select r.* , {', '.join(f'raw{i} / (select sum(x) from (select distinct {m.column}, raw{i} as x from r)) as target{i}' for i, m in enumerate(MARGINS))} from r)",
+    ]
+    last = "n"
+    for k in range(ROUNDS):
+        for i, m in enumerate(MARGINS):
+            name = f"k{k}_{i}"
+            steps.append(f"{name} as materialized (select * replace (coalesce(weight * target{i} / nullif(sum(weight) over (partition by {m.column}), 0), 0.0) as weight) from {last})")
+            last = name
+    steps.append(f"s0 as materialized (select {FRACTION!r}::double as s)")
+    for k in range(SCALE_ROUNDS):
+        steps.append(f"s{k + 1} as materialized (select (select s from s{k}) * {FRACTION!r}::double / (select sum(tokens / total * least(1.0, (select s from s{k}) * weight / (tokens / total))) from {last}) as s)")
+    steps.append(f"p as (select source, lang, topic, weight, least(1.0, (select s from s{SCALE_ROUNDS}) * weight / (tokens / total)) as probability from {last})")
+    digest = f"cast('0x' || substr(md5('{SEED}:' || coalesce(cast(doc_id as varchar), 'null')), 1, 12) as bigint) / 281474976710656.0"
+    return (
+        "with " + ",\n".join(steps) + f"""
+select d.doc_id, d.source, d.lang, d.topic, d.tokens, round(coalesce(weight, 0.0), 9) as weight, round(coalesce(probability, 1.0), 9) as probability, {digest} < coalesce(probability, 1.0) as sampled
+from d left join p on d.source is not distinct from p.source and d.lang is not distinct from p.lang and d.topic = p.topic"""
+    )
+
+
+SQL: dict[str, str] = {"op2_quality_rules": quality(), "op4_maxscore": search(), "op5_mixing": mixing()}
