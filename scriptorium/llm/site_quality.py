@@ -181,6 +181,6 @@ def site_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("d
     joined = scored.join(groups.toDF("__s", "__t", "__site_mean", "__path_mean", "__lift"), F.col("__site").eqNullSafe(F.col("__s")) & F.col("__path").eqNullSafe(F.col("__t")), "left")
     p = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col("__p")))
     z = F.log(p) - F.log(1 - p) + group_weight * F.coalesce(F.col("__lift"), F.lit(0.0))
-    posterior = F.coalesce(1 / (1 + F.exp(-z)), F.lit(0.0))
+    posterior = F.when(F.col("__p").isNotNull(), 1 / (1 + F.exp(-z))).otherwise(0.0)
     out = [c for c in dict.fromkeys(keep) if c not in ("document_score", "site_mean", "path_mean", "posterior", "kept")]
     return joined.select(*out, F.coalesce("__p", F.lit(0.0)).alias("document_score"), F.col("__site_mean").alias("site_mean"), F.col("__path_mean").alias("path_mean"), posterior.alias("posterior"), (posterior >= least).alias("kept"))

@@ -1,0 +1,117 @@
+import hashlib
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from scriptorium.llm import mixing as X
+from scriptorium.llm import training_order as O
+from scriptorium.llm.bpe import Codec, default_vocabulary, read_ranks
+
+P = pytest.importorskip("public_tokenizers")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 16, 17, 100, 1000, 4097])
+def test_permutation(n):
+    order = O.Permutation(n, "a")(np.arange(n))
+    assert sorted(order.tolist()) == list(range(n))
+    if n > 50:
+        assert (order != O.Permutation(n, "b")(np.arange(n))).mean() > 0.8 and (order == O.Permutation(n, "a")(np.arange(n))).all()
+
+
+def test_shards(spark, tmp_path):
+    rows = [(i, f"text number {i} " * (i % 9)) for i in range(90)] + [(None, None), (3, "text number 3 " * 3), (200, "long " * 4000)]
+    spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, slot string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs, path = spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "shards")
+    told = O.training_order(docs, path, record=64, slots=20).collect()
+    codec = Codec(read_ranks(default_vocabulary()), P.PATTERN)
+    assert sorted(r["slot"] for r in told) == list(range(93))
+    want = sorted((str(i), hashlib.sha256(codec.encode_bytes(t or "")).hexdigest()) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["tokens_sha256"]) for r in told) == want
+    assert all(r["shard"] == r["slot"] // 20 for r in told)
+    # A reader that seeks: each shard is one file of records of 2 * 64 + 1 bytes.
+    by_slot = {r["slot"]: r for r in told}
+    for shard in range(5):
+        files = [f for f in (tmp_path / "shards" / f"shard={shard}").iterdir() if f.name.startswith("part-")]
+        assert len(files) == 1 and files[0].stat().st_size % 129 == 0
+        raw = files[0].read_bytes()
+        ids = [t for at in range(0, len(raw), 129) for t in np.frombuffer(raw[at : at + 128], "<u2").tolist()]
+        for slot in range(shard * 20, min(93, shard * 20 + 20)):
+            r = by_slot[slot]
+            own = ids[r["first_token"] : r["first_token"] + r["n_tokens"]]
+            assert hashlib.sha256(np.array(own, "<u2").tobytes()).hexdigest() == r["tokens_sha256"] and ids[r["first_token"] + r["n_tokens"]] == O.END
+    every = O.records(spark, path, record=64).count()
+    assert O.records(spark, path, shard=0, first=1, record=64).count() == every - 1
+    assert O.records(spark, path, shard=4, record=64).agg(F.min("shard")).first()[0] == 4
+
+
+def test_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    assert O.training_order(spark.read.parquet(str(tmp_path / "docs"))).count() == 0
+
+
+def test_raked_margins(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"s{a}", f"l{b}", f"t{c}", int(rng.integers(1, 5000))) for a in range(4) for b in range(3) for c in range(2)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    margins = (X.Margin("source", power=0.5), X.Margin("lang", {"l0": 0.5, "l1": 0.3, "l2": 0.2}), X.Margin("topic"))
+    got = X.rake(cells, margins, rounds=30).toPandas()
+    lang = got.groupby("lang").weight.sum()
+    assert np.allclose(lang[["l0", "l1", "l2"]] / lang.sum(), [0.5, 0.3, 0.2], atol=1e-6)
+    share = got.groupby("source").tokens.sum() ** 0.5
+    assert np.allclose(got.groupby("source").weight.sum(), share / share.sum(), atol=1e-6)
+    kept = X.calibrated(spark.createDataFrame(got), 0.6).toPandas()
+    assert abs((kept.probability * kept.tokens).sum() / kept.tokens.sum() - 0.6) < 0.01 and kept.probability.between(0, 1).all()
+
+
+def test_mix(spark):
+    rows = [(i, "word " * (10 + i % 50), ["en", "fr", None][i % 3], "hot" if i % 2 else None, "clash") for i in range(600)]
+    rows += [(700, None, "en", "hot", "c"), (None, "x y", "de", "s", "c"), (1, rows[1][1], "fr", "hot", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens string")
+    got = X.mix(df).collect()
+    assert len(got) == len(rows)
+    assert all(r["sampled"] and r["topic"] == "empty" for r in got if r["doc_id"] == 700)
+    again = X.mix(df).collect()
+    assert sorted((str(r["doc_id"]), r["sampled"]) for r in got) == sorted((str(r["doc_id"]), r["sampled"]) for r in again)
+    kept = sum(r["tokens"] for r in got if r["sampled"]) / sum(r["tokens"] for r in got)
+    assert 0.6 < kept < 0.8
+    assert X.mix(df.limit(0)).count() == 0
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables aren't here")
+def test_pipeline(spark):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    extra = spark.createDataFrame([(None, "the river of stone and the letter was in the window " * 8, "en", "src0", 1), (10**6, None, None, None, None), (10**6 + 1, "123 !!", "en", "src1", 6)], docs.schema)
+    rows, sizes = docs.unionByName(extra), []
+    for name, stage in C.STAGES[:-1]:
+        after = C.staged(stage(spark, rows, FOLDER), "test")
+        assert after.columns == docs.columns, name
+        before = {r["doc_id"] for r in rows.select("doc_id").collect()}
+        assert {r["doc_id"] for r in after.select("doc_id").collect()} <= before
+        sizes.append(after.count())
+        rows = after
+    assert 0 < sizes[-1] < docs.count() and sizes == sorted(sizes, reverse=True)
+    assert {10**6, 10**6 + 1}.isdisjoint(r["doc_id"] for r in rows.collect())
+    tokens = C.STAGES[-1][1](spark, rows, FOLDER).collect()
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    assert len(tokens) == sizes[-1]
+    assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in tokens)
+    assert C.run(spark, FOLDER).count() > 0
+
+
+def test_near_copies_leave_one(spark):
+    import corpus_pipeline as C
+
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    from scriptorium.llm.simhash import fingerprint
+
+    assert (fingerprint(text) ^ fingerprint(near)).bit_count() > 0
+    docs = spark.createDataFrame([(5, text, "en", "s", 1), (2, text, "en", "s", 1), (2, text, "en", "s", 1), (9, "something else entirely here", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in C.near_dedup(spark, docs, "").collect()) == [2, 9]
