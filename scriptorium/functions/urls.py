@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 from .text import or_empty, strip
 
 #: Endings of files that aren't pages.
-NOT_PAGES = [".js", ".css", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".pdf", ".zip", ".xml", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".mp3", ".mp4"]
+NOT_PAGES = [".js", ".css", ".jpg", ".jpeg", ".png", ".gif", ".svg", ".pdf", ".woff", ".woff2", ".ttf", ".eot"]
 URL_IN_TEXT = r"https?://[^\s<>\"'\)]+"
 LOC = r"(?i)<loc[^>]*>([^<]+)</loc>"
 

@@ -159,7 +159,7 @@ PATH = r"regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#
 
 
 @query(f"""
-with s as (select {HOST} as domain, url, list_filter(string_split({PATH}, '/'), lambda x: x <> '' and not regexp_matches(x, '(?i)\\.(js|css|png|jpg|jpeg|gif|svg|ico|pdf|zip|xml|doc|docx|xls|xlsx|ppt|pptx|mp3|mp4)$')) as p from pages)
+with s as (select {HOST} as domain, url, list_filter(string_split({PATH}, '/'), lambda x: x <> '' and not regexp_matches(x, '(?i)\\.(js|css|jpg|jpeg|png|gif|svg|pdf|woff|woff2|ttf|eot)$')) as p from pages)
 select distinct domain, url, case when i = 1 then 'Homepage' else p[i - 1] end as parent, p[i] as name from (select *, unnest(range(1, len(p) + 1)) as i from s)""")
 def url_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")

@@ -1,5 +1,3 @@
-from datetime import datetime  # noqa: F401
-
 from pyspark.sql import functions as F
 
 from scriptorium.functions import multivalue as M
