@@ -2,7 +2,8 @@
 
 Every letter has a random vector of +1 and -1. A vector of three characters binds the letters' vectors,
 permuted by their places, by multiplication; a text bundles the vectors of its three-character windows by
-addition, and so does a language over its training texts. A text gets the language whose prototype has
+addition, each as often as the square root of its occurrences, so that a line said many times doesn't
+speak for the whole; a language bundles its training texts in the same way. A text gets the language whose prototype has
 the largest cosine with it; the score is that cosine, at least 0.
 
 Texts are lower-cased, and each run of characters that aren't letters counts as one gap.
@@ -65,6 +66,11 @@ class Space:
         at = np.concatenate([[0], at]).astype(np.uint32) if at[0] else at
         return (at[:-2] * PLACES + at[1:-1]) * PLACES + at[2:]
 
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct windows of a text and their weights."""
+        found, n = np.unique(self.windows(text), return_counts=True)
+        return found, np.sqrt(n)
+
     def bound(self, windows: np.ndarray) -> np.ndarray:
         out = self.placed[0][windows // PLACES**2]
         out = out * self.placed[1][windows // PLACES % PLACES]
@@ -104,12 +110,13 @@ def prototypes(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[
             langs = np.array(batch.column("lang").to_pylist(), object)
             texts = batch.column("text").to_pylist()
             for lang in np.unique(langs.astype(str)):
-                found = [space.windows(texts[i]) for i in np.flatnonzero(langs == lang)]
-                w, n = np.unique(np.concatenate(found), return_counts=True)
+                found = [space.counted(texts[i]) for i in np.flatnonzero(langs == lang)]
+                w, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([f[1] for f in found]))
                 if len(w):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(w)), pa.array(w.astype(np.int64)), pa.array(n)], names=["lang", "w", "n"])
 
-    rows = sample.mapInArrow(count, "lang string, w long, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.mapInArrow(count, "lang string, w long, n double").groupBy("lang", "w").agg(F.sum("n").alias("n")).toPandas()
     space, langs, made = Space(), sorted(rows["lang"].unique()), []
     for lang in langs:
         own = rows[rows["lang"] == lang].sort_values("w")
@@ -129,7 +136,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                counted = [np.unique(space.windows(x), return_counts=True) for x in part.column("__text").to_pylist()]
+                counted = [space.counted(x) for x in part.column("__text").to_pylist()]
                 names, scores = [UNKNOWN] * len(counted), [0.0] * len(counted)
                 if langs:
                     near = unit(space.bundles(counted)) @ vectors.T
