@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import multivalue, stats, text, urls, years
-from ..operators import cluster, frames, graph, panels, rates, resolve, sets, survival
-from ..sources.readers import table
+from ..operators import academies, cluster, frames, graph, panels, rates, resolve, sets, survival
+from ..sources.readers import archive_listing, table
 
 FLAGSHIP = "km_curve"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -648,3 +648,117 @@ def host_flag(spark: SparkSession, d: str) -> DataFrame:
     return rates.flag_of(keys, "nation", table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("nation")))
 
 
+
+
+# --- more of the functions, over constructed columns
+
+
+@query("""
+with s as """ + SAMPLE + """, e as (select quantile_cont(start_year, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) as q from s), d as (select list_sort(list_distinct(q))[2:-2] as q from e)
+select custkey, 1 + len(list_filter(q, lambda x: start_year > x)) as stratum from s, d""")
+def quantile_strata(spark: SparkSession, d: str) -> DataFrame:
+    return survival.strata(sample(spark, d), "start_year").select("custkey", F.col("stratum").cast("long").alias("stratum"))
+
+
+@query("select doc_id, case when lower(w) like '%developed%' then 'Developed' when lower(w) like '%developing%' then 'Developing' else 'Unknown' end as grp from (select doc_id, case doc_id % 3 when 0 then 'Developed regions' when 1 then 'developing' end as w from documents)")
+def development_classes(spark: SparkSession, d: str) -> DataFrame:
+    told = F.when(F.col("doc_id") % 3 == 0, "Developed regions").when(F.col("doc_id") % 3 == 1, "developing")
+    return table(spark, d, "documents").select("doc_id", rates.development_class(told).alias("grp"))
+
+
+@query("select n_nationkey as nation, case n_nationkey % 4 when 0 then 'Russian Federation' when 1 then 'Viet Nam' when 2 then n_name else '' end as country from nation")
+def canonical_countries(spark: SparkSession, d: str) -> DataFrame:
+    told = F.when(F.col("n_nationkey") % 4 == 0, " Russia; France").when(F.col("n_nationkey") % 4 == 1, "VIETNAM").when(F.col("n_nationkey") % 4 == 2, F.col("n_name"))
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), academies.canonical_country(told).alias("country"))
+
+
+@query("select c_custkey, c_custkey % 5 in (0, 1, 2) as missing, c_custkey % 5 in (1, 3) or c_custkey % 7 = 0 as ask from customer")
+def missing_and_geocode(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    told = F.when(k % 5 == 0, " ").when(k % 5 == 1, "N/A").when(k % 5 == 2, "nan").when(k % 5 == 3, F.lit(None).cast("string")).otherwise("x")
+    lat, lng = F.when(k % 5 == 1, "N/A").when(k % 5 != 3, "1.5"), F.when(k % 7 == 0, F.lit(None).cast("string")).otherwise("2")
+    return table(spark, d, "customer").select("c_custkey", (text.is_missing_like(told) & (k % 5 != 3)).alias("missing"), frames.needs_geocode(lat, lng).alias("ask"))
+
+
+@query("""
+with c as (select p_partkey, printf('%03d', p_size) as a, printf('%03d', p_partkey % 10 * 100) as b from part)
+select b as code, count(distinct p_partkey) as n from (select p_partkey, a as b from c union all select p_partkey, b from c) group by 1""")
+def subject_codes(spark: SparkSession, d: str) -> DataFrame:
+    cell = F.concat_ws("; ", F.lpad(F.col("p_size").cast("string"), 3, "0"), F.concat(F.lpad((F.col("p_partkey") % 10 * 100).cast("string"), 3, "0"), F.lit(" x|9999, none")))
+    cleaned = table(spark, d, "part").select("p_partkey", text.clean_text(cell).alias("cell"))
+    return cleaned.select("p_partkey", F.explode(multivalue.subject_codes(F.col("cell"))).alias("code")).groupBy("code").agg(F.count_distinct("p_partkey").alias("n"))
+
+
+@query("select p_partkey, lower(p_name) || '#' || lower(p_type) as related from part")
+def related_titles(spark: SparkSession, d: str) -> DataFrame:
+    cell = F.concat(F.lit(" / "), "p_name", F.lit(" / - /"), F.upper("p_type"), F.lit("/"), F.upper("p_name"), F.lit(" / —"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(multivalue.related_titles(cell), "#").alias("related"))
+
+
+@query("""
+with j as (select p_partkey as id, lower(p_name) as t, p_partkey % 7 as body from part), r as (select a.id as src, b.id as dst, a.body as x, b.body as y, count(*) over (partition by a.id) as many from j a join j b on b.t = a.t and b.id <> a.id where a.id % 5 = 0)
+select src, dst from r join (select t, count(*) as n from j group by 1) c on c.t = (select t from j where id = src) where c.n = 1 or x = y""")
+def checked_title_links(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    related = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("/ "), "p_name"))
+    journals = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), related.alias("related"), (F.col("p_partkey") % 7).cast("string").alias("body"))
+    return panels.title_links_checked(journals, "id", "title", "related", "body")
+
+
+@query("select page_id, count(*) as n from (select distinct page_id, h from (select page_id, unnest(regexp_extract_all(html, 'href=\"(.*?)\"', 1)) as h from pages) where starts_with(h, '/')) group by 1")
+def same_host_links(spark: SparkSession, d: str) -> DataFrame:
+    told = table(spark, d, "pages").select("page_id", F.size(urls.same_host_links(F.col("html"), F.col("url"))).cast("long").alias("n"))
+    return told.where("n > 0")
+
+
+@query("select event_id, event_id % 4 <> 0 as by_end, event_id % 4 not in (0, 1) as anywhere, event_id % 3 <> 0 as sane from events")
+def page_filters(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    url = F.concat(F.when(k % 3 == 0, "ftp://a.org/").otherwise("http://a.org/"), F.when(k % 4 == 0, "x.PDF").when(k % 4 == 1, "x.json").otherwise("about"))
+    return table(spark, d, "events").select("event_id", urls.is_page(url).alias("by_end"), urls.is_page(url, anywhere=True).alias("anywhere"), urls.is_sane(url).alias("sane"))
+
+
+@query("select event_id, 'http://a/' || cast(json_extract(props, '$.k') as varchar) as url from events where json_extract(props, '$.k') is not null")
+def archive_listings(spark: SparkSession, d: str) -> DataFrame:
+    n = F.get_json_object("props", "$.k")
+    payload = F.concat(F.lit('[["k","t","o"],["x","1","http://a/'), n, F.lit('"],["y","2","http://a/'), n, F.lit('"],["z"]]'))
+    return archive_listing(table(spark, d, "events").select("event_id", payload.alias("p")), "p", "event_id")
+
+
+@query("""
+select c_custkey as k, 'Q' || n_nationkey as id, cast(120 + 4 * 2 * len(list_distinct(string_split(lower(n_name), ' '))) + 25 + 8 + 1 as int) as score
+from customer join nation on c_nationkey = n_nationkey where c_custkey <= 100 and n_name = n_name""")
+def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation")
+    entities = table(spark, d, "customer").where("c_custkey <= 100").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    own = entities.select(F.col("c_custkey").alias("k"), F.array("n_name").alias("names"), F.lower(F.col("n_name")).alias("country"))
+    label = F.regexp_replace(F.lower("n_name"), "[^a-z0-9_ ]", " ")
+    found = entities.select(F.col("c_custkey").alias("k"), F.concat(F.lit("Q"), "n_nationkey").alias("id"), F.col("n_name").alias("label"), F.concat(F.lit("academy in "), label).alias("description"), F.array().cast("array<string>").alias("aliases"), F.lit(0).alias("position"))
+    return resolve.best_candidates(own, found, "k", "names", "country")
+
+
+@query("select c_custkey as k, unnest(case when c_custkey % 2 = 0 then [c_name, c_name || ' Peru', c_mktsegment, c_mktsegment || ' Peru'] else [c_name, c_mktsegment] end) as query from customer")
+def search_queries(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("a"), F.concat(F.lit(" "), "c_name").alias("b"), F.col("c_mktsegment").alias("c"), F.when(F.col("c_custkey") % 2 == 0, "Peru").alias("p"))
+    return resolve.search_queries(own, "k", ["a", "b", "c"], "p").select("k", "query")
+
+
+@query("""
+select s_suppkey as k, case when s_suppkey % 3 = 0 then 'Q' || s_suppkey when s_suppkey % 3 = 1 then 'Q' || s_suppkey end as wikidata_id, case when s_suppkey % 3 <> 2 then 'T' || s_suppkey end as title,
+  case when s_suppkey % 3 <> 2 and s_suppkey % 2 = 0 then 'http://d/' || s_suppkey end as dbpedia_url from supplier""")
+def identifier_cross_walk(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    blank = F.lit(None).cast("string")
+    own = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Q"), k)).alias("wikidata_id"), F.when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("T"), k)).alias("title"), blank.alias("dbpedia_url"))
+    walk = table(spark, d, "supplier").select(F.concat(F.lit("Q"), k).alias("qid"), F.concat(F.lit("T"), k).alias("title"), F.concat(F.lit("http://d/"), k).alias("dbpedia_url"), (F.col("s_suppkey") % 2 == 0).alias("dbpedia_exists"))
+    return resolve.cross_walk(own, walk)
+
+
+@query("select c_custkey, case when c_custkey % 2 = 0 then 'lat' || c_nationkey else 'old' end as latitude from customer")
+def geocoded(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    place = F.concat(F.lit("p"), F.col("c_nationkey").cast("string"))
+    own = table(spark, d, "customer").select("c_custkey", F.when(k % 4 == 0, place).otherwise(" ").alias("address"), F.when(k % 2 == 0, place).otherwise("unknown").alias("headquarters"), F.lit("old").alias("latitude"), F.lit("old").alias("longitude"), F.lit("old").alias("country"))
+    n = F.col("n_nationkey").cast("string")
+    places = table(spark, d, "nation").select(F.concat(F.lit("p"), n).alias("place"), F.concat(F.lit("lat"), n).alias("latitude"), F.lit("N/A").alias("longitude"), F.lit("x").alias("country"))
+    return resolve.geocoded(own, places).where("longitude = 'old'").select("c_custkey", "latitude")
