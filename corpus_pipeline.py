@@ -10,23 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.bpe import encode_documents
-from scriptorium.llm.common import read, staged
+from scriptorium.llm.common import DOCUMENT_COLUMNS, read, staged
 from scriptorium.llm.langid import UNKNOWN, identify
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.simhash import near_duplicates
 from scriptorium.llm.site_quality import site_quality
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its other columns under names that no operator uses, and their own names."""
+    names = {f"__other{i}": c for i, c in enumerate(docs.columns) if c not in DOCUMENT_COLUMNS}
+    return docs.withColumnsRenamed({c: k for k, c in names.items()}), names
+
+
+def again(rows: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of docs, in their order and under their own names."""
+    held = {c: k for k, c in names.items()}
+    return rows.select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
-    told = identify(docs, keep=tuple(docs.columns))
-    return told.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    own, names = apart(docs)
+    told = identify(own, keep=tuple(own.columns))
+    return again(told.where(F.col("lang_pred") != UNKNOWN), docs, names)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is high enough."""
-    judged = site_quality(docs, read(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return judged.where("kept").select(*docs.columns)
+    own, names = apart(docs)
+    judged = site_quality(own, read(spark, sf_dir, "labels"), keep=tuple(own.columns))
+    return again(judged.where("kept"), docs, names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +56,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics come near their target shares of tokens."""
-    return mix(docs).where("sampled").select(*docs.columns)
+    own, names = apart(docs)
+    return again(mix(own).where("sampled"), docs, names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,6 +105,21 @@ def test_pipeline(spark):
     assert C.run(spark, FOLDER).count() > 0
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables aren't here")
+def test_stages_take_clashing_columns_and_empty_tables(spark):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    clash = docs.select("*", *[F.lit("mine").alias(c) for c in ("score", "kept", "lang_pred", "sampled", "topic", "fp", "component_id", "p", "__p")])
+    for _, stage in C.STAGES[:-1]:
+        after = stage(spark, clash, FOLDER)
+        assert after.columns == clash.columns
+        assert {r["score"] + r["kept"] + r["sampled"] for r in after.collect()} <= {"mineminemine"}
+        empty = stage(spark, docs.limit(0), FOLDER)
+        assert empty.columns == docs.columns and empty.count() == 0
+    assert C.STAGES[-1][1](spark, docs.limit(0), FOLDER).count() == 0
+
+
 def test_near_copies_leave_one(spark):
     import corpus_pipeline as C
 
