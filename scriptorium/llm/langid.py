@@ -9,8 +9,9 @@ the largest cosine with it; the score is that cosine, at least 0.
 Texts are lower-cased, and each run of characters that aren't letters counts as one gap.
 
 Training reads at most `per_language` documents of each language in expectation, taken by a hash of
-doc_id, never held-out ones; statistics that leave the executors are counts of letter windows by
-language, whose number does not depend on the documents'.
+doc_id, never held-out ones; statistics that leave the executors are weights of letter windows by
+language, whose number depends on alphabets and on the label set (whose size is that of a set of languages),
+not on the documents'.
 
 Cases: null texts and texts without a letter get `und` and score 0; null languages aren't learned from;
 without any labelled text every prediction is `und`; ties go to the language that sorts first; repeated
