@@ -13,7 +13,7 @@ from scriptorium.llm.bpe import encode_documents
 from scriptorium.llm.common import DOCUMENT_COLUMNS, read, staged
 from scriptorium.llm.langid import UNKNOWN, identify
 from scriptorium.llm.mixing import mix
-from scriptorium.llm.simhash import near_duplicates
+from scriptorium.llm.near_copies import near_copies
 from scriptorium.llm.site_quality import site_quality
 
 
@@ -46,9 +46,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id, and of rows that share it one.
 
-    Rows without a doc_id can't be named, so they stay.
+    Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Rows without a doc_id can't be named, so they stay.
     """
-    groups = near_duplicates(docs)
+    groups = near_copies(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
@@ -68,7 +68,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language identification", language),
     ("quality classifier", quality),
-    ("SimHash near-duplicates", near_dedup),
+    ("near-duplicates", near_dedup),
     ("mixing to target weights", mixing),
     ("byte-level BPE", tokens),
 ]
