@@ -6,8 +6,9 @@ document is then kept with the probability that gives its cell its share: min(1,
 where `scale` is found so that the kept tokens make up `fraction` of all. A draw is the hash of doc_id
 and seed, so the same document is always drawn alike.
 
-A margin has explicit weights for some levels, other levels their own share to a power. Weights are made
-to add up over the levels that occur.
+A margin has explicit weights for some levels, other levels their own share of tokens to a power, null among
+them. Listed weights share what the others leave, in proportion; without others they are as given. Targets
+are made to add up over the levels that occur.
 
 Cases: null sources and languages are levels of their own; null, empty and blank texts have no tokens,
 belong to the topic "empty" and are kept, as they carry no weight; repeated rows are drawn alike; a null
@@ -68,8 +69,13 @@ def targets(cells: DataFrame, margin: Margin) -> Column:
     own = F.pow(F.sum("tokens").over(Window.partitionBy(margin.column)) / F.col("__all"), margin.power)
     if not margin.weights:
         return own
-    given = F.create_map(*[F.lit(x) for pair in margin.weights.items() for x in pair])
-    return F.coalesce(given[F.col(margin.column)], own * (1 - min(0.99, sum(margin.weights.values()))))
+    given = F.create_map(*[F.lit(x) for pair in margin.weights.items() for x in pair])[F.col(margin.column)]
+    level = cells.groupBy(margin.column).agg(F.pow(F.sum("tokens") / F.first("__all"), margin.power).alias("own")).withColumn("given", given)
+    sums = level.agg(F.sum("own").alias("all"), F.sum(F.when(F.col("given").isNull(), F.col("own"))).alias("others"), F.sum("given").alias("given")).first()
+    if not sums["others"]:
+        return given
+    left = 1 - sums["others"] / sums["all"]
+    return F.coalesce(given * (left / (sums["given"] or 1.0)), own / sums["all"])
 
 
 def rake(cells: DataFrame, margins: tuple[Margin, ...] = MARGINS, rounds: int = ROUNDS) -> DataFrame:
