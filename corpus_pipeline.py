@@ -57,7 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics come near their target shares of tokens."""
     own, names = apart(docs)
-    return again(mix(own).where("sampled"), docs, names)
+    return again(mix(own, bound=True).where("sampled"), docs, names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

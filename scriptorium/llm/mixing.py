@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import WHITE, staged
 
 ROUNDS, SCALE_ROUNDS, FRACTION, SEED = 8, 12, 0.7, "mix-1"
+#: Of raking with bounds: rounds at most, and how near to its target each level has to come.
+BOUNDED_ROUNDS, NEAR = 60, 0.002
 
 
 @dataclass(frozen=True)
@@ -78,8 +80,8 @@ def targets(cells: DataFrame, margin: Margin) -> Column:
     return F.coalesce(given * (left / (sums["given"] or 1.0)), own / sums["all"])
 
 
-def rake(cells: DataFrame, margins: tuple[Margin, ...] = MARGINS, rounds: int = ROUNDS) -> DataFrame:
-    """cells (levels and tokens, all over 0) with `weight`: shares raked to the margins' targets."""
+def aimed(cells: DataFrame, margins: tuple[Margin, ...]) -> DataFrame:
+    """cells with `weight`, their share of tokens, and the margins' target shares."""
     total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 1.0
     now = cells.withColumn("__all", F.lit(total)).withColumn("weight", F.col("tokens") / total)
     sums = []
@@ -87,7 +89,12 @@ def rake(cells: DataFrame, margins: tuple[Margin, ...] = MARGINS, rounds: int =
         now = now.withColumn(f"__raw{i}", targets(now, m))
         levels = now.groupBy(m.column).agg(F.first(f"__raw{i}").alias("r")).agg(F.sum("r").alias("s")).first()["s"] or 1.0
         sums.append(levels)
-    now = staged(now.select(*cells.columns, "weight", *[(F.col(f"__raw{i}") / s).alias(f"__target{i}") for i, s in enumerate(sums)]), "targets")
+    return staged(now.select(*cells.columns, "weight", *[(F.col(f"__raw{i}") / s).alias(f"__target{i}") for i, s in enumerate(sums)]), "targets")
+
+
+def rake(cells: DataFrame, margins: tuple[Margin, ...] = MARGINS, rounds: int = ROUNDS) -> DataFrame:
+    """cells (levels and tokens, all over 0) with `weight`: shares raked to the margins' targets."""
+    now = aimed(cells, margins)
     for r in range(rounds):
         for i, m in enumerate(margins):
             held = F.sum("weight").over(Window.partitionBy(m.column))
@@ -97,6 +104,46 @@ def rake(cells: DataFrame, margins: tuple[Margin, ...] = MARGINS, rounds: int =
     return now.select(*cells.columns, "weight")
 
 
+def reachable(cells: DataFrame, column: str, target: str, fraction: float, passes: int = 30) -> Column:
+    """`target`, at most what a level holds of the tokens to keep; what that takes from a level goes to the others in proportion."""
+    total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 1.0
+    levels = staged(cells.groupBy(column).agg(F.first(target).alias("t"), (F.sum("tokens") / total / fraction).alias("most")), "levels")
+    scale = 1.0
+    for _ in range(passes):
+        over = F.lit(scale) * F.col("t") > F.col("most")
+        row = levels.agg(F.sum(F.when(over, F.col("most"))).alias("held"), F.sum(F.when(~over, F.col("t"))).alias("free")).first()
+        new = (1 - (row["held"] or 0.0)) / row["free"] if row["free"] else scale
+        if new <= scale * (1 + 1e-12):
+            break
+        scale = new
+    held = F.sum("tokens").over(Window.partitionBy(column)) / total / fraction
+    return F.least(held, F.lit(scale) * F.col(target))
+
+
+def bounded(cells: DataFrame, margins: tuple[Margin, ...], fraction: float, most_rounds: int = BOUNDED_ROUNDS, near: float = NEAR) -> DataFrame:
+    """As rake, but no weight passes what its cell holds of the tokens to keep, so that probabilities need no cut.
+
+    Rounds go on until every level is within `near` of its reachable target, relative to it, or most_rounds are over.
+    """
+    total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 1.0
+    now = aimed(cells, margins)
+    for i, m in enumerate(margins):
+        now = now.withColumn(f"__target{i}", reachable(now, m.column, f"__target{i}", fraction))
+    most = F.col("tokens") / total / fraction
+    now = staged(now, "reachable")
+    held = [F.sum("weight").over(Window.partitionBy(m.column)) for m in margins]
+    for r in range(most_rounds):
+        for i in range(len(margins)):
+            now = now.withColumn("weight", F.coalesce(F.least(most, F.try_divide(F.col("weight") * F.col(f"__target{i}"), held[i])), F.lit(0.0)))
+        if r % 4 == 3 or r == most_rounds - 1:
+            now = staged(now, "raked")
+            off = [F.abs(h / F.col(f"__target{i}") - 1).alias(f"off{i}") for i, h in enumerate(held)]
+            row = now.select(*off).agg(*[F.max(f"off{i}") for i in range(len(margins))]).first()
+            if max(x or 0.0 for x in row) <= near:
+                break
+    return now.select(*cells.columns, "weight")
+
+
 def calibrated(cells: DataFrame, fraction: float = FRACTION, rounds: int = SCALE_ROUNDS) -> DataFrame:
     """Raked cells with `probability`, so scaled that `fraction` of all tokens are kept in expectation."""
     total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 1.0
@@ -116,14 +163,18 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(docs: DataFrame, margins: tuple[Margin, ...] = MARGINS, fraction: float = FRACTION, rounds: int = ROUNDS) -> DataFrame:
-    """docs with topic, tokens, weight, probability and sampled. Columns of these names are replaced."""
+def mix(docs: DataFrame, margins: tuple[Margin, ...] = MARGINS, fraction: float = FRACTION, rounds: int = ROUNDS, bound: bool = False) -> DataFrame:
+    """docs with topic, tokens, weight, probability and sampled. Columns of these names are replaced.
+
+    With `bound`, cells are raked within what they hold, so that the sampled tokens too meet the targets; rounds does not count then.
+    """
     fresh = ["topic", "tokens", "weight", "probability", "sampled"]
     columns = [c for c in docs.columns if c not in fresh]
     told = docs.select(*columns, topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("tokens"))
     levels = ["source", "lang", "topic"]
     cells = staged(told.groupBy(*levels).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "cells")
-    solved = staged(calibrated(rake(cells, margins, rounds), fraction).select(*[F.col(c).alias(f"__{c}") for c in levels], F.col("weight").alias("__w"), F.col("probability").alias("__p")), "calibrated")
+    raked = bounded(cells, margins, fraction) if bound else rake(cells, margins, rounds)
+    solved = staged(calibrated(raked, fraction).select(*[F.col(c).alias(f"__{c}") for c in levels], F.col("weight").alias("__w"), F.col("probability").alias("__p")), "calibrated")
     same = reduce(lambda a, b: a & b, [told[c].eqNullSafe(solved[f"__{c}"]) for c in levels])
     probability = F.coalesce(F.col("__p"), F.lit(1.0))
     return told.join(solved, same, "left").select(*columns, "topic", "tokens", F.coalesce("__w", F.lit(0.0)).alias("weight"), probability.alias("probability"), (draw(F.col("doc_id")) < probability).alias("sampled"))

@@ -24,3 +24,37 @@ def test_listed_levels_alone_are_as_given(spark):
     got = X.rake(cells(spark, {"en": 500, "fr": 120, "de": 100, "es": 80}), X.MARGINS, rounds=20).toPandas()
     lang = got.groupby("lang").weight.sum()
     assert all(np.isclose(lang[k], w) for k, w in LISTED.items())
+
+
+def hot(spark):
+    """A third of the tokens in one source, and cells of uneven size."""
+    rng = np.random.default_rng(3)
+    rows = [(f"s{a}", lang, topic, int(n * m * (9 if a == 0 else 1) * rng.uniform(0.8, 1.2))) for a in range(20) for lang, n in {"en": 614, "fr": 150, "de": 135, "es": 101}.items() for topic, m in {"prose": 70, "long prose": 24, "legal": 4, "contact": 2}.items()]
+    return spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+
+
+def misses(got, margins):
+    """The greatest relative miss of sampled shares by column."""
+    kept, off = got.probability * got.tokens, {}
+    for m in margins:
+        own = (got.groupby(m.column).tokens.sum() / got.tokens.sum()) ** m.power
+        want = own if not m.weights else own.index.to_series().map(m.weights)
+        off[m.column] = abs(kept.groupby(got[m.column]).sum() / kept.sum() / (want / want.sum()) - 1).max()
+    return off
+
+
+def test_sampled_shares_of_a_hot_source(spark):
+    table = hot(spark)
+    before = misses(X.calibrated(X.rake(table, X.MARGINS)).toPandas(), X.MARGINS)
+    got = X.calibrated(X.bounded(table, X.MARGINS, X.FRACTION)).toPandas()
+    after = misses(got, X.MARGINS)
+    print("misses", before, after)
+    assert max(before.values()) > 0.02 and max(after.values()) < 0.005
+    assert abs((got.probability * got.tokens).sum() / got.tokens.sum() - X.FRACTION) < 0.002
+
+
+def test_a_level_too_small_for_its_target_is_kept_whole(spark):
+    table = cells(spark, {"en": 9000, "fr": 500, "de": 480, "es": 20})
+    got = X.calibrated(X.bounded(table, X.MARGINS, X.FRACTION)).toPandas()
+    assert got.probability.le(1).all() and np.allclose(got.probability[got.lang.isin(["fr", "de", "es"])], 1, atol=0.01)
+    assert abs((got.probability * got.tokens).sum() / got.tokens.sum() - X.FRACTION) < 0.002
