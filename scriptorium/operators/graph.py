@@ -54,7 +54,10 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def ancestors(edges: DataFrame, most_depth: int = 100) -> DataFrame:
-    """(node, ancestor, distance): the transitive closure of (parent, child), with the shortest distance; cycles end."""
+    """(node, ancestor, distance): the transitive closure of (parent, child), with the shortest distance; cycles end.
+
+    Raises if there are ancestors beyond most_depth.
+    """
     base = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("node <> ancestor").distinct()
     frontier = cut(base.withColumn("distance", F.lit(1)))
     found = frontier
@@ -65,6 +68,10 @@ def ancestors(edges: DataFrame, most_depth: int = 100) -> DataFrame:
         if frontier.isEmpty():
             break
         found = cut(found.unionByName(frontier))
+    else:
+        step = frontier.join(base.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("node", F.col("next").alias("ancestor")).where("node <> ancestor")
+        if not step.join(found, ["node", "ancestor"], "left_anti").isEmpty():
+            raise RuntimeError(f"there are ancestors more than {most_depth} levels up")
     return found
 
 
@@ -78,7 +85,10 @@ def with_missing_ancestors(pairs: DataFrame, edges: DataFrame, key: str = "sited
 
 
 def tree(edges: DataFrame, root: str = "Homepage", most_depth: int = 100) -> DataFrame:
-    """(node, parent, depth) of the tree below root: each node once, under its smallest parent of least depth."""
+    """(node, parent, depth) of the tree below root: each node once, under its smallest parent of least depth.
+
+    Raises if there are nodes beyond most_depth.
+    """
     spark = edges.sparkSession
     found = spark.createDataFrame([(root, None, 0)], "node string, parent string, depth int")
     frontier = found
@@ -89,6 +99,10 @@ def tree(edges: DataFrame, root: str = "Homepage", most_depth: int = 100) -> Dat
         if frontier.isEmpty():
             break
         found = cut(found.unionByName(frontier))
+    else:
+        step = edges.join(frontier.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"))
+        if not step.join(found, "node", "left_anti").isEmpty():
+            raise RuntimeError(f"there are nodes more than {most_depth} levels down")
     return found
 
 

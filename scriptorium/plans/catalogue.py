@@ -393,7 +393,7 @@ def stratified_logrank_oe_v(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def two_group_summary(spark: SparkSession, d: str) -> DataFrame:
-    return survival.two_group_summary(sample(spark, d), "segment", "grp", "BUILDING", "MACHINERY", tau=60, replicates=200)
+    return survival.two_group_summary(sample(spark, d), "segment", "grp", "BUILDING", "MACHINERY", tau=60)
 
 
 @query()

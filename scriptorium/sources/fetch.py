@@ -93,15 +93,17 @@ def discovered(sites: DataFrame, site: str, fetch: Fetcher, places: list[str] =
     return found.groupBy(site).agg(F.min_by(F.struct("url", "body"), "n").alias("x")).select(site, "x.url", "x.body")
 
 
-def crawl(sites: DataFrame, site: str, fetch: Fetcher, most_pages: int = 100, most_depth: int = 3) -> DataFrame:
-    """(site, url, depth) of pages of the same host, breadth first, the first most_pages of each site in order of depth and url."""
+def crawl(sites: DataFrame, site: str, fetch: Fetcher, most_pages: int = 100, most_depth: int | None = None) -> DataFrame:
+    """(site, url, depth) of pages of the same host, breadth first, the first most_pages of each site in order of depth and url; to any depth unless one is given."""
+    from itertools import count
+
     from pyspark.sql import Window
 
     from ..operators.frames import cut
 
     seen = cut(sites.select(site, F.col(site).alias("url")).distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, most_depth + 1):
+    for depth in count(1) if most_depth is None else range(1, most_depth + 1):
         pages = frontier.join(fetched(frontier, "url", fetch), "url").where(F.col("body").isNotNull())
         links = pages.select(site, F.explode(same_host_links(F.col("body"), F.col("url"))).alias("url")).distinct()
         fresh = links.join(seen, [site, "url"], "left_anti").withColumn("depth", F.lit(depth))

@@ -1,0 +1,40 @@
+import pytest
+
+from scriptorium.operators import graph, survival
+from scriptorium.plans import catalogue
+from scriptorium.sources import fetch
+
+
+def chain(spark, n):
+    return spark.createDataFrame([("Homepage" if i == 0 else f"n{i}", f"n{i + 1}") for i in range(n)], "parent string, child string")
+
+
+def test_deeper_chains_raise(spark):
+    for f, most in ((graph.ancestors, 4), (graph.tree, 4)):
+        assert f(chain(spark, 4), most_depth=most).count() > 0
+        with pytest.raises(RuntimeError):
+            f(chain(spark, 5), most_depth=most).count()
+
+
+def test_cycles_end(spark):
+    edges = spark.createDataFrame([("Homepage", "a"), ("a", "b"), ("b", "a")], "parent string, child string")
+    assert graph.tree(edges, most_depth=2).count() == 3
+    assert {(r["node"], r["ancestor"]) for r in graph.ancestors(edges, most_depth=2).collect()} == {("a", "Homepage"), ("a", "b"), ("b", "a"), ("b", "Homepage")}
+
+
+def test_crawl_reaches_deep_pages(spark):
+    site = {f"http://a.org{'/' + str(i) if i else ''}": f'<a href="/{i + 1}">' for i in range(6)}
+
+    def serve(url, params):
+        return (200, site[url]) if url in site else (404, "")
+
+    found = fetch.crawl(spark.createDataFrame([("http://a.org",)], "site string"), "site", serve).collect()
+    assert sorted(r["depth"] for r in found) == list(range(7))
+
+
+def test_registered_summary_takes_the_operators_replicates(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(survival, "two_group_summary", lambda *a, **k: asked.append(k))
+    monkeypatch.setattr(catalogue, "sample", lambda *a: None)
+    catalogue.QUERIES["two_group_summary"](spark, "")
+    assert asked == [{"tau": 60}]
