@@ -1,18 +1,23 @@
 """Byte-level BPE encoding and decoding by a monoid tree reduction.
 
 The vocabulary is a rank file (its path is a parameter; it is read on the driver and broadcast, its
-size is that of the file). Encodings form a monoid on two levels:
+size is that of the file). Every text is halved down to leaves of LEAF characters. The encoding of a span is
+the list of its pieces (matches of the pattern) with the tokens of each; two neighbours are joined by
+re-encoding a window around their seam that grows until what lies outside provably stays:
 
-* text level: a text is halved until a leaf is short, and each leaf is encoded by itself. The
-  pre-tokenizer always begins a match at a space that follows a non-space, whatever stands farther
-  away. Joining two halves re-encodes the window around the seam, which grows on either side to the
-  next such space: tokens beyond it provably keep.
-* piece level: a match longer than PIECE_LEAF bytes is halved; joined token lists are re-encoded in a
-  window around the seam that doubles until the tokens at its edges are compatible with their
-  neighbours outside (a pair is compatible if its bytes encode to that pair). A list whose adjacent
-  pairs are all compatible is the encoding of its bytes, so tokens outside are stable.
+* text level: a match depends on the text from its start to at most LOOK characters after its end, or it
+  touches the end of its span. So matches of the left neighbour that end LOOK or more before the seam stay.
+  From there the joined text is matched anew until a match ends where one of the right neighbour's ends; as
+  matches look at nothing before their start, all that follow stay.
+* piece level: a match that spans the seam and is longer than PIECE_LEAF bytes is itself the joint of two token
+  lists, which neither neighbour has to encode again. They are re-encoded in a window that doubles until the
+  tokens at its edges are compatible with their neighbours outside (a pair is compatible if its bytes encode to
+  that pair). A list whose adjacent pairs are all compatible is the encoding of its bytes, so tokens outside stay.
 
-Decoding concatenates token bytes up the same tree.
+Merging is done here, from the ranks; no tokenizer library takes part. Decoding concatenates token bytes up a tree.
+
+The pattern must match every character, look at nothing before a match and at no more than LOOK characters
+behind it but for a run that it has matched to its end, as the default pattern does (two for the letters of "'ll").
 
 Cases: a null text counts as empty and has no tokens; repeated rows are encoded each by itself; other
 columns are ignored. A text of any length is encoded whole.
@@ -23,6 +28,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TEXT_LEAF = 4096
+LEAF = 256
 PIECE_LEAF = 64
+LOOK = 2
+#: Pieces whose tokens are remembered at a time; what is forgotten is merged again.
+REMEMBERED = 1 << 17
+#: Bytes from which pairs wait in a heap instead of being scanned: the same merges in the same order.
+SCANNED = 256
+NEVER = 1 << 60
 
 OUTPUTS = {
     "ids": T.ArrayType(T.IntegerType()),
@@ -54,32 +67,77 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
+def ranks_of(rank_file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
+
+
 class Codec:
     """encode, join and decode for one rank file."""
 
-    def __init__(self, rank_file: bytes, pattern: str, text_leaf: int = TEXT_LEAF, piece_leaf: int = PIECE_LEAF):
+    def __init__(self, rank_file: bytes, pattern: str, leaf: int = LEAF, piece_leaf: int = PIECE_LEAF):
         import regex
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
-        self.bytes_of = dict(map(reversed, ranks.items()))
-        library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.merge, self.whole = library._core_bpe.encode_single_piece, library.encode_ordinary
-        self.packed = library._core_bpe.encode_to_tiktoken_buffer
-        self.pieces = regex.compile(pattern).findall
-        self.text_leaf, self.piece_leaf = text_leaf, piece_leaf
+
+        self.ranks = ranks_of(rank_file)
+        self.bytes_of = {v: k for k, v in self.ranks.items()}
+        self.digits = {v: str(v).encode() for v in self.bytes_of}
+        self.pattern = regex.compile(pattern)
+        self.leaf, self.piece_leaf = leaf, piece_leaf
+        self.known: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
+    # --- the base of the recursion: lowest rank first, leftmost of equals
+    def merge(self, piece: bytes) -> list[int]:
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        if len(piece) > SCANNED:
+            return self.merge_waiting(piece)
+        rank = self.ranks.get
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (least := min(pairs)) < NEVER:
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], NEVER)
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
+        return [self.ranks[p] for p in parts]
+
+    def merge_waiting(self, piece: bytes) -> list[int]:
+        """As merge, with the pairs in a heap and the parts in a linked list."""
+        rank, n = self.ranks.get, len(piece)
+        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, i + 1) for i in range(n - 1) if (r := rank(piece[i : i + 2], NEVER)) < NEVER]
+        heapify(heap)
+        while heap:
+            r, i, j = heappop(heap)
+            a, b = parts[i], parts[j]
+            if a is None or b is None or after[i] != j or rank(a + b, NEVER) != r:
+                continue
+            parts[i], parts[j] = a + b, None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (s := rank(parts[i] + parts[k], NEVER)) < NEVER:
+                    heappush(heap, (s, i, k))
+            h = before[i]
+            if h >= 0 and (s := rank(parts[h] + parts[i], NEVER)) < NEVER:
+                heappush(heap, (s, h, i))
+        return [self.ranks[p] for p in parts if p is not None]
+
     # --- piece level
     def compatible(self, a: int, b: int) -> bool:
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 200_000:
+            if len(self.pairs) >= REMEMBERED:
                 self.pairs.clear()
             found = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return found
 
-    def join_ids(self, a: list[int], b: list[int]) -> list[int]:
+    def join_ids(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the bytes of a followed by those of b, both of one piece."""
         if not a or not b:
             return a or b
@@ -90,59 +148,64 @@ class Codec:
             i, j = max(0, len(a) - width), min(len(b), width)
             window = self.merge(b"".join([self.bytes_of[t] for t in a[i:] + b[:j]]))
             if (i == 0 or self.compatible(a[i - 1], window[0])) and (j == len(b) or self.compatible(window[-1], b[j])):
-                return a[:i] + window + b[j:]
+                return a[:i] + tuple(window) + b[j:]
             width *= 2
 
-    def piece_ids(self, piece: bytes) -> list[int]:
+    def piece_ids(self, piece: bytes) -> tuple[int, ...]:
         if len(piece) <= self.piece_leaf:
-            return self.merge(piece)
+            return tuple(self.merge(piece))
         half = len(piece) // 2
         return self.join_ids(self.piece_ids(piece[:half]), self.piece_ids(piece[half:]))
 
-    # --- text level
-    def span(self, text: str) -> list[int]:
-        """The encoding of a leaf or of a window; a window without a space may be long."""
-        if len(text) <= self.text_leaf:
-            return self.whole(text)
-        return [t for piece in self.pieces(text) for t in self.piece_ids(piece.encode())]
-
-    @staticmethod
-    def last_place(text: str) -> int:
-        """Where the last match begins that begins at a space after a non-space; 0 if none does."""
-        at = text.rfind(" ")
-        while at > 0 and text[at - 1].isspace():
-            at = text.rfind(" ", 0, at)
-        return max(at, 0)
-
-    @staticmethod
-    def first_place(text: str, before: str) -> int:
-        """Where the first such match begins after the text `before`; the length if none does."""
-        at = text.find(" ")
-        while at >= 0 and (text[at - 1] if at else before[-1:]).isspace():
-            at = text.find(" ", at + 1)
-        return len(text) if at < 0 else at
-
-    def join(self, left: str, a: list[int], right: str, b: list[int]) -> list[int]:
-        """The encoding of left + right from the encodings a and b of either."""
-        j = self.first_place(right, left)
-        if j == 0:
-            return a + b
-        i = self.last_place(left)
-        kept = a[: len(a) - len(self.span(left[i:]))] if i else []
-        rest = b[len(self.span(right[:j])) :] if j < len(right) else []
-        return kept + self.span(left[i:] + right[:j]) + rest
+    def code(self, piece: str) -> tuple[int, ...]:
+        """The tokens of one piece."""
+        found = self.known.get(piece)
+        if found is None:
+            found = self.piece_ids(piece.encode("utf-8", "replace"))
+            if len(piece) <= self.piece_leaf:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[piece] = found
+        return found
 
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids of a text as little-endian 16-bit integers; leaves stay packed until they are joined."""
-        if len(text) <= self.text_leaf:
-            return np.frombuffer(self.packed(text, frozenset()), np.uint32).astype("<u2").tobytes()
-        return np.asarray(self.encode(text), "<u2").tobytes()
+    # --- text level
+    def span(self, text: str, a: int, b: int) -> tuple[list[str], list[tuple[int, ...]]]:
+        """The pieces of text[a:b] and the tokens of each."""
+        if b - a > self.leaf:
+            m = (a + b) // 2
+            return self.join(text, m, b, self.span(text, a, m), self.span(text, m, b))
+        pieces, known, code = self.pattern.findall(text, a, b), self.known.get, self.code
+        return pieces, [known(p) or code(p) for p in pieces]
+
+    def join(self, text: str, m: int, b: int, left: tuple[list, list], right: tuple[list, list]) -> tuple[list, list]:
+        """The encoding of left, which ends at m, and right, text[m:b], together."""
+        (pieces, codes), (later, later_codes) = left, right
+        keep, at = len(pieces), m
+        while keep and at > m - LOOK:
+            keep -= 1
+            at -= len(pieces[keep])
+        fresh, fresh_codes, taken, end = [], [], 0, m
+        while at < m or at != end:
+            piece = self.pattern.match(text, at, b)[0]
+            start, at = at, at + len(piece)
+            while end < at:
+                end += len(later[taken])
+                taken += 1
+            fresh.append(piece)
+            if start < m < at and len(piece) > self.piece_leaf:
+                # Both sides have tokens already where the piece is the joint of their last and first one.
+                a = codes[-1] if len(pieces[-1]) == m - start else self.piece_ids(text[start:m].encode("utf-8", "replace"))
+                z = later_codes[0] if len(later[0]) == at - m else self.piece_ids(text[m:at].encode("utf-8", "replace"))
+                fresh_codes.append(self.join_ids(a, z))
+            else:
+                fresh_codes.append(self.code(piece))
+        pieces[keep:], codes[keep:] = fresh, fresh_codes
+        pieces += later[taken:] if taken else later
+        codes += later_codes[taken:] if taken else later_codes
+        return pieces, codes
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.text_leaf:
-            return self.whole(text)
-        left, right = text[: len(text) // 2], text[len(text) // 2 :]
-        return self.join(left, self.encode(left), right, self.encode(right))
+        return list(chain.from_iterable(self.span(text, 0, len(text))[1]))
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 1024:
@@ -155,7 +218,7 @@ def outputs(codec: Codec, text: str, want: tuple[str, ...]) -> dict:
     ids = codec.encode(text)
     row: dict = {"n_tokens": len(ids), "ids": ids}
     if "ids_sha256" in want:
-        row["ids_sha256"] = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        row["ids_sha256"] = hashlib.sha256(b" ".join(map(codec.digits.__getitem__, ids))).hexdigest()
     if "decoded" in want or "decoded_sha256" in want:
         whole = codec.decode(ids)
         row |= {"decoded": whole, "decoded_sha256": hashlib.sha256(whole).hexdigest()}

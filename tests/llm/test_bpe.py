@@ -12,7 +12,7 @@ from scriptorium.llm.bpe import Codec, decode_documents, default_vocabulary, enc
 
 RANKS = read_ranks(default_vocabulary())
 ORACLE = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, RANKS.splitlines())}, special_tokens={})
-TINY = Codec(RANKS, P.PATTERN, text_leaf=3, piece_leaf=1)
+TINY = Codec(RANKS, P.PATTERN, leaf=3, piece_leaf=1)
 USUAL = Codec(RANKS, P.PATTERN)
 
 
@@ -23,10 +23,39 @@ def test_tree_equals_the_library(text):
     assert TINY.encode(text) == want
     assert USUAL.encode(text) == want
     assert USUAL.decode(want) == text.encode()
-    assert USUAL.encode_bytes(text) == b"".join(t.to_bytes(2, "little") for t in want)
 
 
-@pytest.mark.parametrize("text", ["a" * 20_001, "ab" * 6000 + "c", " " * 9000 + "x", "\n" * 5001, "!?" * 5000, "é" * 9999, "the quick  fox's " * 3000])
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab'lverstdm 1\n日é,!")), min_size=200, max_size=1500))
+def test_usual_leaves_equal_the_library(text):
+    assert USUAL.encode(text) == ORACLE.encode_ordinary(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(min_size=1, max_size=700))
+def test_both_ways_to_merge(piece):
+    rank_only = Codec(RANKS, P.PATTERN)
+    whole = rank_only.ranks.get(piece)
+    assert rank_only.merge_waiting(piece) == ([whole] if whole is not None else rank_only.merge(piece))
+    assert rank_only.merge_waiting(piece) == ORACLE._core_bpe.encode_single_piece(piece)
+
+
+def test_all_documents():
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist():
+        assert USUAL.encode(text or "") == ORACLE.encode_ordinary(text or "")
+
+
+def test_no_library_in_the_operator():
+    import inspect
+
+    from scriptorium.llm import bpe
+
+    assert "tiktoken." not in inspect.getsource(bpe).replace("byte_bpe_50k.tiktoken", "") and "import tiktoken" not in inspect.getsource(bpe)
+
+
+@pytest.mark.parametrize("text", ["中文字符" * 5000, "中文，字。" * 4000, "'l" * 3000 + "'ll", "QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 900, "a" * 20_001, "ab" * 6000 + "c", " " * 9000 + "x", "\n" * 5001, "!?" * 5000, "é" * 9999, "the quick  fox's " * 3000])
 def test_long_texts(text):
     assert USUAL.encode(text) == ORACLE.encode_ordinary(text)
 
