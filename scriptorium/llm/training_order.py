@@ -4,14 +4,22 @@ A sequence is a document's tokens and an end mark. Sequences are numbered from 0
 Feistel network over a x b >= N places, with modular additions and a round function keyed by `key`,
 permutes the places, and walking its cycles until a place is below N permutes the numbers: that is the
 sequence's slot. Shard s holds slots s * slots to (s + 1) * slots - 1, their tokens one after another, cut
-into records of `record` 16-bit little-endian ids and a line feed, the last one filled with end marks. So
-record r of a shard lies at byte r * (2 * record + 1), and reading resumes at (shard, record).
+into records of `record` 16-bit little-endian ids and a line feed, the last one filled with end marks. A shard
+is a folder of files of `part` records each, so a file is bounded in bytes whatever the sequences' lengths, and
+record r of a shard lies in file r // part at byte r % part * (2 * record + 1). Reading resumes at
+(shard, record) and opens no earlier file.
 
-Slots are dealt to tasks by range, known without sampling, as slots are dense. Spark's writer commits the
-files, so lost executors and second attempts leave no half shards. The manifest is read back from the files.
+Slots are dealt to tasks by range, known without sampling, as slots are dense. Records carry their number within
+the shard and are sorted by (shard, number) before the write, which needs no sort of its own then; a sort by
+shard alone could mix the records of a shard when it spills. Spark's writer commits the files, so lost executors
+and second attempts leave no half shards. Beside the shards stands an index: each sequence's place and the digest
+taken when it was encoded. The manifest reads the shards back and fails where they differ from the index.
+
+Tokens come from the tiktoken library here; the operator `bpe` has its own encoder.
 
 Cases: a null or empty text is a sequence of the end mark alone; repeated rows are sequences each; an empty
-table writes no shard; other columns are ignored. The token ids must be below 65,535.
+table writes no shard; other columns are ignored; docs that aren't whole Parquet files (filtered, joined, made in
+memory) are written once first. The token ids must be below 65,535.
 """
 
 from __future__ import annotations
@@ -21,13 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Codec, default_vocabulary, read_ranks
+from .bpe import default_vocabulary, ranks_of, read_ranks
 from .common import fresh_path, staged
 
-END, RECORD, SLOTS, KEY, ROUNDS, MOST_TASKS = 50256, 2048, 8192, "epoch-0", 6, 20_000
+END, RECORD, SLOTS, PART, KEY, ROUNDS, MOST_TASKS = 50256, 2048, 8192, 4096, "epoch-0", 6, 20_000
+INDEX = "doc_id long, slot long, first_token long, n_tokens long, tokens_sha256 string"
 
 
 class Permutation:
@@ -65,10 +75,22 @@ class Permutation:
         return at.astype(np.int64)
 
 
+def placed_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with the file and row that each comes from, and the files with their numbers of rows."""
+    placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    row = F.col("__row").cast("decimal(38,0)")
+    whole = (F.max("__row") == F.count("*") - 1) & (F.min("__row") == 0) & (F.sum(row) * 2 == F.count("*") * (F.count("*") - 1).cast("decimal(20,0)"))
+    return placed, staged(placed.groupBy("__file").agg(F.count("*").alias("__n"), whole.alias("__whole")), "files")
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs with `number`, 0 to N-1 by file and row of the files that docs is read from, and N."""
-    placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    files = placed.groupBy("__file").agg(F.count("*").alias("__n"))
+    try:
+        placed, files = placed_rows(docs)
+        if not files.agg(F.coalesce(F.min("__whole"), F.lit(True)).alias("w")).first()["w"]:
+            raise ValueError
+    except (AnalysisException, ValueError):  # rows that no file numbers from 0 on without a gap
+        placed, files = placed_rows(staged(docs, "documents"))
     # One row for each file; their running sum is taken in one task.
     before = F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
     offsets = staged(files.select(F.col("__file").alias("__f"), "__n", F.coalesce(before, F.lit(0)).alias("__offset")), "offsets")
@@ -77,102 +99,156 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     return joined.select(*docs.columns, (F.col("__offset") + F.col("__row")).alias("number")), int(total)
 
 
-def write_shards(docs: DataFrame, path: str, key: str = KEY, record: int = RECORD, slots: int = SLOTS, vocabulary: str | None = None) -> tuple[DataFrame, int]:
-    """Write the shards below `path`; (doc_id, slot) of every sequence, lazily, and their number. docs is read from Parquet files."""
+def digest(tokens: bytes) -> str:
+    return hashlib.sha256(tokens).hexdigest()
+
+
+def write_shards(docs: DataFrame, path: str, key: str = KEY, record: int = RECORD, slots: int = SLOTS, part: int = PART, vocabulary: str | None = None) -> int:
+    """Write the shards and their index below `path`; the number of sequences."""
     import public_tokenizers
 
     pattern = public_tokenizers.PATTERN
     spark = docs.sparkSession
     placed, n = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     if not n:
-        return spark.createDataFrame([], "doc_id long, slot long"), 0
+        return 0
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary or default_vocabulary()))
     shards = -(-n // slots)
     tasks = min(shards, MOST_TASKS)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, order = Codec(ranks.value, pattern), Permutation(n, key)
+        import tiktoken
+
+        library, order = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks_of(ranks.value), special_tokens={}), Permutation(n, key)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                tokens = [codec.encode_bytes(x or "") for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(order(part.column("number").to_numpy())), pa.array(tokens, pa.binary())], names=["slot", "tokens"])
+                rows = batch.slice(at, 256)
+                tokens = [library.encode_to_numpy(x or "", disallowed_special=()).astype("<u2").tobytes() for x in rows.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(order(rows.column("number").to_numpy())), pa.array(tokens, pa.binary()), pa.array([digest(t) for t in tokens], pa.string())], names=["doc_id", "slot", "tokens", "digest"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of (kind, shard, number, value): records of tokens, and a line of the index for each sequence."""
         stride, end = 2 * record, END.to_bytes(2, "little")
-        shard, held = -1, bytearray()
+        shard, held, index, made, first = -1, bytearray(), [], 0, 0
 
         def cut(last: bool) -> pa.RecordBatch:
+            nonlocal made, index
             whole = len(held) // stride
-            records = [bytes(held[i * stride : (i + 1) * stride]) for i in range(whole)]
+            values = [bytes(held[i * stride : (i + 1) * stride]) for i in range(whole)]
             del held[: whole * stride]
             if last and held:
-                records.append(bytes(held) + end * ((stride - len(held)) // 2))
+                values.append(bytes(held) + end * ((stride - len(held)) // 2))
                 held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([shard] * len(records), pa.int32()), pa.array(records, pa.binary())], names=["shard", "record"])
+            numbers = [*range(made, made + len(values)), *[slot for slot, _ in index]]
+            kinds = ["records"] * len(values) + ["index"] * len(index)
+            made += len(values)
+            values += [line for _, line in index]
+            index = []
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([shard] * len(kinds), pa.int64()), pa.array(numbers, pa.int64()), pa.array(values, pa.binary())], names=["kind", "shard", "number", "value"])
 
         for batch in batches:
-            for slot, tokens in zip(batch.column("slot").to_numpy(), batch.column("tokens"), strict=True):
+            told = [batch.column(c).to_pylist() for c in ("doc_id", "slot", "tokens", "digest")]
+            for doc_id, slot, tokens, told_digest in zip(*told, strict=True):
                 if slot // slots != shard:
-                    if held:
+                    if index:
                         yield cut(True)
-                    shard = int(slot // slots)
-                held += tokens.as_py()
+                    shard, made, first = slot // slots, 0, 0
+                held += tokens
                 held += end
+                index.append((slot, f"{'' if doc_id is None else doc_id},{slot},{first},{len(tokens) // 2},{told_digest}".encode()))
+                first += len(tokens) // 2 + 1
                 if len(held) > 1 << 20:
                     yield cut(False)
-        if held:
+        if index:
             yield cut(True)
 
-    ordered = placed.select("number", "text").mapInArrow(tokenize, "slot long, tokens binary")
+    ordered = placed.select("doc_id", "number", "text").mapInArrow(tokenize, "doc_id long, slot long, tokens binary, digest string")
     task = F.expr(f"cast((slot div {slots}) * {tasks} div {shards} as int)")
     ordered = ordered.repartitionById(tasks, task).sortWithinPartitions("slot")
-    packed = ordered.mapInArrow(pack, "shard int, record binary")
-    packed.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
+    packed = ordered.mapInArrow(pack, "kind string, shard long, number long, value binary").sortWithinPartitions("kind", "shard", "number")
+    packed.select("kind", "shard", F.col("value").cast("string").alias("value")).write.partitionBy("kind", "shard").option("maxRecordsPerFile", part).text(path)
+    return n
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, slot, first_token, n_tokens and tokens_sha256 of every sequence, as encoded."""
+    return spark.read.schema(INDEX).option("mode", "FAILFAST").csv(f"{path}/kind=index").select("doc_id", "slot", "first_token", "n_tokens", "tokens_sha256")
 
-    def slot_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Permutation(n, key)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(order(batch.column("number").to_numpy()))], names=["doc_id", "slot"])
 
-    return placed.select("doc_id", "number").mapInArrow(slot_of, "doc_id long, slot long"), n
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """shard, part, length and content of the shards' files."""
+    number = F.regexp_extract("path", r"\.c(\d+)\.", 1).cast("long")
+    return spark.read.format("binaryFile").load(f"{path}/kind=records").select(F.col("shard").cast("long").alias("shard"), number.alias("part"), "length", "content")
 
 
-def read_manifest(spark: SparkSession, path: str, n: int, record: int = RECORD, slots: int = SLOTS) -> DataFrame:
-    """slot, shard, first_token, n_tokens and tokens_sha256 of every sequence, from the files themselves."""
+def read_shards(spark: SparkSession, path: str, n: int, record: int = RECORD, slots: int = SLOTS, part: int = PART) -> DataFrame:
+    """slot, first_token, n_tokens and tokens_sha256 of every sequence, from the shards alone.
+
+    A file is read by itself. The sequence that runs on into the next file is put together from its pieces.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+            for shard, number, content in zip(batch.column("shard").to_pylist(), batch.column("part").to_pylist(), batch.column("content"), strict=True):
                 ids = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, 2 * record + 1)[:, : 2 * record].copy().view("<u2").reshape(-1)
-                ends = np.flatnonzero(ids == END)[: min(slots, n - shard * slots)]
-                starts = np.r_[0, ends[:-1] + 1]
-                digests = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(starts, ends, strict=True)]
+                ends = np.flatnonzero(ids == END)
+                starts, stops = np.r_[0, ends + 1], np.r_[ends, len(ids)]
+                last = len(starts) - 1
+                edge = [ids[a:b].tobytes() if k in (0, last) else None for k, (a, b) in enumerate(zip(starts, stops, strict=True))]
+                found = [None if e is not None else digest(ids[a:b].tobytes()) for e, a, b in zip(edge, starts, stops, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard * slots + np.arange(len(ends))), pa.array(np.full(len(ends), shard, np.int32)), pa.array(starts), pa.array(ends - starts), pa.array(digests, pa.string())],
-                    names=["slot", "shard", "first_token", "n_tokens", "tokens_sha256"],
+                    [
+                        pa.array(np.full(last + 1, shard)),
+                        pa.array(np.full(last + 1, number)),
+                        pa.array(np.arange(last + 1)),
+                        pa.array((np.arange(last + 1) < last).astype(np.int64)),
+                        pa.array(starts + number * part * record),
+                        pa.array(stops - starts),
+                        pa.array(edge, pa.binary()),
+                        pa.array(found, pa.string()),
+                    ],
+                    names=["shard", "part", "k", "ended", "first_token", "n_tokens", "edge", "digest"],
                 )
 
-    files = spark.read.format("binaryFile").load(path).select(F.col("shard").cast("int").alias("shard"), "content")
-    return files.mapInArrow(parse, "slot long, shard int, first_token long, n_tokens long, tokens_sha256 string")
-
-
-def records(spark: SparkSession, path: str, shard: int = 0, first: int = 0, record: int = RECORD) -> DataFrame:
-    """shard, number and tokens of the records from (shard, first) on, for resuming; earlier shards aren't opened."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("shard") >= shard)
+    pieces = files_of(spark, path).select("shard", "part", "content").mapInArrow(parse, "shard long, part long, k long, ended long, first_token long, n_tokens long, edge binary, digest string")
+    # A shard has at most `slots` sequences and two pieces more for each file.
+    before = F.sum("ended").over(Window.partitionBy("shard").orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1))
+    counted = pieces.withColumn("place", F.coalesce(before, F.lit(0)))
+    whole = counted.where("digest is not null").select("shard", "place", "first_token", "n_tokens", "digest")
+    parts = F.sort_array(F.collect_list(F.when(F.col("edge").isNotNull(), F.struct("part", "k", "edge"))))
+    joined = F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["edge"]))
+    cut = counted.where("digest is null").groupBy("shard", "place").agg(F.min("first_token").alias("first_token"), F.sum("n_tokens").alias("n_tokens"), F.sha2(joined, 256).alias("digest"))
+    slot = F.col("shard") * slots + F.col("place")
+    # What fills the last record of a shard are end marks beyond its sequences.
+    return whole.unionByName(cut).where(F.col("place") < F.least(F.lit(slots), F.lit(n) - F.col("shard") * slots)).select(slot.alias("slot"), "first_token", "n_tokens", F.col("digest").alias("tokens_sha256"))
+
+
+def read_manifest(spark: SparkSession, path: str, n: int, record: int = RECORD, slots: int = SLOTS, part: int = PART) -> DataFrame:
+    """doc_id, slot, shard, first_token, n_tokens and tokens_sha256 of every sequence, as the shards have it; fails where that isn't what was encoded."""
+    told = read_index(spark, path).select("doc_id", *[F.col(c).alias(f"__{c}") for c in ("slot", "first_token", "n_tokens", "tokens_sha256")])
+    there = read_shards(spark, path, n, record, slots, part)
+    same = (F.col("first_token") == F.col("__first_token")) & (F.col("n_tokens") == F.col("__n_tokens")) & (F.col("tokens_sha256") == F.col("__tokens_sha256"))
+    wrong = F.raise_error(F.concat(F.lit("not what was encoded: sequence "), F.coalesce("slot", "__slot").cast("string")))
+    checked = F.when(F.coalesce(same, F.lit(False)), F.col("tokens_sha256")).otherwise(wrong)
+    joined = told.join(there, told["__slot"] == there["slot"], "full")
+    return joined.select("doc_id", "slot", F.floor(F.col("slot") / slots).cast("int").alias("shard"), "first_token", "n_tokens", checked.alias("tokens_sha256"))
+
+
+def records(spark: SparkSession, path: str, shard: int = 0, first: int = 0, record: int = RECORD, part: int = PART) -> DataFrame:
+    """shard, number and tokens of the records from (shard, first) on, for resuming; earlier files aren't opened."""
     stride = 2 * record + 1
-    each = F.explode(F.sequence(F.lit(0), (F.col("length") / stride).cast("int") - 1))
-    cut = files.select(F.col("shard").cast("int").alias("shard"), each.alias("number"), "content")
-    return cut.where((F.col("shard") > shard) | (F.col("number") >= first)).select("shard", "number", F.substring("content", F.col("number") * stride + 1, F.lit(2 * record)).alias("tokens"))
+    files = files_of(spark, path).where((F.col("shard") > shard) | ((F.col("shard") == shard) & (F.col("part") >= first // part)))
+    within = F.explode(F.sequence(F.lit(0), (F.col("length") / stride).cast("int") - 1)).alias("within")
+    number = F.col("part") * part + F.col("within")
+    cut = files.select("shard", "part", within, "content").where((F.col("shard") > shard) | (number >= first))
+    return cut.select(F.col("shard").cast("int").alias("shard"), number.alias("number"), F.substring("content", F.col("within") * stride + 1, F.lit(2 * record)).alias("tokens"))
 
 
 def training_order(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
-    """Write the shards and return doc_id, slot, shard, first_token, n_tokens and tokens_sha256 of each sequence."""
+    """Write the shards and return doc_id, slot, shard, first_token, n_tokens and tokens_sha256 of each sequence, as read back."""
     spark = docs.sparkSession
     path = path or fresh_path(spark, "shards")
-    own, n = write_shards(docs, path, **options)
+    n = write_shards(docs, path, **options)
     if not n:
         return spark.createDataFrame([], "doc_id long, slot long, shard int, first_token long, n_tokens long, tokens_sha256 string")
-    layout = {k: options[k] for k in ("record", "slots") if k in options}
-    told = read_manifest(spark, path, n, **layout)
-    return own.join(told, "slot").select("doc_id", "slot", "shard", "first_token", "n_tokens", "tokens_sha256")
+    return read_manifest(spark, path, n, **{k: options[k] for k in ("record", "slots", "part") if k in options})

@@ -1,5 +1,7 @@
 import hashlib
 import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -20,30 +22,73 @@ def test_permutation(n):
         assert (order != O.Permutation(n, "b")(np.arange(n))).mean() > 0.8 and (order == O.Permutation(n, "a")(np.arange(n))).all()
 
 
-def test_shards(spark, tmp_path):
-    rows = [(i, f"text number {i} " * (i % 9)) for i in range(90)] + [(None, None), (3, "text number 3 " * 3), (200, "long " * 4000)]
-    spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, slot string").repartition(3).write.parquet(str(tmp_path / "docs"))
-    docs, path = spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "shards")
-    told = O.training_order(docs, path, record=64, slots=20).collect()
-    codec = Codec(read_ranks(default_vocabulary()), P.PATTERN)
+ROWS = [(i, f"text number {i} " * (i % 9)) for i in range(90)] + [(None, None), (3, "text number 3 " * 3), (200, "long " * 4000)]
+
+
+def encoded(text):
+    return np.array(Codec(read_ranks(default_vocabulary()), P.PATTERN).encode(text or ""), "<u2").tobytes()
+
+
+def check_shards(spark, folder, part):
+    """Write ROWS and read them as one who seeks does: records of 2 * 64 + 1 bytes, `part` of them in a file."""
+    spark.createDataFrame([(*r, "clash") for r in ROWS], "doc_id long, text string, slot string").repartition(3).write.parquet(str(folder / "docs"))
+    docs, path = spark.read.parquet(str(folder / "docs")), str(folder / "shards")
+    told = O.training_order(docs, path, record=64, slots=20, part=part).collect()
     assert sorted(r["slot"] for r in told) == list(range(93))
-    want = sorted((str(i), hashlib.sha256(codec.encode_bytes(t or "")).hexdigest()) for i, t in rows)
-    assert sorted((str(r["doc_id"]), r["tokens_sha256"]) for r in told) == want
+    assert sorted((str(r["doc_id"]), r["tokens_sha256"]) for r in told) == sorted((str(i), hashlib.sha256(encoded(t)).hexdigest()) for i, t in ROWS)
     assert all(r["shard"] == r["slot"] // 20 for r in told)
-    # A reader that seeks: each shard is one file of records of 2 * 64 + 1 bytes.
     by_slot = {r["slot"]: r for r in told}
     for shard in range(5):
-        files = [f for f in (tmp_path / "shards" / f"shard={shard}").iterdir() if f.name.startswith("part-")]
-        assert len(files) == 1 and files[0].stat().st_size % 129 == 0
-        raw = files[0].read_bytes()
+        files = sorted((f for f in (folder / "shards" / "kind=records" / f"shard={shard}").iterdir() if f.name.startswith("part-")), key=lambda f: f.name.split(".c")[1])
+        assert all(f.stat().st_size == 129 * part for f in files[:-1]) and 0 < files[-1].stat().st_size <= 129 * part
+        raw = b"".join(f.read_bytes() for f in files)
         ids = [t for at in range(0, len(raw), 129) for t in np.frombuffer(raw[at : at + 128], "<u2").tolist()]
         for slot in range(shard * 20, min(93, shard * 20 + 20)):
             r = by_slot[slot]
             own = ids[r["first_token"] : r["first_token"] + r["n_tokens"]]
             assert hashlib.sha256(np.array(own, "<u2").tobytes()).hexdigest() == r["tokens_sha256"] and ids[r["first_token"] + r["n_tokens"]] == O.END
-    every = O.records(spark, path, record=64).count()
-    assert O.records(spark, path, shard=0, first=1, record=64).count() == every - 1
-    assert O.records(spark, path, shard=4, record=64).agg(F.min("shard")).first()[0] == 4
+    return docs, path
+
+
+@pytest.mark.parametrize("part", [1, 3, 4096])
+def test_shards(spark, tmp_path, part):
+    docs, path = check_shards(spark, tmp_path, part)
+    whole = {(r["shard"], r["number"]): bytes(r["tokens"]) for r in O.records(spark, path, record=64, part=part).collect()}
+    for shard, first in ((0, 1), (2, 4), (4, 0)):
+        some = {(r["shard"], r["number"]): bytes(r["tokens"]) for r in O.records(spark, path, shard, first, record=64, part=part).collect()}
+        assert some == {k: v for k, v in whole.items() if k >= (shard, first)}
+
+    derived = docs.where("doc_id is null or doc_id <> 7").union(docs.where("doc_id = 9"))
+    assert O.training_order(derived, record=64, slots=20, part=part).count() == 93
+
+
+def test_changed_shards_are_told(spark, tmp_path):
+    _, path = check_shards(spark, tmp_path, 4)
+    file = next(f for f in (tmp_path / "shards" / "kind=records" / "shard=2").iterdir() if f.name.startswith("part-") and ".c000" in f.name)
+    raw = bytearray(file.read_bytes())
+    raw[8] ^= 1
+    file.write_bytes(bytes(raw))
+    (file.parent / f".{file.name}.crc").unlink()
+    with pytest.raises(Exception, match="not what was encoded"):
+        O.read_manifest(spark, path, 93, 64, 20, 4).collect()
+
+
+SPILLS = """
+import sys
+from pathlib import Path
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.shuffle.spill.numElementsForceSpillThreshold", "7").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {folder!r}).getOrCreate()
+from tests.llm.test_order_mix_pipeline import check_shards
+check_shards(spark, Path({folder!r}), 3)
+print("all", "right")
+"""
+
+
+def test_shards_stay_right_when_sorts_spill(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", SPILLS.format(root=root, folder=str(tmp_path))], capture_output=True, text=True, timeout=300)
+    assert "all right" in done.stdout, done.stderr[-3000:]
 
 
 def test_no_documents(spark, tmp_path):
