@@ -2,29 +2,43 @@
 
 A vector's terms are its components; a term's posting lists hold the vectors in which it is positive or
 negative. For a query, terms are ordered by the most that they can add to a score in a shard. Terms at
-the end whose bounds together stay below the k-th best score so far are non-essential: a vector that is in
-no posting list of an essential term can't be among the k best. Essential postings are traversed, the other
-terms are probed for vectors that can still compete, and the shards' k best are merged.
+the end whose bounds together stay below the query's threshold, the k-th best score that it has so far, are
+non-essential: a vector that is in no posting list of an essential term can't be among the k best. Essential
+postings are traversed; then vectors are probed in the order of what they can still reach, a few at a time, and
+the threshold rises with them, until the next can't compete. The shards' k best are merged.
 
-Vectors are dealt to shards and queries to blocks by a hash of their id, both of bounded size; a task holds
-one shard and one block. There is one task per shard and block, as every query is searched in every shard.
+Vectors are dealt to shards of bounded size by a hash; each shard is put together once and written. Queries go
+through the shards in blocks of bounded size, sent to every task. A task carries its block's k best from shard to
+shard. Shards are taken in groups, each GROWTH times the last; what a group's shards found gives the thresholds
+with which the next begins. So a shard of a later group returns little: about k * GROWTH answers a query leave
+each group however many shards it has, and no vector is copied for a query or a query for a vector in a shuffle.
+
+Every row whose id is divisible by `every` is a query of its own, and every other row its candidate. Rows that
+repeat both id and vector are kept as one with their number, and each of them gets the same answer.
 
 Cases: a null vector, or one that holds null, NaN or an infinity, takes no part, nor does a row without an
-id; vectors that are shorter than others lack the terms (0); an empty vector scores 0; of rows that share a
-query's id the smallest vector is the query, and none of them is its candidate; rows that repeat another id
-are candidates each; ties go to the smaller id; other columns are ignored. Scores beyond 64 bits are held
-at the limits.
+id; vectors that are shorter than others lack the terms (0); an empty vector scores 0; rows that share an id
+are candidates of each other; ties go to the smaller id; other columns are ignored. Scores beyond 64 bits are
+held at the limits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 K, EVERY, SCALE = 5, 50, 256
-SHARD_ROWS, BLOCK_ROWS = 4096, 1024
+SHARD_ROWS, BLOCK_VALUES, GROWTH, MOST_TASKS = 8192, 1 << 22, 16, 20_000
+PROBED = 64
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -41,80 +55,150 @@ def matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def exact(q: np.ndarray, v: np.ndarray) -> int:
+    return max(LOW, min(HIGH, sum(int(a) * int(b) for a, b in zip(q, v, strict=True))))
+
+
 class Shard:
-    """Posting lists and term bounds of the vectors `v` with ids `ids`."""
+    """Posting lists and term bounds of the vectors `v` with ids `ids`, each there `times` times."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray):
+    def __init__(self, ids: np.ndarray, v: np.ndarray, times: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.v = ids[order], v[order]
+        self.ids, self.v, self.times = ids[order], v[order], times[order]
         self.high, self.low = np.maximum(self.v.max(0, initial=0), 0), np.minimum(self.v.min(0, initial=0), 0)
-        self.positive = [np.flatnonzero(self.v[:, d] > 0) for d in range(v.shape[1])]
-        self.negative = [np.flatnonzero(self.v[:, d] < 0) for d in range(v.shape[1])]
-
-    def best(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (id, score) among the vectors whose id isn't `own`."""
-        top = int(np.abs(q).max(initial=0)) * int(max(self.high.max(initial=0), -self.low.min(initial=0)))
-        if top * max(1, len(q)) >= 1 << 62:
-            exact = [(i, max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(q, row, strict=True))))) for i, row in zip(self.ids.tolist(), self.v, strict=True) if i != own]
-            return sorted(exact, key=lambda x: (-x[1], x[0]))[:k]
+        self.largest = int(max(self.high.max(initial=0), -int(self.low.min(initial=0))))
+        self.postings: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+
+    def posting(self, d: int, positive: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The places and weights of the vectors whose term d has this sign."""
+        if (d, positive) not in self.postings:
+            at = np.flatnonzero(self.v[:, d] > 0 if positive else self.v[:, d] < 0)
+            self.postings[d, positive] = at, self.v[at, d]
+        return self.postings[d, positive]
+
+    def best(self, own: int, q: np.ndarray, k: int, found: list[tuple[int, int]], threshold: int | None = None) -> list[tuple[int, int]]:
+        """The k best (-score, id) of `found` and of this shard's vectors but the query's own row; with a threshold from elsewhere lower ones may lack."""
+        top = int(np.abs(q).max(initial=0)) * self.largest * max(1, len(q))
+        if top >= 1 << 62:
+            scored = [(-exact(q, row), i) for i, row, n in zip(self.ids.tolist(), self.v, self.left(own, q).tolist(), strict=True) for _ in range(min(n, k))]
+            return sorted(found + scored)[:k]
+        best = sorted(found)[:k]
+        floor = max([x for x in (threshold, -best[-1][0] if len(best) >= k else None) if x is not None], default=None)
         bound = np.where(q > 0, q * self.high, q * self.low)
         order = np.argsort(-bound, kind="stable")
         rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])  # rest[i]: what terms from the i-th on can add
-        # A first threshold: the exact scores of the vectors that lead in the strongest terms.
-        leaders = np.unique(np.concatenate([self.leading(d, q[d], 4 * k) for d in order[:8]]))
-        leaders = leaders[self.ids[leaders] != own]
-        first = np.sort(self.v[leaders] @ q)[::-1]
-        threshold = first[k - 1] if len(first) >= k else None
-        essential = len(order) if threshold is None else int(np.searchsorted(-rest, -threshold, side="right"))
-        if threshold is None or rest[-1] >= threshold:
-            found = np.arange(len(self.ids))  # no bound excludes a vector that has none of the terms
+        essential = len(order) if floor is None else int(np.searchsorted(-rest, -floor, side="right"))
+        if essential > len(order):  # a vector that has none of the terms can compete
+            reach = np.full(len(self.ids), rest[0])
+            essential = 0
+            candidates = np.arange(len(self.ids))
         else:
-            partial = np.zeros(len(self.ids), np.int64)
+            reach = np.full(len(self.ids), rest[min(essential, len(order))])
             touched = np.zeros(len(self.ids), bool)
-            for d in order[:essential]:
-                at = self.positive[d] if q[d] > 0 else self.negative[d]
-                partial[at] += q[d] * self.v[at, d]
+            for d in order[:essential].tolist():
+                at, weights = self.posting(d, q[d] > 0)
+                reach[at] += q[d] * weights
                 touched[at] = True
-            found = np.flatnonzero(touched & (partial + rest[min(essential, len(order))] >= threshold))
-        score = self.v[np.ix_(found, order[:essential])] @ q[order[:essential]]
-        at = essential
-        while at < len(order):
-            if threshold is not None:
-                keep = score + rest[at] >= threshold
-                found, score = found[keep], score[keep]
-            terms = order[at : at + 8]
-            score = score + self.v[np.ix_(found, terms)] @ q[terms]
-            at += 8
-        keep = self.ids[found] != own
-        found, score = found[keep], score[keep]
-        best = np.lexsort((self.ids[found], -score))[:k]
-        return [(int(self.ids[found[i]]), int(score[i])) for i in best]
-
-    def leading(self, d: int, weight: int, n: int) -> np.ndarray:
-        at = self.positive[d] if weight > 0 else self.negative[d]
-        if len(at) <= n:
-            return at
-        return at[np.argpartition(-np.abs(self.v[at, d]), n)[:n]]
-
-
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, **columns) -> DataFrame:
+            candidates = np.flatnonzero(touched if floor is not None else np.ones(len(self.ids), bool))
+        if floor is not None:
+            candidates = candidates[reach[candidates] >= floor]
+        candidates = candidates[np.argsort(-reach[candidates], kind="stable")]
+        at, step = 0, max(PROBED, 4 * k)
+        while at < len(candidates):
+            probed = candidates[at : at + step]
+            if floor is not None and reach[probed[0]] < floor:
+                break
+            score = self.v[probed] @ q
+            if floor is not None:
+                near = score >= floor
+                probed, score = probed[near], score[near]
+            lead = np.lexsort((self.ids[probed], -score))[: 2 * k]
+            left = self.left(own, q, probed[lead])
+            for s, i, n in zip(score[lead].tolist(), self.ids[probed[lead]].tolist(), left.tolist(), strict=True):
+                best += [(-s, i)] * min(n, k)
+            best = sorted(best)[:k]
+            if len(best) >= k:
+                floor = max(floor if floor is not None else LOW, -best[-1][0])
+            at, step = at + step, step * 2
+        return best
+
+    def left(self, own: int, q: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """How often each vector is a candidate: the query's own row isn't one."""
+        ids, times = (self.ids, self.times) if at is None else (self.ids[at], self.times[at])
+        same = np.flatnonzero(ids == own)
+        if len(same):
+            times = times.copy()
+            rows = self.v[same] if at is None else self.v[at[same]]
+            times[same[(rows == q).all(1)]] -= 1
+        return times
+
+
+def pack(rows: DataFrame, shards: int, width: int) -> DataFrame:
+    """One row for each shard: its ids, vectors and numbers as bytes; at most about SHARD_ROWS vectors."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        values = [group["vec_id"].to_numpy(np.int64), matrix(group["v"], width), group["times"].to_numpy(np.int64)]
+        return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "ids": [values[0].tobytes()], "v": [values[1].tobytes()], "times": [values[2].tobytes()]})
+
+    dealt = rows.groupBy("vec_id", "v").agg(F.count("*").alias("times")).select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"), "vec_id", "v", "times")
+    return dealt.groupBy("shard").applyInPandas(run, "shard long, ids binary, v binary, times binary")
+
+
+def searched(shards: DataFrame, width: int, k: int, own: np.ndarray, queries: np.ndarray, thresholds: np.ndarray | None) -> DataFrame:
+    """(q, vec_id, score): for each query, by its place in the block, the best of the shards that a task holds."""
+    sent = shards.sparkSession.sparkContext.broadcast((own, queries, thresholds))  # of bounded size: a block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, queries, thresholds = sent.value
+        best: list[list[tuple[int, int]]] = [[] for _ in own]
+        for batch in batches:
+            for ids, v, times in zip(*[batch.column(c) for c in ("ids", "v", "times")], strict=True):
+                ids, v, times = (np.frombuffer(x.as_buffer(), np.int64) for x in (ids, v, times))
+                shard = Shard(ids, v.reshape(len(ids), width), times)
+                for i, (name, q) in enumerate(zip(own.tolist(), queries, strict=True)):
+                    best[i] = shard.best(name, q, k, best[i], None if thresholds is None or thresholds[i] == LOW else int(thresholds[i]))
+        for at in range(0, len(best), 4096):
+            rows = [(at + i, n, -s) for i, found in enumerate(best[at : at + 4096]) for s, n in found]
+            q, names, scores = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(names, pa.int64()), pa.array(scores, pa.int64())], names=["q", "vec_id", "score"])
+
+    return shards.select("ids", "v", "times").mapInArrow(run, "q long, vec_id long, score long")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD_ROWS, block_values: int = BLOCK_VALUES, growth: int = GROWTH, **columns) -> DataFrame:
     """query_id, rank, vec_id and score of the k best of each query, a row whose id is divisible by `every`."""
-    rows = usable(vectors, **columns)
-    sizes = rows.agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"), F.max(F.size("v")).alias("width")).first()
-    shards, blocks, width = max(1, -(-sizes["n"] // shard_rows)), max(1, -(-(sizes["q"] or 0) // block_rows)), max(1, sizes["width"] or 0)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), each(blocks).alias("block"), "vec_id", "v")
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = asked.select(each(shards).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
-
-    def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(candidates):
-            shard = Shard(candidates["vec_id"].to_numpy(np.int64), matrix(candidates["v"], width))
-            for own, q in zip(queries["vec_id"].to_numpy(np.int64), matrix(queries["v"], width), strict=True):
-                out += [(int(own), i, s) for i, s in shard.best(int(own), q, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = asked.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark, rows = vectors.sparkSession, usable(vectors, **columns)
+    sizes = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    n, width = sizes["n"], max(1, sizes["width"] or 0)
+    shards = max(1, -(-n // shard_rows))
+    packed = staged(pack(rows, shards, width).repartitionById(min(shards, MOST_TASKS), F.expr(f"cast(shard % {min(shards, MOST_TASKS)} as int)")), "shards")
+    asked = rows.where(F.col("vec_id") % every == 0)
+    count = asked.count()
+    blocks = max(1, -(-count // max(1, block_values // width)))
+    # Rows that repeat a query's id and vector are one query, answered for each of them.
+    asked = staged(asked.groupBy("vec_id", "v").agg(F.count("*").alias("times")).withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit("block")), F.lit(blocks))), "queries")
+    answers = []
+    for block in range(blocks if count else 0):
+        held = asked.where(F.col("block") == block).orderBy("vec_id", "v").toPandas()
+        own, queries = held["vec_id"].to_numpy(np.int64), matrix(held["v"], width)
+        thresholds, first, last, parts = None, 0, growth, []
+        while first < shards:
+            group = packed.where((F.col("shard") >= first) & (F.col("shard") < last))
+            parts.append(staged(ranked(searched(group, width, k, own, queries, thresholds), k).drop("rank"), "found"))
+            first, last = last, last * growth
+            if first < shards:
+                thresholds = np.full(len(own), LOW)
+                sofar = ranked(reduce(DataFrame.unionByName, parts), k).where(F.col("rank") == k).select("q", "score").toPandas()
+                thresholds[sofar["q"].to_numpy(np.int64)] = sofar["score"].to_numpy(np.int64)
+        names = spark.createDataFrame(pd.DataFrame({"q": np.arange(len(own)), "query_id": own, "times": held["times"].to_numpy(np.int64)}), "q long, query_id long, times long")
+        each = ranked(reduce(DataFrame.unionByName, parts), k).join(names, "q")
+        copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
+        answers.append(each.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", copies.alias("copy")).drop("copy"))
+    if not answers:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return reduce(DataFrame.unionByName, answers)

@@ -38,10 +38,10 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_st
 
 def search() -> str:
     return f"""
-with v as (select vec_id, list_transform(embedding, lambda x: cast(floor({SCALE} * cast(x as double)) as bigint)) as v from embeddings
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor({SCALE} * cast(x as double)) as bigint)) as v from embeddings
     where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-  s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score from v q join v c on q.vec_id % {EVERY} = 0 and c.vec_id <> q.vec_id),
-  r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+  s as (select q.r as asked, q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score from v q join v c on q.vec_id % {EVERY} = 0 and c.r <> q.r),
+  r as (select *, row_number() over (partition by asked order by score desc, vec_id) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= {K}"""
 
 

@@ -6,13 +6,14 @@ from scriptorium.llm import maxscore as M
 
 
 def brute(rows, every=50, k=5):
+    """The sorted answers: every row whose id is divisible by `every` asks all other rows."""
     clean = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for q in {i for i, _ in clean if i % every == 0}:
-        own = min(v for i, v in clean if i == q)
-        scores = sorted(((-sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in clean if i != q))[:k]
-        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)}
-    return out
+    out = []
+    for at, (q, own) in enumerate(clean):
+        if q % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for other, (i, v) in enumerate(clean) if other != at)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("kind", ["normal", "ties", "sparse", "negative"])
@@ -29,10 +30,29 @@ def test_top_k(spark, kind):
         x = -np.abs(x)
         x[100] = np.abs(x[100])
     rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
-    rows += [(300, None), (350, [float("nan")] * 12), (301, [1.0, None] + [0.0] * 10), (302, [float("inf")] + [0.0] * 11), (303, [1.0, 2.0]), (304, []), (None, [1.0] * 12), (7, rows[7][1]), (50, rows[50][1])]
+    rows += [(300, None), (350, [float("nan")] * 12), (301, [1.0, None] + [0.0] * 10), (302, [float("inf")] + [0.0] * 11), (303, [1.0, 2.0]), (304, []), (None, [1.0] * 12), (7, rows[7][1]), (50, rows[50][1]), (50, rows[50][1]), (100, [3.0] * 12)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
-    got = M.top_k(df, shard_rows=40, block_rows=3).collect()
-    assert {tuple(r) for r in got} >= brute(rows) if kind == "none" else {tuple(r) for r in got} == brute(rows)
+    assert sorted(tuple(r) for r in M.top_k(df).collect()) == brute(rows)
+    assert sorted(tuple(r) for r in M.top_k(df, shard_rows=15, block_values=36, growth=3).collect()) == brute(rows)
+
+
+def test_rows_that_share_a_query_id_are_candidates(spark):
+    df = spark.createDataFrame([(50, [1.0]), (50, [3.0]), (7, [2.0])], "vec_id long, embedding array<double>")
+    unit = 256 * 256
+    assert sorted(tuple(r) for r in M.top_k(df).collect()) == [(50, 1, 7, 6 * unit), (50, 1, 50, 3 * unit), (50, 2, 7, 2 * unit), (50, 2, 50, 3 * unit)]
+
+
+def test_threshold_rises_from_shard_to_shard():
+    rng = np.random.default_rng(5)
+    v = np.floor(256 * rng.normal(size=(500, 8))).astype(np.int64)
+    ids, q = np.arange(500), v[3]
+    want = sorted((-int(x), int(i)) for i, x in zip(ids, v @ q, strict=True) if i != 3)[:5]
+    best = []
+    for part in np.split(ids, 5):
+        best = M.Shard(part, v[part], np.ones(100, np.int64)).best(3, q, 5, best)
+    assert best == want
+    late = M.Shard(ids, v, np.ones(500, np.int64)).best(3, q, 5, [], threshold=-want[2][0])
+    assert late[:3] == want[:3]
 
 
 def test_top_k_of_little(spark):
