@@ -176,8 +176,9 @@ def site_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("d
     """
     model = train(docs, labels)
     named = docs.select("text", F.col(site).alias("__site"), F.col(path).alias("__path"), *[c for c in dict.fromkeys(keep) if c != "text"])
-    groups = posteriors(with_probability(named.select("text", "__site", "__path"), model, ["__site", "__path"], "p"), "__site", "__path")
-    scored = with_probability(named, model, ["__site", "__path", *dict.fromkeys(keep)], "__p")
+    # Each text is measured once; sums and verdicts read what is written here.
+    scored = staged(with_probability(named, model, ["__site", "__path", *dict.fromkeys(keep)], "__p"), "scored")
+    groups = posteriors(scored.select("__site", "__path", F.col("__p").alias("p")), "__site", "__path")
     joined = scored.join(groups.toDF("__s", "__t", "__site_mean", "__path_mean", "__lift"), F.col("__site").eqNullSafe(F.col("__s")) & F.col("__path").eqNullSafe(F.col("__t")), "left")
     p = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col("__p")))
     z = F.log(p) - F.log(1 - p) + group_weight * F.coalesce(F.col("__lift"), F.lit(0.0))
