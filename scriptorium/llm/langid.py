@@ -6,12 +6,13 @@ addition, each as often as the square root of its occurrences, so that a line sa
 speak for the whole; a language bundles its training texts in the same way. A text gets the language whose prototype has
 the largest cosine with it; the score is that cosine, at least 0.
 
-Texts are lower-cased, and each run of characters that aren't letters counts as one gap.
+Texts are lower-cased, and each run of characters that aren't letters counts as one gap. a to z have a vector
+each; other letters are dealt to the PLACES - 27 others by a hash of their code points.
 
 Training reads at most `per_language` documents of each language in expectation, taken by a hash of
-doc_id, never held-out ones; statistics that leave the executors are weights of letter windows by
-language, whose number depends on alphabets and on the label set (whose size is that of a set of languages),
-not on the documents'.
+doc_id, never held-out ones. As bundling is a sum, each task bundles its texts into one vector a language, and
+these vectors are added up by place; weights are whole multiples of 1/GRAIN, so the sums are the same in any order.
+The driver gets DIMENSIONS numbers for each language that occurs: its size is that of the label set.
 
 Cases: null texts and texts without a letter get `und` and score 0; null languages aren't learned from;
 without any labelled text every prediction is `und`; ties go to the language that sorts first; repeated
@@ -27,17 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, staged
 
-DIMENSIONS, WINDOW, PLACES = 1024, 3, 256
+DIMENSIONS, WINDOW, PLACES = 1024, 3, 1024
+GRAIN = 1024
 PER_LANGUAGE = 4000
 SEED = 20240229
 UNKNOWN = "und"
 
 
 def letter_places() -> np.ndarray:
-    """For every code point the number of its vector: 0 for no letter, 1 to 26 for a to z, else one of the other 229."""
-    table = np.zeros(0x110000, np.uint8)
+    """For every code point the number of its vector: 0 for no letter, 1 to 26 for a to z, else one of the others."""
+    table = np.zeros(0x110000, np.uint16)
     for point in range(0x110000):
         if chr(point).isalpha():
             table[point] = 27 + point * 2654435761 % 2**32 * (PLACES - 27) // 2**32
@@ -48,10 +50,10 @@ def letter_places() -> np.ndarray:
 class Space:
     """Letter vectors and the profiles made of them."""
 
-    def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
+    def __init__(self, table: np.ndarray | None = None, dimensions: int = DIMENSIONS, seed: int = SEED):
         letters = np.random.default_rng(seed).integers(0, 2, (PLACES, dimensions), dtype=np.int8) * 2 - 1
         self.placed = [np.roll(letters, WINDOW - 1 - i, axis=1) for i in range(WINDOW)]
-        self.table, self.dimensions = letter_places(), dimensions
+        self.table, self.dimensions = letter_places() if table is None else table, dimensions
 
     def windows(self, text: str | None) -> np.ndarray:
         """The numbers of the windows of a text, one for each occurrence."""
@@ -75,19 +77,19 @@ class Space:
     def bound(self, windows: np.ndarray) -> np.ndarray:
         out = self.placed[0][windows // PLACES**2]
         out = out * self.placed[1][windows // PLACES % PLACES]
-        return (out * self.placed[2][windows % PLACES]).astype(np.float32)
+        return out * self.placed[2][windows % PLACES]
 
-    def bundles(self, counted: list[tuple[np.ndarray, np.ndarray]], step: int = 8192) -> np.ndarray:
+    def bundles(self, counted: list[tuple[np.ndarray, np.ndarray]], step: int = 8192, kind: type = np.float32) -> np.ndarray:
         """One bundle for each (windows, counts)."""
-        out = np.zeros((len(counted), self.dimensions), np.float32)
+        out = np.zeros((len(counted), self.dimensions), kind)
         known = np.unique(np.concatenate([w for w, _ in counted])) if counted else np.empty(0, np.uint32)
         places = [np.searchsorted(known, w) for w, _ in counted]
         for at in range(0, len(known), step):
-            counts = np.zeros((len(counted), min(step, len(known) - at)), np.float32)
+            counts = np.zeros((len(counted), min(step, len(known) - at)), kind)
             for row, (p, (_, n)) in enumerate(zip(places, counted, strict=True)):
                 a, b = np.searchsorted(p, [at, at + step])
                 counts[row, p[a:b] - at] = n[a:b]
-            out += counts @ self.bound(known[at : at + step])
+            out += counts @ self.bound(known[at : at + step]).astype(kind)
         return out
 
 
@@ -95,45 +97,50 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
+def sampled(docs: DataFrame, per_language: int) -> DataFrame:
+    """lang and text of documents that aren't held out, at most per_language of each language in expectation."""
+    usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    sizes = staged(usable.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__n")), "languages")
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 20)) / (1 << 20)
+    return usable.join(sizes, usable["lang"] == sizes["__lang"]).where(draw < per_language / F.col("__n")).select("lang", "text")
+
+
 def prototypes(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """The languages that occur in documents not held out, sorted, and a unit vector for each."""
-    usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return [], np.zeros((0, DIMENSIONS), np.float32)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 20)) / (1 << 20)
-    sample = usable.where(draw < share[F.col("lang")]).select("lang", "text")
+    table = docs.sparkSession.sparkContext.broadcast(letter_places())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = Space()
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, sums = Space(table.value), {}
         for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            texts = batch.column("text").to_pylist()
-            for lang in np.unique(langs.astype(str)):
+            langs, texts = np.array(batch.column("lang").to_pylist(), object), batch.column("text").to_pylist()
+            for lang in dict.fromkeys(langs.tolist()):
                 found = [space.counted(texts[i]) for i in np.flatnonzero(langs == lang)]
                 w, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([f[1] for f in found]))
+                n = np.bincount(at, np.concatenate([np.rint(f[1] * GRAIN) for f in found]), len(w))
                 if len(w):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(w)), pa.array(w.astype(np.int64)), pa.array(n)], names=["lang", "w", "n"])
+                    sums[lang] = sums.get(lang, 0) + space.bundles([(w, n)], kind=np.float64)[0]
+        for lang, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v.astype(np.int64))], names=["lang", "place", "n"])
 
-    rows = sample.mapInArrow(count, "lang string, w long, n double").groupBy("lang", "w").agg(F.sum("n").alias("n")).toPandas()
-    space, langs, made = Space(), sorted(rows["lang"].unique()), []
-    for lang in langs:
-        own = rows[rows["lang"] == lang].sort_values("w")
-        made.append(space.bundles([(own["w"].to_numpy().astype(np.uint32), own["n"].to_numpy())])[0])
-    return langs, unit(np.array(made)) if made else np.zeros((0, DIMENSIONS), np.float32)
+    added = sampled(docs, per_language).mapInArrow(bundle, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    rows = added.toPandas()  # DIMENSIONS numbers a language
+    langs = sorted(rows["lang"].unique())
+    made = np.zeros((len(langs), DIMENSIONS))
+    number = {lang: i for i, lang in enumerate(langs)}
+    made[rows["lang"].map(number).to_numpy(int), rows["place"].to_numpy(int)] = rows["n"].to_numpy(float)
+    return langs, unit(made).astype(np.float32)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of docs, lang_pred and score for every whole text."""
     model = model or prototypes(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # languages times DIMENSIONS floats
+    sent = docs.sparkSession.sparkContext.broadcast((*model, letter_places()))  # languages times DIMENSIONS floats, and a table of letters
     source = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join([f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, (langs, vectors) = Space(), sent.value
+        langs, vectors, table = sent.value
+        space = Space(table)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
