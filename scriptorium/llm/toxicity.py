@@ -1,12 +1,15 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-A sparse logistic model over which words, and which first letters of words, occur in a text. In each
-labelled text that mentions a group, the mention is swapped for the other terms of its family, and for
-none; the fit penalises the squared change of the score, so that a mention alone moves no score.
+A sparse logistic model over which words, and which first letters of words, occur in a text; features may speak
+for either class. Each labelled text that mentions a group is rewritten: a mention is swapped for each other term
+of its family, and for none, and the rewritten text is turned into features again. The fit adds the squared change
+of the log odds from the text to its rewritten ones, whatever features that change touches (a swap to a term that
+the text has already only takes one away), so that a mention alone moves no score.
 
 Training reads at most `toxic_rows` toxic and `clean_rows` other labelled rows in expectation, by a hash
-of doc_id, never held-out ones; labels travel to the documents. What reaches the driver is bounded by
-these rows and by `most_features`.
+of doc_id, never held-out ones; labels travel to the documents. What reaches the driver is the features of these
+rows. None is left out: the fit works on those that can have a weight, tests the conditions of the optimum on
+all others, and goes on with those that break them until none does.
 
 Cases: null, empty and blank texts are scored by the intercept alone; rows without a label aren't learned
 from; without labels of both kinds every score is the share of toxic labels (0 without any); repeated
@@ -16,7 +19,6 @@ rows and null doc_ids are scored like any other; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, staged
 
-TOXIC_ROWS, CLEAN_ROWS, MOST_FEATURES = 4000, 8000, 3000
+TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
+SPARSE, COUNTERFACTUAL = 4e-4, 1.0
 PREFIXES = (4, 5)
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -76,41 +79,95 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, n: int, swaps: list[tuple[int, int, float]], sparse: float = 4e-4, counterfactual: float = 1.0, steps: int = 1500) -> tuple[float, np.ndarray]:
-    """Bias and n weights of the rows of feature numbers, by accelerated proximal steps.
+def hashed(feature: str) -> int:
+    """The feature's XXH64 with Spark's seed, as Spark's xxhash64 has it."""
+    import xxhash
 
-    swaps are (feature, other feature or -1 for none, times): each adds counterfactual * share * (w_f - w_g)^2.
-    Classes weigh by the square root of their inverse share.
+    n = xxhash.xxh64_intdigest(feature, 42)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def swapped(found: set[str]) -> list[set[str]]:
+    """The words of a text, rewritten: each mention swapped for each other term of its family, and for none."""
+    return [(found - {t}) | ({u} if u else set()) for t in sorted(found & FAMILY.keys()) for u in [*IDENTITY[FAMILY[t]], ""] if u != t]
+
+
+@dataclass
+class Rows:
+    """Sparse rows: entry i has the value `value[i]` (1 if None) at row `row[i]` and feature `to[i]`."""
+
+    row: np.ndarray
+    to: np.ndarray
+    n: int
+    value: np.ndarray | None = None
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        held = w[self.to]
+        return np.bincount(self.row, held if self.value is None else held * self.value, self.n)
+
+    def back(self, x: np.ndarray, features: int) -> np.ndarray:
+        held = x[self.row]
+        return np.bincount(self.to, held if self.value is None else held * self.value, features)
+
+    def only(self, active: np.ndarray) -> Rows:
+        number = np.cumsum(active) - 1
+        keep = active[self.to]
+        return Rows(self.row[keep], number[self.to[keep]], self.n, None if self.value is None else self.value[keep])
+
+    def steepness(self, weight: np.ndarray, features: int) -> np.ndarray:
+        """A bound for each feature of the curvature that the rows, weighted, give a quadratic."""
+        size = np.abs(self.value) if self.value is not None else np.ones(len(self.to))
+        each = np.bincount(self.row, size, self.n) * weight
+        return np.bincount(self.to, size * each[self.row], features)
+
+
+def fit(x: Rows, labels: np.ndarray, features: int, changes: Rows, shares: np.ndarray, sparse: float = SPARSE, counterfactual: float = COUNTERFACTUAL, steps: int = 300, rounds: int = 12) -> tuple[float, np.ndarray]:
+    """Bias and weights that make mean log loss + sparse * |w|_1 + counterfactual * sum(shares * (changes w)^2) least.
+
+    Classes weigh by the square root of their inverse share. Accelerated proximal steps, each feature at its own rate, run on an active set of
+    features; those outside whose slope passes `sparse` come in, until there is none.
     """
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    to = np.fromiter((f for r in rows for f in r), np.int64)
     share = labels.mean()
     balance = np.where(labels > 0, np.sqrt(0.5 / share), np.sqrt(0.5 / (1 - share)))
-    balance /= balance.mean()
-    f = np.array([s[0] for s in swaps], np.int64)
-    g = np.array([s[1] for s in swaps], np.int64)
-    times = np.array([s[2] for s in swaps], float)
-    times = counterfactual * times / max(1.0, times.sum())
-    w, bias = np.zeros(n), float(np.log(share / (1 - share)))
-    look, look_bias, t = w.copy(), bias, 1.0
-    rate = 1.0 / (0.25 * balance.max() * (1 + np.percentile([len(r) for r in rows], 99)) + 4 * counterfactual)
-    for _ in range(steps):
-        z = look_bias + np.bincount(at, look[to], len(rows))
-        error = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(rows)
-        slope = np.bincount(to, error[at], n)
-        if len(f):
-            change = 2 * times * (look[f] - np.where(g >= 0, look[g], 0.0))
-            slope += np.bincount(f, change, n) - np.bincount(g[g >= 0], change[g >= 0], n)
-        new = look - rate * slope
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * sparse, 0)
-        new_bias = look_bias - rate * error.sum()
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        look, look_bias = new + (t - 1) / after * (new - w), new_bias + (t - 1) / after * (new_bias - bias)
-        w, bias, t = new, new_bias, after
+    balance /= balance.sum()
+    w, bias = np.zeros(features), float(np.log(share / (1 - share)))
+
+    def slope(z: np.ndarray) -> np.ndarray:
+        return balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
+
+    active = np.zeros(features, bool)
+    for _ in range(rounds):
+        error = slope(bias + x.times(w))
+        full = x.back(error, features) + 2 * counterfactual * changes.back(shares * changes.times(w), features)
+        new = ~active & (np.abs(full) > sparse * (1 if active.any() else 0.6))
+        if not new.any() and active.any():
+            break
+        active |= new
+        k = int(active.sum())
+        own, moved = x.only(active), changes.only(active)
+        # The intercept, as one feature more of every row, takes part in each row's bound.
+        rate = 1 / (own.steepness(0.25 * balance, k) + np.bincount(own.to, 0.25 * balance[own.row], k) + 2 * counterfactual * moved.steepness(shares, k) + 1e-12)
+        bias_rate = 1 / (0.25 * (balance * (1 + np.bincount(own.row, minlength=own.n))).sum())
+        at, look, look_bias, t = w[active], w[active].copy(), bias, 1.0
+        for _ in range(steps):
+            error = slope(look_bias + own.times(look))
+            step = own.back(error, k) + 2 * counterfactual * moved.back(shares * moved.times(look), k)
+            after = look - rate * step
+            after = np.sign(after) * np.maximum(np.abs(after) - rate * sparse, 0)
+            after_bias = look_bias - bias_rate * error.sum()
+            if ((after - look) * (at - after)).sum() > 0:  # restart where the momentum leads uphill
+                t = 1.0
+            s = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            far = np.abs(after - at).max(initial=abs(after_bias - bias))
+            look, look_bias = after + (t - 1) / s * (after - at), after_bias + (t - 1) / s * (after_bias - bias)
+            at, bias, t = after, after_bias, s
+            if far < 1e-4:
+                break
+        w[active] = at
     return float(bias), w
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, most_features: int = MOST_FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, sparse: float = SPARSE, counterfactual: float = COUNTERFACTUAL) -> Model:
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("__id"), (F.col("toxic") > 0).cast("int").alias("__toxic"))
     sizes = {r["__toxic"]: r["n"] for r in usable.groupBy("__toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
@@ -118,52 +175,43 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     draw = F.pmod(F.xxhash64(F.col("__id"), F.lit("toxicity sample")), F.lit(1 << 20)) / (1 << 20)
     chosen = usable.where(draw < F.when(F.col("__toxic") == 1, toxic_rows / sizes[1]).otherwise(clean_rows / sizes[0]))
     # The chosen labels are bounded by the two row parameters: 12 bytes each.
-    sample = staged(docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(chosen.dropDuplicates(["__id"])), "__id").select("__toxic", "text"), "toxicity")
+    marks = F.broadcast(chosen.groupBy("__id").agg(F.max("__toxic").alias("__toxic")))
+    sample = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(marks, "__id").select("__toxic", "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {}
-        for batch in batches:
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for f in features(words(text)):
-                    seen.setdefault(f, [0, 0])[toxic] += 1
-                if len(seen) > 200_000:
-                    yield packed(seen)
-                    seen = {}
-        yield packed(seen)
-
-    def packed(seen: dict[str, list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], names=["f", "a", "n"])
-
-    texts = sample.select(F.col("__toxic").alias("toxic"), "text")
-    totals = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(totals) < 2:
-        return Model(bias=30.0 if 1 in totals else -30.0)
-    a, n, total_a, total_n = F.col("a"), F.col("n"), F.lit(totals[1]), F.lit(totals[0])
-    odds = F.log((a + 0.5) / (total_a - a + 0.5)) - F.log((n + 0.5) / (total_n - n + 0.5))
-    counted = texts.mapInArrow(count, "f string, a long, n long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
-    ranked = counted.where("a >= 2").withColumn("z", odds / F.sqrt(1 / (a + 0.5) + 1 / (n + 0.5))).where("z > 2")
-    best = [r["f"] for r in ranked.orderBy(F.desc("z"), "f").limit(most_features).collect()]
-    names = list(dict.fromkeys(best + sorted(FAMILY)))
-    number = {f: i for i, f in enumerate(names)}
-
-    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The features of each text, and by their hashes also what each rewritten one lacks or has more: its number, its sign, the feature."""
         for batch in batches:
-            hits, mentions = [], []
-            for text in batch.column("text").to_pylist():
-                found = words(text)
-                hits.append(sorted(number[f] for f in features(found) if f in number))
-                mentions.append(sorted(number[f] for f in found if f in FAMILY))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(hits, pa.list_(pa.int32())), pa.array(mentions, pa.list_(pa.int32()))], names=["toxic", "hits", "mentions"])
-
-    rows = texts.mapInArrow(matched, "toxic int, hits array<int>, mentions array<int>").collect()
-    swaps: Counter = Counter()
-    for row in rows:
-        for f in row["mentions"]:
-            others = [number[t] for t in IDENTITY[FAMILY[names[f]]] if number[t] != f] + [-1]
-            for g in others:
-                swaps[f, g] += 1 / len(others)
-    bias, weights = fit([r["hits"] for r in rows], np.array([float(r["toxic"]) for r in rows]), len(names), [(f, g, t) for (f, g), t in sorted(swaps.items())])
-    return Model(bias, {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-6})
+            for at in range(0, batch.num_rows, 256):
+                part, own, moved = batch.slice(at, 256), [], []
+                for text in part.column("text").to_pylist():
+                    found = words(text)
+                    there = features(found)
+                    own.append(sorted(there))
+                    moved.append(np.array([(k, sign, hashed(f)) for k, other in enumerate(map(features, swapped(found))) for sign, more in ((-1, there - other), (1, other - there)) for f in sorted(more)], "<i8").tobytes())
+                packed = [np.array([hashed(f) for f in x], "<i8").tobytes() for x in own]
+                yield pa.RecordBatch.from_arrays([part.column("__toxic"), pa.array(own, pa.list_(pa.string())), pa.array(packed, pa.binary()), pa.array(moved, pa.binary())], names=["toxic", "own", "hashes", "moved"])
+
+    rows = staged(sample.mapInArrow(read, "toxic int, own array<string>, hashes binary, moved binary"), "toxicity")
+    got = rows.select("toxic", "hashes", "moved").collect()
+    labelled = np.array([float(r["toxic"]) for r in got])
+    if len(set(labelled)) < 2:
+        return Model(bias=30.0 if len(labelled) and labelled[0] else -30.0)
+    own = [np.frombuffer(r["hashes"], "<i8") for r in got]
+    moved = [np.frombuffer(r["moved"], "<i8").reshape(-1, 3) for r in got]
+    names, to = np.unique(np.concatenate([*own, *[m[:, 2] for m in moved]]), return_inverse=True)
+    entries = sum(map(len, own))
+    x = Rows(np.repeat(np.arange(len(own), dtype=np.int32), [len(r) for r in own]), to[:entries].astype(np.int32), len(own))
+    swaps = np.array([int(m[:, 0].max()) + 1 if len(m) else 0 for m in moved])
+    before = np.cumsum(swaps) - swaps
+    changes = Rows(np.concatenate([m[:, 0] + b for m, b in zip(moved, before, strict=True)]), to[entries:], int(swaps.sum()), np.concatenate([m[:, 1] for m in moved]).astype(float))
+    shares = np.repeat(1 / np.maximum(swaps, 1), swaps) / max(1, (swaps > 0).sum())
+    # The fewer rows, the easier a feature goes with the labels by chance.
+    strict = sparse * float(np.sqrt((toxic_rows + clean_rows) / max(1, len(labelled))))
+    bias, weights = fit(x, labelled, len(names), changes, shares, max(sparse, strict), counterfactual)
+    held = {int(names[i]): float(weights[i]) for i in np.flatnonzero(np.abs(weights) > 1e-6)}
+    spelled = rows.select(F.explode("own").alias("f")).where(F.xxhash64("f").isin(list(held))).distinct().collect() if held else []
+    known = {r["f"] for r in spelled} | features(set(FAMILY))  # a rewritten text may have a term that no text has
+    return Model(bias, {f: held[hashed(f)] for f in known if hashed(f) in held})
 
 
 def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

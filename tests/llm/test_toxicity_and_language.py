@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from scriptorium.llm import langid as L
@@ -33,16 +35,94 @@ def test_toxicity(spark):
     assert len(got) == len(rows) + 5
 
 
-def test_the_penalty_takes_weight_from_mentions():
+def plain_features(text):
+    """Words of letters only, in lower case, and their first four and five letters unless these begin a group's name."""
+    found = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    names = {t for family in X.IDENTITY for t in family}
+    begins = {t[:4] for t in names if len(t) >= 4} | {t[:5] for t in names if len(t) >= 5}
+    return found | {w[:k] + "-" for w in found for k in (4, 5) if len(w) > k and w[:k] not in begins}
+
+
+def plain_rewrites(text):
+    """Every text in which one mention is another term of its family, or gone: made from the text itself."""
+    out = []
+    for family in X.IDENTITY:
+        for t in family:
+            if re.search(rf"(?<![^\W\d_]){t}(?![^\W\d_])", text.lower()):
+                out += [re.sub(rf"(?<![^\W\d_]){t}(?![^\W\d_])", u, text.lower()) for u in [*family, ""] if u != t]
+    return out
+
+
+def test_rewritten_texts():
+    for text in ("A Muslim neighbour and a jewish friend", "muslim jewish", "old men", "no one", "Muslims' women"):
+        told = sorted(map(sorted, map(X.features, X.swapped(X.words(text)))))
+        assert told == sorted(sorted(plain_features(t)) for t in plain_rewrites(text)), text
+
+
+def objective(weights, bias, rows, y, cf, sparse):
+    """The loss from the texts, with rewritten texts scored as texts."""
+    share = y.mean()
+    balance = np.where(y > 0, np.sqrt(0.5 / share), np.sqrt(0.5 / (1 - share)))
+    z = np.array([bias + sum(weights.get(f, 0.0) for f in plain_features(t)) for t in rows])
+    loss = (balance * (np.logaddexp(0, z) - y * z)).sum() / balance.sum()
+    with_mentions = [(t, r) for t in rows if (r := plain_rewrites(t))]
+    score = lambda t: sum(weights.get(f, 0.0) for f in plain_features(t))
+    moved = sum(np.mean([(score(x) - score(t)) ** 2 for x in r]) for t, r in with_mentions) / max(1, len(with_mentions))
+    return loss + sparse * sum(map(abs, weights.values())) + cf * moved
+
+
+def test_fit_is_the_least_of_the_plain_loss(spark):
+    rows, labels = texts(n=160)
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, toxic string, __toxic int")
+    sparse, cf = 4e-3, 1.0
+    strict = sparse * np.sqrt(12000 / sum(not is_held_out(i) for i, _ in rows))
+    model = X.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), sparse=sparse, counterfactual=cf)
+    learned = [(t, v) for (i, t), (_, v) in zip(rows, labels, strict=True) if not is_held_out(i)]
+    told, y = [t for t, _ in learned], np.array([float(v) for _, v in learned])
+    best = objective(model.weights, model.bias, told, y, cf, strict)
+    for f in sorted({f for t in told for f in plain_features(t)} | set(model.weights))[::7] + ["muslim", "jewish"]:
+        for step in (-0.02, 0.02):
+            assert objective(model.weights | {f: model.weights.get(f, 0.0) + step}, model.bias, told, y, cf, strict) > best - 2e-5, f
+    for text in ("so nastyterm", rows[0][1], rows[1][1], "", None):
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in plain_features(text))
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_neutral_mentions_in_texts_held_out(spark):
+    """Mentions go with toxic labels in what is learned from; in held-out neutral texts the penalty lowers false positives, and no toxic text is lost."""
+    rng = np.random.default_rng(5)
+    plain = [f"w{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    rows, labels = [], []
+    for i in range(900):
+        words = list(rng.choice(plain, 14))
+        toxic = int(i % 3 == 0)
+        if toxic and rng.random() < 0.7:
+            words[3] = str(rng.choice(["vilewordone", "nastyterm"]))
+        if rng.random() < (0.75 if toxic else 0.04):
+            words[6] = str(rng.choice(["muslim", "jewish"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    neutral = [(10_000 + k, " ".join([*rng.choice(plain, 13), term])) for k, term in enumerate(["muslim", "jewish", "hindu", "catholic"] * 25)]
+    docs = spark.createDataFrame(rows + neutral, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    wrong, caught = {}, {}
+    for cf in (0.0, X.COUNTERFACTUAL):
+        model = X.train(docs, marks, counterfactual=cf)
+        wrong[cf] = np.mean([model.score(t) >= 0.5 for _, t in neutral])
+        slurred = [t for i, t in rows if is_held_out(i) and ("nastyterm" in t or "vilewordone" in t)]
+        caught[cf] = np.mean([model.score(t) >= 0.5 for t in slurred])
+    assert wrong[0.0] > 0.3 and wrong[X.COUNTERFACTUAL] < 0.25 * wrong[0.0]
+    assert caught[X.COUNTERFACTUAL] >= 0.95
+
+
+def test_long_repeated_and_clashing_rows(spark):
     rows, labels = texts()
-    names = sorted({w for _, t in rows for w in X.words(t)})
-    at = {w: i for i, w in enumerate(names)}
-    x, y = [[at[w] for w in X.words(t)] for _, t in rows], np.array([float(v) for _, v in labels])
-    swaps = [(at["muslim"], -1, 1.0)]
-    free, held = (X.fit(x, y, len(names), swaps, counterfactual=c, sparse=1e-3)[1][at["muslim"]] for c in (0.0, 10.0))
-    assert abs(held) < 0.3 * abs(free) or abs(free) < 1e-6
-    for text in ("a muslim teacher", "a jewish teacher"):
-        assert X.features(X.words(text)) >= {"teacher"}
+    more = [(9000, "calm words " * 100_000), (9001, "calm words " * 100_000 + "nastyterm"), (1, rows[1][1]), (1, rows[1][1])]
+    docs = spark.createDataFrame([(*r, "c", "c", "c") for r in rows + more], "doc_id long, text string, score string, predicted string, toxic string")
+    model = X.train(docs, spark.createDataFrame(labels + labels[:5], "doc_id long, toxic int"))
+    got = X.score_documents(docs, model).collect()
+    assert len(got) == len(rows) + 4 and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    assert {r["predicted"] for r in got if r["doc_id"] == 9000} == {0} and {r["predicted"] for r in got if r["doc_id"] == 9001} == {1}
 
 
 def test_toxicity_without_labels(spark):
