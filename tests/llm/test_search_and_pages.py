@@ -1,3 +1,10 @@
+import html as references
+import math
+import os
+import re
+from itertools import groupby
+from xml.etree import ElementTree
+
 import numpy as np
 import pytest
 
@@ -94,11 +101,152 @@ def test_style_tree(spark):
     assert texts[3, "https://h.org/3?q"] == "Text number 3 about 10"
     assert texts[1, "https://few.org/1?q"].startswith("Always the same line\n")
     assert texts[50, None] == "" and texts[51, "https://h.org/"] == ""
-    told = {r["path"]: r["importance"] for r in H.importance(df).where("host = 'h.org'").collect()}
-    assert told[H.number("/html/body/div.top")] < 0.2 < told[H.number("/html/body/div.body0/p")]
     assert H.extract(df.limit(0)).count() == 0
 
 
+def test_what_elements_say():
+    keeps = {
+        "<body class='no-sidebar header-fixed'><article><p>b</p></article>": "b",
+        "<div class='has-sidebar'><article><p>b</p></article></div>": "b",
+        "<div class='widget'><article><p>b</p></article></div><p>z</p>": "b",
+        "<article><h2 id='related-work'>Related</h2><p>b</p><section id='social-impact'><p>c</p></section></article>": "Related\nb\nc",
+        "<article><svg class='i'/><p>b</p></article>": "b",
+        "<article><svg><text>no</text></svg><p>b</p><select><option>no</select><iframe src=x /><p>c</p></article>": "b\nc",
+        "<article><p>b</p><section class='comments-area'><article><p>c</p></article></section></article>": "b",
+        "<div class='comments'><article>c</article></div><div><p>main</p></div>": "main",
+        "<article><p>b</p><div id='cookie-notice'>c</div><div class='site-footer'>d</div></article>": "b",
+        "<div role='main'><p>b</p></div><p>z</p>": "b",
+        "<div role='navigation'><p>n</p></div><div data-id='nav'><p>b</p></div>": "b",
+        "<article><p>b</p><button>send</article>": "b\nsend",
+        "<nav>a</nav><article></article><footer>c</footer>": "",
+    }
+    for page, text in keeps.items():
+        assert H.main_text(page) == text, page
+
+
+def test_deep_pages(spark):
+    deep = "<div>" * 100_000
+    assert H.main_text(deep + "text") == "text"
+    assert H.main_text("".join(f"<div>t{i}" for i in range(20_000))).count("\n") == 19_999
+    df = spark.createDataFrame([(i, "http://d.org/", x) for i, x in enumerate([deep + "text", "<p>" + "long words " * 300_000, "<b>" * 50_000 + "x", *["<div>" * 1500 + "y"] * 6])], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    assert got[0] == "text" and len(got[1]) == 300_000 * 11 - 1 and got[2] == "x"
+
+
+class Plain:
+    """A second reading: an XML tree of each page, entropies straight from their definitions, importance by recursion."""
+
+    def __init__(self, rows):
+        self.shown, self.texts, self.pages = {}, {}, {}
+        self.trees = [(i, u, ElementTree.fromstring(h)) for i, u, h in rows]
+        for i, (_, url, tree) in enumerate(self.trees):
+            for path, e in self.walk(tree, ()):
+                at = (self.host(url), path)
+                self.pages.setdefault(at, set()).add(i)
+                self.shown.setdefault(at, {}).setdefault(tuple(k for k, _ in groupby(c.tag for c in e)), set()).add(i)
+                for text in self.own(e):
+                    self.texts.setdefault(at, {}).setdefault(text, set()).add(i)
+
+    @staticmethod
+    def host(url):
+        return url.split("/")[2].lower()
+
+    @staticmethod
+    def own(e):
+        return [" ".join(t.split()) for t in [e.text, *[c.tail for c in e]] if t and t.strip()]
+
+    @staticmethod
+    def label(e):
+        return (e.tag, re.sub(r"\d+", "0", e.get("class", "")))
+
+    def walk(self, e, above):
+        path = (*above, self.label(e))
+        yield path, e
+        for c in e:
+            yield from self.walk(c, path)
+
+    def importance(self, host, e, path):
+        held = [UNKNOWN if (content := self.content(host, path)) is None else content for _ in self.own(e)]
+        held += [self.importance(host, c, (*path, self.label(c))) for c in e]
+        mean = sum(held) / len(held) if held else None
+        m = len(self.pages[host, path])
+        if m < 5:
+            return UNKNOWN if mean is None else mean
+        styles = [len(x) for x in self.shown[host, path].values()]
+        presentation = sum(n / m * math.log(m / n) for n in styles) / math.log(m)
+        part = 0.9 ** len(styles)
+        return (1 - part) * presentation + part * (1.0 if mean is None else mean)
+
+    def content(self, host, path):
+        m = len(self.pages[host, path])
+        found = [len(x) for x in self.texts.get((host, path), {}).values()]
+        return 1 - sum(map(math.log, found)) / len(found) / math.log(m) if found and m >= 5 else None
+
+    def low(self, host, e, path, prior):
+        prior = min(prior, {"widget": 0.25, "ad": 0.0}.get(e.get("class"), 1.0))
+        return prior * self.importance(host, e, path) < 0.2 and all(self.low(host, c, (*path, self.label(c)), prior) for c in e)
+
+    def text(self, host, e, path, prior=1.0):
+        """Blocks in page order: an element's text, its children, and what follows each of them."""
+        gone = self.low(host, e, path, prior) or e.get("class") == "ad"
+        prior = min(prior, {"widget": 0.25, "ad": 0.0}.get(e.get("class"), 1.0))
+        out = []
+        for place, t in enumerate([e.text, *[c.tail for c in e]]):
+            if t and t.strip() and not gone and prior > 0:
+                out.append(" ".join(t.split()))
+            if place < len(e):
+                c = e[place]
+                out += self.text(host, c, (*path, self.label(c)), prior) if prior > 0 else []
+        return out
+
+
+UNKNOWN = H.UNKNOWN
+
+
+def test_tree_and_texts_equal_a_plain_reading(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(rng.choice(["stone", "river", "letter", "window"], n)) + f" {rng.integers(1000)}"
+    rows = []
+    for i in range(90):
+        host = ["a.org", "b.org", "c.org"][min(2, i % 7 // 3)] if i < 87 else "few.org"
+        parts = ["<div class='top'>Welcome to the site</div>", f"<div class='menu{i % 3}x'><ul>" + "<li>same</li>" * int(rng.integers(1, 4)) + "</ul></div>"]
+        parts += [f"<div class='widget'><p>{word(3) if i % 2 else 'about us'}</p></div>", f"<div class='ad'>{word(2)}</div>"]
+        parts += [f"<section class='s{k}'><h2>{word(2)}</h2>tail {word(1)}<p>{word(6)}</p>{'<p>the same closing words</p>' if k else ''} end</section>" for k in range(int(rng.integers(1, 4)))]
+        rng.shuffle(parts)
+        rows.append((i, f"http://{host}/{i}", "<html><body>" + "".join(parts) + "<div class='end'>Same end</div></body></html>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = Plain(rows)
+    found = H.parsed(df, ("page_id",))
+    told = {(r["host"], r["path"]): r for r in H.style_tree(found).collect()}
+    wanted = {(host, H.path_of(*[".".join(x for x in label if x) for label in path])): (host, path) for host, path in plain.pages if len(plain.pages[host, path]) >= 5}
+    assert set(told) == set(wanted)
+    for key, (host, path) in wanted.items():
+        content = plain.content(host, path)
+        assert told[key]["pages"] == len(plain.pages[host, path]) and told[key]["styles"] == len(plain.shown[host, path])
+        assert (told[key]["content"] is None) == (content is None) and abs((told[key]["content"] or 0) - (content or 0)) < 1e-9
+    got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    kept = 0
+    for i, url, tree in plain.trees:
+        host = plain.host(url)
+        want = plain.text(host, tree, (plain.label(tree),))
+        assert got[i].split("\n") == want, i
+        kept += len(want)
+    assert all("Welcome to the site" not in got[i] for i in range(80)) and "Welcome to the site" in got[88] and kept > 200
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
+def test_query_equals_the_article_read_plainly(spark):
+    from scriptorium.llm.queries import op8_html_text
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = op8_html_text(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(pages)
+    for r in got:
+        inside = re.sub("</?b>", "", re.search("<article>(.*?)</article>", pages[r["page_id"]], re.S)[1])
+        lines = [" ".join(references.unescape(x).split()) for x in re.split("<[^>]*>", inside)]
+        assert r["text"] == "\n".join(x for x in lines if x) and r["n_chars"] == len(r["text"])
+
+
 def test_shared_article_text_stays(spark):
     df = spark.createDataFrame([(i, f"http://c.org/{i}", PAGE) for i in range(20)], "page_id long, url string, html string")
     assert {r["text"] for r in H.extract(df).collect()} == {H.main_text(PAGE)}
