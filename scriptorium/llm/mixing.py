@@ -1,14 +1,22 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Tokens (words) are summed by cell, a combination of source, language and topic. The cells' weights are
-raked to the target share of each level of each margin in turn, until they settle or `rounds` are over. A
-document is then kept with the probability that gives its cell its share: min(1, scale * weight / tokens),
-where `scale` is found so that the kept tokens make up `fraction` of all. A draw is the hash of doc_id
-and seed, so the same document is always drawn alike.
+Tokens (words) are summed by cell, a combination of source, language and topic. The cells' weights, shares of what is
+to be kept, are raked to the target share of each level of each margin in turn. No weight may pass what its cell
+holds, so that a document is kept with probability weight * fraction * all tokens / its cell's tokens without a cut,
+and the kept tokens meet the targets in expectation. Raking goes on until every level is within `near` of its target or
+`rounds` are over; `margins_met` tells what could not be met. A draw is the hash of doc_id and seed, so the same
+document is always drawn alike.
 
 A margin has explicit weights for some levels, other levels their own share of tokens to a power, null among
-them. Listed weights share what the others leave, in proportion; without others they are as given. Targets
-are made to add up over the levels that occur.
+them. Listed weights share what the others leave, in proportion; without others they are as given. A level that holds
+less than its target is aimed at whole; the others take over what it lacks, in proportion.
+
+Topics are learned from the texts: counts per word of capitals, digits, symbols, letters and lines, and the length, each
+on a scale of ten, are split again and again, into TOPICS groups in all: each time the group and the scale with the largest sum of squares
+about their mean, at that mean. All documents count.
+
+Sums by level are grouped, then joined with the cells; only where these are few, by count, does one task hold them all. Each text
+is read once.
 
 Cases: null sources and languages are levels of their own; null, empty and blank texts have no tokens,
 belong to the topic "empty" and are kept, as they carry no weight; repeated rows are drawn alike; a null
@@ -23,11 +31,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, staged
+from .common import WHITE, let, staged
 
-ROUNDS, SCALE_ROUNDS, FRACTION, SEED = 8, 12, 0.7, "mix-1"
-#: Of raking with bounds: rounds at most, and how near to its target each level has to come.
-BOUNDED_ROUNDS, NEAR = 60, 0.002
+ROUNDS, CHECKED, NEAR, FRACTION, SEED, TOPICS = 160, 4, 0.0005, 0.7, "mix-1", 6
+#: Up to so many cells are raked in one task, without a shuffle; more are summed by level and joined. Both give the same weights.
+FEW_CELLS = 100_000
+SCALES = tuple(f"__f{j}" for j in range(6))
+SYMBOLS = "[^#*$%&|<>{}\\[\\]()^~_\\\\=+@!?;:/\"]+"
 
 
 @dataclass(frozen=True)
@@ -44,6 +54,7 @@ MARGINS = (
     Margin("lang", {"en": 0.52, "fr": 0.18, "de": 0.17, "es": 0.13}, power=0.5),
     Margin("topic", power=0.9),
 )
+LEVELS = tuple(m.column for m in MARGINS)
 
 
 def tokens_of(text: Column) -> Column:
@@ -52,109 +63,103 @@ def tokens_of(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))).cast("long")
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic: what a text holds besides prose."""
+def scales_of(text: Column, tokens: Column) -> Column:
+    """Array of six whole numbers from 0 to 9: the length's logarithm, letters per word; capitals, digits, symbols and lines per ten words."""
     whole = F.coalesce(text, F.lit(""))
-    has = lambda *parts: reduce(lambda a, b: a | b, [whole.contains(p) for p in parts])
-    return (
-        F.when(F.btrim(whole, F.lit(WHITE)) == "", "empty")
-        .when(has("License", "license", "Copyright", "copyright", "rights reserved"), "legal")
-        .when(has("@", "http://", "https://", "www."), "contact")
-        .when(has(" | ", "\t"), "tabular")
-        .when(F.octet_length(whole) > 8000, "long prose")
-        .otherwise("prose")
-    )
-
-
-def targets(cells: DataFrame, margin: Margin) -> Column:
-    """The target share of the cell's level, over all levels of the margin that occur."""
-    own = F.pow(F.sum("tokens").over(Window.partitionBy(margin.column)) / F.col("__all"), margin.power)
-    if not margin.weights:
-        return own
-    given = F.create_map(*[F.lit(x) for pair in margin.weights.items() for x in pair])[F.col(margin.column)]
-    level = cells.groupBy(margin.column).agg(F.pow(F.sum("tokens") / F.first("__all"), margin.power).alias("own")).withColumn("given", given)
-    sums = level.agg(F.sum("own").alias("all"), F.sum(F.when(F.col("given").isNull(), F.col("own"))).alias("others"), F.sum("given").alias("given")).first()
-    if not sums["others"]:
-        return given
-    left = 1 - sums["others"] / sums["all"]
-    return F.coalesce(given * (left / (sums["given"] or 1.0)), own / sums["all"])
-
-
-def aimed(cells: DataFrame, margins: tuple[Margin, ...]) -> DataFrame:
-    """cells with `weight`, their share of tokens, and the margins' target shares."""
-    total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 1.0
-    now = cells.withColumn("__all", F.lit(total)).withColumn("weight", F.col("tokens") / total)
-    sums = []
-    for i, m in enumerate(margins):
-        now = now.withColumn(f"__raw{i}", targets(now, m))
-        levels = now.groupBy(m.column).agg(F.first(f"__raw{i}").alias("r")).agg(F.sum("r").alias("s")).first()["s"] or 1.0
-        sums.append(levels)
-    return staged(now.select(*cells.columns, "weight", *[(F.col(f"__raw{i}") / s).alias(f"__target{i}") for i, s in enumerate(sums)]), "targets")
-
-
-def rake(cells: DataFrame, margins: tuple[Margin, ...] = MARGINS, rounds: int = ROUNDS) -> DataFrame:
-    """cells (levels and tokens, all over 0) with `weight`: shares raked to the margins' targets."""
-    now = aimed(cells, margins)
-    for r in range(rounds):
-        for i, m in enumerate(margins):
-            held = F.sum("weight").over(Window.partitionBy(m.column))
-            now = now.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"__target{i}"), held), F.lit(0.0)))
-        if r % 4 == 3 or r == rounds - 1:
-            now = staged(now, "raked")
-    return now.select(*cells.columns, "weight")
-
-
-def reachable(cells: DataFrame, column: str, target: str, fraction: float, passes: int = 30) -> Column:
-    """`target`, at most what a level holds of the tokens to keep; what that takes from a level goes to the others in proportion."""
-    total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 1.0
-    levels = staged(cells.groupBy(column).agg(F.first(target).alias("t"), (F.sum("tokens") / total / fraction).alias("most")), "levels")
+    per = lambda n, times: F.least(F.lit(9), F.floor(F.lit(times) * n / F.greatest(tokens, F.lit(1)))).cast("long")
+
+    def counted(marks: Column) -> Column:
+        n = lambda kept: F.length(F.regexp_replace(marks, kept, ""))
+        letters = F.length(whole) - F.length(F.regexp_replace(whole, "[^\\x20\\x09-\\x0D]+", ""))
+        lines = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit("")))
+        length = F.least(F.lit(9), F.floor(F.log(1 + tokens))).cast("long")
+        return F.array(length, per(letters, 1), per(n("[^A-Z]+"), 10), per(n("[^0-9]+"), 10), per(n(SYMBOLS), 10), per(lines, 10))
+
+    return let(F.regexp_replace(whole, "[a-z\\x20\\x09-\\x0D]+", ""), counted)
+
+
+def learned_topics(grid: DataFrame, topics: int = TOPICS) -> Column:
+    """The number of a row's group, as an expression of SCALES; grid has a row for each combination of these, with its number of documents, n."""
+    group = F.lit(0)
+    for made in range(1, topics):
+        n = F.col("n").cast("double")
+        sums = grid.withColumn("__group", group).groupBy("__group").agg(F.sum(n).alias("n"), *[F.sum(n * F.col(f)).alias(f"s{f}") for f in SCALES], *[F.sum(n * F.col(f) * F.col(f)).alias(f"q{f}") for f in SCALES])
+        spread = [(-(r[f"q{f}"] - r[f"s{f}"] ** 2 / r["n"]), r["__group"], f, r["n"], r[f"s{f}"]) for r in sums.collect() for f in SCALES]  # a row for each group
+        if not spread or min(spread)[0] >= 0:
+            break
+        _, split, scale, count, total = min(spread)
+        group = F.when((group == split) & (F.col(scale) * count > total), made).otherwise(group)
+    return group
+
+
+def level_targets(cells: DataFrame, margin: Margin, total: float, fraction: float, passes: int = 40) -> DataFrame:
+    """The margin's levels with the share of the tokens, the target and the target as far as it can be reached."""
+    given = F.create_map(*[F.lit(x) for pair in margin.weights.items() for x in pair])[F.col(margin.column)] if margin.weights else F.lit(None).cast("double")
+    own = F.sum("tokens") / total
+    levels = staged(cells.groupBy(margin.column).agg(own.alias("share")).withColumn("given", given).withColumn("own", F.pow("share", F.lit(margin.power))), "levels")
+    sums = levels.agg(F.sum("own").alias("all"), F.sum(F.when(F.col("given").isNull(), F.col("own"))).alias("others"), F.sum("given").alias("given")).first()
+    left = 1 - (sums["others"] or 0.0) / (sums["all"] or 1.0)
+    target = F.coalesce(F.col("given") * (left / (sums["given"] or 1.0)), F.col("own") / (sums["all"] or 1.0))
+    aimed = levels.select(margin.column, "share", target.alias("target"), (F.col("share") / fraction).alias("most"))
     scale = 1.0
-    for _ in range(passes):
-        over = F.lit(scale) * F.col("t") > F.col("most")
-        row = levels.agg(F.sum(F.when(over, F.col("most"))).alias("held"), F.sum(F.when(~over, F.col("t"))).alias("free")).first()
+    for _ in range(passes):  # a pass for each time that more levels turn out to be whole
+        over = F.lit(scale) * F.col("target") > F.col("most")
+        row = aimed.agg(F.sum(F.when(over, F.col("most"))).alias("held"), F.sum(F.when(~over, F.col("target"))).alias("free")).first()
         new = (1 - (row["held"] or 0.0)) / row["free"] if row["free"] else scale
         if new <= scale * (1 + 1e-12):
             break
         scale = new
-    held = F.sum("tokens").over(Window.partitionBy(column)) / total / fraction
-    return F.least(held, F.lit(scale) * F.col(target))
+    return staged(aimed.select(margin.column, "share", "target", F.least("most", F.lit(scale) * F.col("target")).alias("reachable")), "targets")
 
 
-def bounded(cells: DataFrame, margins: tuple[Margin, ...], fraction: float, most_rounds: int = BOUNDED_ROUNDS, near: float = NEAR) -> DataFrame:
-    """As rake, but no weight passes what its cell holds of the tokens to keep, so that probabilities need no cut.
+def with_level(cells: DataFrame, levels: DataFrame, column: str, **named: str) -> DataFrame:
+    """cells with columns of their level, null equal to null."""
+    other = levels.select(F.col(column).alias("__level"), *[F.col(v).alias(k) for k, v in named.items()])
+    return cells.join(other, cells[column].eqNullSafe(other["__level"])).drop("__level")
 
-    Rounds go on until every level is within `near` of its reachable target, relative to it, or most_rounds are over.
+
+def rake(cells: DataFrame, margins: tuple[Margin, ...] = MARGINS, fraction: float = FRACTION, rounds: int = ROUNDS, near: float = NEAR, few: int = FEW_CELLS) -> DataFrame:
+    """cells (levels and tokens, all over 0) with `weight`: the shares of what is kept, raked to the margins' targets, none over what the cell holds.
+
+    Every CHECKED rounds it is asked whether all levels are near their targets.
     """
-    total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 1.0
-    now = aimed(cells, margins)
+    sizes = cells.agg(F.sum("tokens").cast("double").alias("t"), F.count("*").alias("n")).first()
+    total, small = sizes["t"] or 1.0, sizes["n"] <= few
+    now = cells.withColumn("weight", F.col("tokens") / total)
     for i, m in enumerate(margins):
-        now = now.withColumn(f"__target{i}", reachable(now, m.column, f"__target{i}", fraction))
+        now = with_level(now, level_targets(cells, m, total, fraction), m.column, **{f"__target{i}": "reachable"})
+    now = staged(now, "aimed")
     most = F.col("tokens") / total / fraction
-    now = staged(now, "reachable")
-    held = [F.sum("weight").over(Window.partitionBy(m.column)) for m in margins]
-    for r in range(most_rounds):
-        for i in range(len(margins)):
-            now = now.withColumn("weight", F.coalesce(F.least(most, F.try_divide(F.col("weight") * F.col(f"__target{i}"), held[i])), F.lit(0.0)))
-        if r % 4 == 3 or r == most_rounds - 1:
-            now = staged(now, "raked")
-            off = [F.abs(h / F.col(f"__target{i}") - 1).alias(f"off{i}") for i, h in enumerate(held)]
-            row = now.select(*off).agg(*[F.max(f"off{i}") for i in range(len(margins))]).first()
-            if max(x or 0.0 for x in row) <= near:
+    for r in range(rounds):
+        if small and r % CHECKED == 0:
+            now = now.coalesce(1)
+        for i, m in enumerate(margins):
+            raked = F.least(most, F.coalesce(F.try_divide(F.col("weight") * F.col(f"__target{i}"), F.col("__held")), F.lit(0.0)))
+            if small:
+                held = now.withColumn("__held", F.sum("weight").over(Window.partitionBy(m.column)))
+            else:
+                held = with_level(now, now.groupBy(m.column).agg(F.sum("weight").alias("held")), m.column, __held="held")
+            now = held.withColumn("weight", raked).drop("__held")
+            if not small:
+                now = staged(now, "raked")
+        if r % CHECKED == CHECKED - 1 or r == rounds - 1:
+            now = staged(now, "raked") if small else now
+            off = [now.groupBy(m.column).agg(F.sum("weight").alias("h"), F.first(f"__target{i}").alias("t")).select(F.coalesce(F.abs(F.try_divide("h", "t") - 1), F.lit(0.0)).alias("off")) for i, m in enumerate(margins)]
+            if (reduce(DataFrame.unionByName, off).agg(F.max("off").alias("off")).first()["off"] or 0.0) <= near:
                 break
-    return now.select(*cells.columns, "weight")
+    return now.select(*cells.columns, "weight", F.least(F.lit(1.0), F.col("weight") * fraction * total / F.col("tokens")).alias("probability"))
 
 
-def calibrated(cells: DataFrame, fraction: float = FRACTION, rounds: int = SCALE_ROUNDS) -> DataFrame:
-    """Raked cells with `probability`, so scaled that `fraction` of all tokens are kept in expectation."""
-    total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 1.0
-    ratio = F.col("weight") / (F.col("tokens") / total)
-    scale = fraction
-    for _ in range(rounds):
-        kept = cells.agg(F.sum(F.col("tokens") / total * F.least(F.lit(1.0), F.lit(scale) * ratio)).alias("k")).first()["k"]
-        if not kept:
-            break
-        scale *= fraction / kept
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(scale) * ratio))
+def margins_met(cells: DataFrame, raked: DataFrame, margins: tuple[Margin, ...] = MARGINS, fraction: float = FRACTION) -> DataFrame:
+    """margin, level, target, reachable and expected: the shares that the levels should have, can have at most and will have of the tokens kept."""
+    sums = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 1.0
+    kept = raked.agg(F.sum(F.col("probability") * F.col("tokens")).alias("k")).first()["k"] or 1.0
+    out = []
+    for m in margins:
+        held = raked.groupBy(m.column).agg((F.sum(F.col("probability") * F.col("tokens")) / kept).alias("expected"))
+        told = with_level(level_targets(cells, m, sums, fraction), held, m.column, expected="expected")
+        out.append(told.select(F.lit(m.column).alias("margin"), F.col(m.column).cast("string").alias("level"), "target", "reachable", "expected"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -163,18 +168,27 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(docs: DataFrame, margins: tuple[Margin, ...] = MARGINS, fraction: float = FRACTION, rounds: int = ROUNDS, bound: bool = False) -> DataFrame:
-    """docs with topic, tokens, weight, probability and sampled. Columns of these names are replaced.
+FRESH = ("topic", "tokens", "weight", "probability", "sampled")
 
-    With `bound`, cells are raked within what they hold, so that the sampled tokens too meet the targets; rounds does not count then.
-    """
-    fresh = ["topic", "tokens", "weight", "probability", "sampled"]
-    columns = [c for c in docs.columns if c not in fresh]
-    told = docs.select(*columns, topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("tokens"))
-    levels = ["source", "lang", "topic"]
-    cells = staged(told.groupBy(*levels).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "cells")
-    raked = bounded(cells, margins, fraction) if bound else rake(cells, margins, rounds)
-    solved = staged(calibrated(raked, fraction).select(*[F.col(c).alias(f"__{c}") for c in levels], F.col("weight").alias("__w"), F.col("probability").alias("__p")), "calibrated")
-    same = reduce(lambda a, b: a & b, [told[c].eqNullSafe(solved[f"__{c}"]) for c in levels])
+
+def told_documents(docs: DataFrame, keep: tuple[str, ...], topics: int = TOPICS) -> tuple[DataFrame, DataFrame]:
+    """The columns `keep` of docs as __keep0, ..., with doc_id, the levels and tokens, written once; and the cells."""
+    kept = [f"__keep{i}" for i in range(len(keep))]
+    own = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], "doc_id", "source", "lang", F.col("text").alias("__text"), tokens_of(F.col("text")).alias("tokens"))
+    read = staged(own.select(*kept, "doc_id", "source", "lang", "tokens", scales_of(F.col("__text"), F.col("tokens")).alias("__scales")), "read")
+    read = read.select(*kept, "doc_id", "source", "lang", "tokens", *[F.col("__scales")[j].alias(f) for j, f in enumerate(SCALES)])
+    grid = staged(read.where("tokens > 0").groupBy("source", "lang", *SCALES).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "grid")
+    group = F.concat(F.lit("topic "), learned_topics(grid, topics).cast("string"))
+    cells = staged(grid.withColumn("topic", group).groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "cells")
+    return read.select(*kept, "doc_id", "source", "lang", F.when(F.col("tokens") == 0, "empty").otherwise(group).alias("topic"), "tokens"), cells
+
+
+def mix(docs: DataFrame, margins: tuple[Margin, ...] = MARGINS, fraction: float = FRACTION, rounds: int = ROUNDS, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns `keep` of docs (all by default) with topic, tokens, weight, probability and sampled, which replace columns of these names."""
+    columns = tuple(c for c in (keep or docs.columns) if c not in FRESH)
+    told, cells = told_documents(docs, columns)
+    solved = staged(rake(cells, margins, fraction, rounds).select(*[F.col(c).alias(f"__{c}") for c in LEVELS], F.col("weight").alias("__w"), F.col("probability").alias("__p")), "raked")
+    same = reduce(lambda a, b: a & b, [told[c].eqNullSafe(solved[f"__{c}"]) for c in LEVELS])
     probability = F.coalesce(F.col("__p"), F.lit(1.0))
-    return told.join(solved, same, "left").select(*columns, "topic", "tokens", F.coalesce("__w", F.lit(0.0)).alias("weight"), probability.alias("probability"), (draw(F.col("doc_id")) < probability).alias("sampled"))
+    kept = [F.col(f"__keep{i}").alias(c) for i, c in enumerate(columns)]
+    return told.join(solved, same, "left").select(*kept, "topic", "tokens", F.coalesce("__w", F.lit(0.0)).alias("weight"), probability.alias("probability"), (draw(F.col("doc_id")) < probability).alias("sampled"))

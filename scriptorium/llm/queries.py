@@ -39,7 +39,7 @@ def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(read(spark, sf_dir, "documents"))
+    mixed = mix(read(spark, sf_dir, "documents"), keep=("doc_id", "source", "lang"))
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), "sampled")
 
 

@@ -7,7 +7,7 @@ against brute force in the tests.
 from __future__ import annotations
 
 from .maxscore import EVERY, SCALE, K
-from .mixing import FRACTION, MARGINS, ROUNDS, SCALE_ROUNDS, SEED, Margin
+from .mixing import CHECKED, FRACTION, MARGINS, NEAR, ROUNDS, SEED, SYMBOLS, TOPICS
 from .quality_rules import RULES, STOP_WORDS
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -47,35 +47,48 @@ select query_id, rank, vec_id, score from r where rank <= {K}"""
 
 def mixing() -> str:
     trimmed = "trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
-    has = lambda *parts: "(" + " or ".join(f"contains(coalesce(text, ''), {p})" for p in parts) + ")"
-    legal = has("'License'", "'license'", "'Copyright'", "'copyright'", "'rights reserved'")
-
-    def raw(m: Margin) -> str:
-        own = f"power(sum(tokens) over (partition by {m.column}) / total, {m.power!r})"
-        if not m.weights:
-            return own
-        given = " ".join(f"when '{k}' then {v!r}" for k, v in m.weights.items())
-        return f"coalesce(case {m.column} {given} end, {own} * (1 - least(0.99, {sum(m.weights.values())!r})))"
-
+    count = lambda kept: f"length(regexp_replace(x, '{kept}', '', 'g'))"
+    per = lambda n, times: f"cast(least(9, floor({times} * ({n}) / greatest(tokens, 1)::double)) as bigint)"
+    letters, lines = f"length(x) - length(regexp_replace(x, '[^\\x20\\x09-\\x0D]+', '', 'g'))", "length(x) - length(replace(x, chr(10), ''))"
+    scales = ["cast(least(9, floor(ln(1 + tokens))) as bigint)", per(letters, 1), per(count("[^A-Z]+"), 10), per(count("[^0-9]+"), 10), per(count(SYMBOLS), 10), per(lines, 10)]
     steps = [
-        f"""d as (select doc_id, source, lang, case when {trimmed} = '' then 'empty' when {legal} then 'legal' when {has("'@'", "'http://'", "'https://'", "'www.'")} then 'contact'
-    when {has("' | '", "chr(9)")} then 'tabular' when strlen(coalesce(text, '')) > 8000 then 'long prose' else 'prose' end as topic,
-    case when {trimmed} = '' then 0 else len(regexp_split_to_array({trimmed}, '{SPACE}+')) end as tokens from documents)""",
-        "c as (select source, lang, topic, sum(tokens) as tokens from d group by 1, 2, 3 having sum(tokens) > 0)",
-        "t as (select *, cast(sum(tokens) over () as double) as total from c)",
-        f"r as (select *, tokens / total as weight, {', '.join(f'{raw(m)} as raw{i}' for i, m in enumerate(MARGINS))} from t)",
-        f"n as (select r.* , {', '.join(f'raw{i} / (select sum(x) from (select distinct {m.column}, raw{i} as x from r)) as target{i}' for i, m in enumerate(MARGINS))} from r)",
+        f"r as (select doc_id, source, lang, coalesce(text, '') as x, case when {trimmed} = '' then 0 else len(regexp_split_to_array({trimmed}, '{SPACE}+')) end as tokens from documents)",
+        f"g0 as materialized (select doc_id, source, lang, tokens, [{', '.join(scales)}] as f, 0 as g from r)",
+    ]
+    for made in range(1, TOPICS):
+        # The group and the scale with the largest sum of squares about their mean, split at that mean.
+        steps.append(
+            f"""b{made} as materialized (select g, j, n, s from (select g, j, count(*)::double as n, sum(f[j])::double as s, sum(f[j] * f[j])::double as q from g{made - 1}, (select unnest(range(1, 7)) as j) where tokens > 0 group by g, j)
+    where q - s * s / n > 0 order by q - s * s / n desc, g, j limit 1)"""
+        )
+        steps.append(f"g{made} as materialized (select * replace (case when g = (select g from b{made}) and f[(select j from b{made})] * (select n from b{made}) > (select s from b{made}) then {made} else g end as g) from g{made - 1})")
+    steps += [
+        f"d as (select doc_id, source, lang, tokens, case when tokens = 0 then 'empty' else 'topic ' || g end as topic from g{TOPICS - 1})",
+        "c as materialized (select source, lang, topic, sum(tokens)::double as tokens, sum(sum(tokens)) over ()::double as total from d where tokens > 0 group by 1, 2, 3)",
     ]
-    last = "n"
-    for k in range(ROUNDS):
+    for i, m in enumerate(MARGINS):
+        given = f"case {m.column} {' '.join(f"when '{k}' then {v!r}" for k, v in m.weights.items())} end" if m.weights else "null::double"
+        steps += [
+            f"l{i} as (select {m.column} as k, sum(tokens) / any_value(total) as share, {given} as given, power(sum(tokens) / any_value(total), {m.power!r}) as own from c group by {m.column})",
+            f"""t{i} as (select k, share / {FRACTION!r} as most, coalesce(given * (1 - coalesce(sum(own) filter (where given is null) over (), 0) / sum(own) over ()) / sum(given) over (), own / sum(own) over ()) as target from l{i})""",
+            # Levels in the order in which they are whole; the scale is the first that the next levels can bear.
+            f"w{i} as (select *, (1 - coalesce(sum(most) over (order by most / target, k rows between unbounded preceding and 1 preceding), 0)) / sum(target) over (order by most / target, k rows between current row and unbounded following) as scale from t{i})",
+            f"m{i} as materialized (select k, least(most, target * coalesce((select scale from w{i} where scale * target <= most * (1 + 1e-12) order by most / target, k limit 1), 1.0)) as target from t{i})",
+        ]
+    joins = " ".join(f"join m{i} on c.{m.column} is not distinct from m{i}.k" for i, m in enumerate(MARGINS))
+    steps.append(f"k0 as materialized (select c.*, {', '.join(f'm{i}.target as target{i}' for i in range(len(MARGINS)))}, tokens / total as weight, false as settled from c {joins})")
+    for r in range(ROUNDS):
+        last = f"k{r}"
         for i, m in enumerate(MARGINS):
-            name = f"k{k}_{i}"
-            steps.append(f"{name} as materialized (select * replace (coalesce(weight * target{i} / nullif(sum(weight) over (partition by {m.column}), 0), 0.0) as weight) from {last})")
+            name = f"k{r}_{i}"
+            steps.append(f"{name} as materialized (select * replace (case when settled then weight else least(tokens / total / {FRACTION!r}, coalesce(weight * target{i} / nullif(sum(weight) over (partition by {m.column}), 0), 0.0)) end as weight) from {last})")
             last = name
-    steps.append(f"s0 as materialized (select {FRACTION!r}::double as s)")
-    for k in range(SCALE_ROUNDS):
-        steps.append(f"s{k + 1} as materialized (select (select s from s{k}) * {FRACTION!r}::double / (select sum(tokens / total * least(1.0, (select s from s{k}) * weight / (tokens / total))) from {last}) as s)")
-    steps.append(f"p as (select source, lang, topic, weight, least(1.0, (select s from s{SCALE_ROUNDS}) * weight / (tokens / total)) as probability from {last})")
+        off = ", ".join(f"coalesce(abs(sum(weight) over (partition by {m.column}) / nullif(target{i}, 0) - 1), 0)" for i, m in enumerate(MARGINS))
+        if r % CHECKED == CHECKED - 1 or r == ROUNDS - 1:
+            steps.append(f"k{r + 1} as materialized (select * exclude (off) replace (max(off) over () <= {NEAR!r} as settled) from (select *, greatest({off}) as off from {last}))")
+        else:
+            steps.append(f"k{r + 1} as (select * from {last})")
+    steps.append(f"p as (select source, lang, topic, weight, least(1.0, weight * {FRACTION!r} * total / tokens) as probability from k{ROUNDS})")
     digest = f"cast('0x' || substr(md5('{SEED}:' || coalesce(cast(doc_id as varchar), 'null')), 1, 12) as bigint) / 281474976710656.0"
     return (
         "with " + ",\n".join(steps) + f"""

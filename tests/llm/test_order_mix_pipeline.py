@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import mixing as X
 from scriptorium.llm import training_order as O
 from scriptorium.llm.bpe import Codec, default_vocabulary, read_ranks
 
@@ -96,34 +95,6 @@ def test_no_documents(spark, tmp_path):
     assert O.training_order(spark.read.parquet(str(tmp_path / "docs"))).count() == 0
 
 
-def test_raked_margins(spark):
-    rng = np.random.default_rng(1)
-    rows = [(f"s{a}", f"l{b}", f"t{c}", int(rng.integers(1, 5000))) for a in range(4) for b in range(3) for c in range(2)]
-    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
-    margins = (X.Margin("source", power=0.5), X.Margin("lang", {"l0": 0.5, "l1": 0.3, "l2": 0.2}), X.Margin("topic"))
-    got = X.rake(cells, margins, rounds=30).toPandas()
-    lang = got.groupby("lang").weight.sum()
-    assert np.allclose(lang[["l0", "l1", "l2"]] / lang.sum(), [0.5, 0.3, 0.2], atol=1e-6)
-    share = got.groupby("source").tokens.sum() ** 0.5
-    assert np.allclose(got.groupby("source").weight.sum(), share / share.sum(), atol=1e-6)
-    kept = X.calibrated(spark.createDataFrame(got), 0.6).toPandas()
-    assert abs((kept.probability * kept.tokens).sum() / kept.tokens.sum() - 0.6) < 0.01 and kept.probability.between(0, 1).all()
-
-
-def test_mix(spark):
-    rows = [(i, "word " * (10 + i % 50), ["en", "fr", None][i % 3], "hot" if i % 2 else None, "clash") for i in range(600)]
-    rows += [(700, None, "en", "hot", "c"), (None, "x y", "de", "s", "c"), (1, rows[1][1], "fr", "hot", "c")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens string")
-    got = X.mix(df).collect()
-    assert len(got) == len(rows)
-    assert all(r["sampled"] and r["topic"] == "empty" for r in got if r["doc_id"] == 700)
-    again = X.mix(df).collect()
-    assert sorted((str(r["doc_id"]), r["sampled"]) for r in got) == sorted((str(r["doc_id"]), r["sampled"]) for r in again)
-    kept = sum(r["tokens"] for r in got if r["sampled"]) / sum(r["tokens"] for r in got)
-    assert 0.6 < kept < 0.8
-    assert X.mix(df.limit(0)).count() == 0
-
-
 FOLDER = "/root/testdata/sf0.001"
 
 
