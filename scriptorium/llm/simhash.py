@@ -39,16 +39,27 @@ def masks(blocks: int = BLOCKS, apart: int = MOST_APART) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in chosen]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of one text, unsigned."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included; none without words."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     shingles = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(x, seed) for x in shingles), "<u8")
+    return np.fromiter((digest(x, seed) for x in shingles), "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of one text, unsigned."""
+    return fingerprint_of(shingle_hashes(text, shingle, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, unsigned; zero for none."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536]
@@ -194,13 +205,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root")))
 
 
+def close_fingerprints(unique: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """(a, b): a forest of the pairs of the distinct fingerprints fp that are within MOST_APART bits, from the blocks that they share."""
+    keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks)])).alias("c", "k")
+    return links(unique.select("fp", keys).select("c", "k", "fp").repartition("c", "k").sortWithinPartitions("c", "k", "fp"))
+
+
 def near_duplicates(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable by links) for every row of docs."""
     own = staged(fingerprints(docs), "fingerprints")
     unique = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks)])).alias("c", "k")
-    keyed = unique.select("fp", keys).select("c", "k", "fp").repartition("c", "k").sortWithinPartitions("c", "k", "fp")
-    root = components(links(keyed))
+    root = components(close_fingerprints(unique, blocks))
     rooted = unique.join(root, unique["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = rooted.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id")

@@ -146,3 +146,14 @@ def test_near_copies_leave_one(spark):
     assert (fingerprint(text) ^ fingerprint(near)).bit_count() > 0
     docs = spark.createDataFrame([(5, text, "en", "s", 1), (2, text, "en", "s", 1), (2, text, "en", "s", 1), (9, "something else entirely here", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in C.near_dedup(spark, docs, "").collect()) == [2, 9]
+
+
+def test_rows_that_share_or_lack_a_doc_id(spark):
+    import corpus_pipeline as C
+
+    one, other, third = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(5, one, "en", "s", 1), (5, other, "en", "s", 1), (None, one, "en", "s", 1), (None, third, "en", "s", 1), (None, third, "fr", "s", 1), (7, other, "en", "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = C.near_dedup(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == sorted([("5", one), ("5", other), ("None", third), ("None", "")])
+    assert sorted(map(str, kept)) == sorted(map(str, C.near_dedup(spark, docs.repartition(3), "").collect()))
