@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.llm import common
 from scriptorium.llm.bpe import encode_documents
 from scriptorium.llm.common import DOCUMENT_COLUMNS, read, staged
 from scriptorium.llm.langid import UNKNOWN, identify
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.near_copies import near_copies
 from scriptorium.llm.site_quality import site_quality
+from scriptorium.llm.training_order import numbered
 
 
 def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -44,14 +46,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id, and of rows that share it one.
+    """One document of each group of near copies: the one with the smallest doc_id.
 
-    Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Rows without a doc_id can't be named, so they stay.
+    Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8 or more: what SimHash finds, verified, and the rest by
+    `near_copies`. Every row takes part by itself, with or without a doc_id and whether or not others share it. A group keeps a row with a doc_id if
+    it has one; among rows that share it a hash of text and columns decides, and rows that are alike in all are one.
     """
-    groups = near_copies(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    own, names = apart(docs)
+    rows, _ = numbered(own)
+    groups = near_copies(rows.select(F.col("number").alias("doc_id"), "text")).select(F.col("doc_id").alias("__member"), F.col("component_id").alias("__group"))
+    told = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in own.columns])
+    order = F.struct(F.col("doc_id").isNull().alias("null_last"), F.col("doc_id").alias("id"), told.alias("told"), F.col("number").alias("number"))
+    first = rows.select("number", order.alias("o")).join(groups, F.col("number") == F.col("__member")).groupBy("__group").agg(F.min("o").alias("o")).select(F.col("o.number").alias("__first"))
+    return again(rows.join(first, rows["number"] == first["__first"], "left_semi"), docs, names)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +75,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language identification", language),
     ("quality classifier", quality),
-    ("near-duplicates", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("mixing to target weights", mixing),
     ("byte-level BPE", tokens),
 ]
@@ -77,7 +84,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages in turn. What a stage has written on its way goes when its result stands."""
+    docs, since = read(spark, sf_dir, "documents"), len(common.GIVEN)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.split()[0])
+        common.release(spark, since, keep=(common.GIVEN[-1],))
     return STAGES[-1][1](spark, docs, sf_dir)
