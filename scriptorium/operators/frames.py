@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import reduce
 
@@ -15,9 +16,11 @@ BROADCAST_ROWS = 100_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; one of our own only where none is configured."""
+    """The shared folder for checkpoints. Where none is configured a session of one machine, as in tests, gets its own; a cluster is refused."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="scriptorium-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
@@ -123,11 +126,13 @@ def contains_any_semi(df: DataFrame, text: str, parts: DataFrame, part: str) ->
 def prefix_pairs(df: DataFrame, group: str, column: str) -> DataFrame:
     """(group, parent, child): pairs of distinct values of a group of which one is a prefix of the other.
 
-    Every proper prefix of a value is a row, so that the pairs are found by an equi-join and cost grows with
-    the lengths of the values, not with the square of a group's size.
+    Every proper prefix of a value that is as long as one of the group's values is a row, so that the pairs are found by an
+    equi-join and cost grows with the number of lengths in a group, not with the square of its size.
     """
     distinct = df.select(group, column).distinct()
-    prefixes = distinct.where(F.length(column) > 1).select(group, F.col(column).alias("child"), F.explode(F.transform(F.sequence(F.lit(1), F.length(column) - 1), lambda n: F.left(F.col(column), n))).alias("parent"))
+    lengths = distinct.where(F.length(column) > 0).groupBy(group).agg(F.collect_set(F.length(column)).alias("__lengths"))
+    shorter = F.filter("__lengths", lambda n: n < F.length(column))
+    prefixes = distinct.join(lengths, group).select(group, F.col(column).alias("child"), F.explode(F.transform(shorter, lambda n: F.left(F.col(column), n))).alias("parent"))
     pairs = prefixes.join(distinct.select(group, F.col(column).alias("parent")), [group, "parent"])
     empty = distinct.where(F.col(column) == "").select(group, F.lit("").alias("parent"))
     pairs = pairs.unionByName(distinct.where(F.col(column) != "").select(group, F.col(column).alias("child")).join(empty, group))
@@ -167,11 +172,20 @@ def top_and_other(df: DataFrame, code: str, value: str, by: str, k: int, other:
     return named.groupBy(by, code).agg(F.sum(value).alias(value))
 
 
-def min_max_scaled(c: Column, over: Window | None = None) -> Column:
-    """From 0 to 1 over the window; a constant is 0."""
-    over = over or Window.partitionBy()
-    low, high = F.min(c).over(over), F.max(c).over(over)
-    return F.coalesce(F.try_divide(c - low, F.nullif(high - low, F.lit(0.0))), F.lit(0.0))
+def min_max_scaled(df: DataFrame, **columns: str) -> DataFrame:
+    """df with new columns, each an old one scaled from 0 to 1 by its least and greatest value; a constant is 0."""
+    edges = df.agg(*[f(c).cast("double").alias(f"{name}_{k}") for name, c in columns.items() for k, f in (("a", F.min), ("b", F.max))]).first()
+
+    def scaled(name: str, c: str) -> Column:
+        a, b = edges[f"{name}_a"], edges[f"{name}_b"]
+        return F.lit(0.0) if a is None or a == b else (F.col(c) - a) / (b - a)
+
+    return df.select("*", *[F.coalesce(scaled(name, c), F.lit(0.0)).alias(name) for name, c in columns.items()])
+
+
+def limited(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
+    """The first n rows in a stated order, for trials; an order that leaves ties leaves the choice among them open."""
+    return df.orderBy(*order).limit(n)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:

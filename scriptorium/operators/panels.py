@@ -59,7 +59,8 @@ def title_links_checked(journals: DataFrame, key: str, title: str, related: str,
     """(src, dst): as title_links, but a title that several journals have ties only those that share a body."""
     journals = journals.select(F.col(key).alias("id"), link_title(F.col(title)).alias("t"), clean_text(F.col(body)).alias("body"), clean_text(F.col(related)).alias("related"))
     own = journals.select("id", "t", bodies(F.col("body")).alias("bodies"))
-    named = own.where("t <> ''").withColumn("many", F.count("*").over(Window.partitionBy("t")))
+    named = own.where("t <> ''")
+    named = named.join(named.groupBy("t").agg(F.count("*").alias("many")), "t")
     former, later = former_and_later(F.col("related"))
     asked = journals.select(F.col("id").alias("src"), F.explode(F.concat(titles_in(former), titles_in(later))).alias("raw"))
     asked = asked.select("src", link_title(F.col("raw")).alias("t")).where("t <> ''").distinct()

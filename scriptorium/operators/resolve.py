@@ -82,6 +82,16 @@ def outcome(archived: Column, urls: Column, submitted: Column) -> Column:
     return F.when(archived & (F.size(urls) > 0), "sitemap").when(archived, "no_urls_found").when(submitted.isNull(), "none").when(submitted, "submitted").otherwise("failed")
 
 
+def retrieval_outcome(website: Column, method: Column, urls: Column, saved: Column) -> tuple[Column, Column]:
+    """(method, status) of fetching a site's urls: without a website the method is no_valid_url and the status failed; else no_urls_found,
+    domain_extraction_failed where urls were found at an address without a host, save_failed or success."""
+    no_site = F.coalesce(F.trim(website).isin("", "-"), F.lit(True))
+    host = F.regexp_extract(F.coalesce(website, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]+)", 1)
+    found = F.size(F.coalesce(urls, F.array().cast("array<string>"))) > 0
+    status = F.when(no_site, "failed").when(~found, "no_urls_found").when(host == "", "domain_extraction_failed").when(F.coalesce(saved, F.lit(False)), "success").otherwise("save_failed")
+    return F.when(no_site, "no_valid_url").otherwise(method), status
+
+
 def geocoded(df: DataFrame, places: DataFrame, address: str = "address", fallback: str = "headquarters") -> DataFrame:
     """df with latitude, longitude and country of its address, else its headquarters, where the place is known."""
     asked = F.coalesce(F.when(~is_blank(F.col(address)), F.col(address)), F.col(fallback))

@@ -92,10 +92,12 @@ def strata(df: DataFrame, column: str, q: int = 5) -> DataFrame:
     return df.withColumn("stratum", F.when(F.col(column).isNotNull(), number))
 
 
-def rmst_of(duration: np.ndarray, event: np.ndarray, tau: int) -> float:
-    """RMST of one sample held in arrays."""
+def rmst_of(duration: np.ndarray, event: np.ndarray, tau: int, times_each: np.ndarray | None = None) -> float:
+    """RMST of one sample held in arrays, each row as often as times_each says."""
+    weight = np.ones(len(duration)) if times_each is None else np.asarray(times_each, float)
+    duration, event, weight = duration[weight > 0], event[weight > 0], weight[weight > 0]
     times, at = np.unique(duration, return_inverse=True)
-    d, m = np.bincount(at, event, len(times)), np.bincount(at, minlength=len(times))
+    d, m = np.bincount(at, event * weight, len(times)), np.bincount(at, weight, len(times))
     n = m[::-1].cumsum()[::-1]
     s = np.cumprod(1 - d / n)
     clipped = np.minimum(times, tau)
@@ -116,7 +118,7 @@ def bootstrap_rmst(sample: DataFrame, group: str, a: str, b: str, tau: int = 100
         return spark.createDataFrame([(None, None, None, None)], "difference double, low double, high double, p double")
 
     def area(side: np.ndarray, m: np.ndarray) -> float:
-        return rmst_of(np.repeat(side[:, 0], m), np.repeat(side[:, 1], m), tau)
+        return rmst_of(side[:, 0], side[:, 1], tau, m)
 
     def run(batches):
         for batch in batches:
@@ -134,16 +136,24 @@ def bootstrap_rmst(sample: DataFrame, group: str, a: str, b: str, tau: int = 100
     return told.select(F.lit(float(difference)).alias("difference"), F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), F.least(F.lit(1.0), "p").alias("p"))
 
 
-def two_group_summary(sample: DataFrame, comparison: str, group: str, a: str, b: str, start: str = "start_year", tau: int = 100, times: tuple[int, ...] = (25, 50, 100), q: int = 5, replicates: int = 800) -> DataFrame:
-    """One row: sizes, events, medians, S(t), RMST of either group, tests, and the bootstrapped RMST difference."""
+def two_group_figures(sample: DataFrame, group: str, a: str, b: str, start: str = "start_year", tau: int = 100, times: tuple[int, ...] = (25, 50, 100), q: int = 5) -> DataFrame:
+    """One row: sizes, events, censored, medians, S(t) and RMST of either group, the RMST difference, and both tests' statistics."""
     two = sample.where(F.col(group).isin(a, b))
     curve = km(two, [group])
     size = two.groupBy(group).agg(F.count("*").alias("n"), F.sum("event").alias("events"))
     told = size.join(median_survival(curve, [group]), group, "left").join(survival_at(curve, [group], list(times)), group, "left").join(rmst(curve, [group], tau), group, "left")
-    told = told.select(group, "n", "events", F.col("median").cast("double").alias("median"), *[F.coalesce(f"s_{t}", F.lit(1.0)).alias(f"s_{t}") for t in times], F.coalesce("rmst", F.lit(float(tau))).alias("rmst"))
+    told = told.select(group, "n", "events", (F.col("n") - F.col("events")).alias("censored"), F.col("median").cast("double").alias("median"), *[F.coalesce(f"s_{t}", F.lit(1.0)).alias(f"s_{t}") for t in times], F.coalesce("rmst", F.lit(float(tau))).alias("rmst"))
     side = lambda x, mark: told.where(F.col(group) == x).drop(group).select(*[F.col(c).alias(f"{c}_{mark}") for c in told.columns if c != group])
-    plain = with_p(logrank(two, group, a, b)).select(F.col("z").alias("logrank_z"), F.col("p").alias("logrank_p"))
-    layered = with_p(logrank(strata(two, start, q), group, a, b, "stratum")).select(F.col("z").alias("stratified_z"), F.col("p").alias("stratified_p"))
-    boot = bootstrap_rmst(two, group, a, b, tau, replicates).toDF("rmst_difference", "rmst_low", "rmst_high", "rmst_p")
-    row = side(a, "a").crossJoin(side(b, "b")).crossJoin(plain).crossJoin(layered).crossJoin(boot)  # one row each
+    plain = logrank(two, group, a, b).select(F.col("z").alias("logrank_z"))
+    layered = logrank(strata(two, start, q), group, a, b, "stratum").select(F.col("z").alias("stratified_z"))
+    row = side(a, "a").crossJoin(side(b, "b")).crossJoin(plain).crossJoin(layered)  # one row each
+    return row.withColumn("rmst_difference", F.col("rmst_a") - F.col("rmst_b"))
+
+
+def two_group_summary(sample: DataFrame, comparison: str, group: str, a: str, b: str, start: str = "start_year", tau: int = 100, times: tuple[int, ...] = (25, 50, 100), q: int = 5, replicates: int = 800) -> DataFrame:
+    """One row: the names, the figures of `two_group_figures` with both p values, and the bootstrapped interval and p of the RMST difference, with its number of replicates."""
+    figures = two_group_figures(sample, group, a, b, start, tau, times, q)
+    boot = bootstrap_rmst(sample, group, a, b, tau, replicates).select(F.col("low").alias("rmst_low"), F.col("high").alias("rmst_high"), F.col("p").alias("rmst_p"), F.lit(replicates).alias("rmst_replicates"))
+    tested = figures.withColumn("logrank_p", two_sided_p(F.col("logrank_z"))).withColumn("stratified_p", two_sided_p(F.col("stratified_z")))
+    row = tested.crossJoin(boot)  # one row each
     return row.select(F.lit(comparison).alias("comparison"), F.lit(a).alias("group_a"), F.lit(b).alias("group_b"), *row.columns)

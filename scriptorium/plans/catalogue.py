@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import multivalue, stats, text, urls, years
 from ..operators import academies, cluster, frames, graph, panels, rates, resolve, sets, survival
-from ..sources.readers import archive_listing, table
+from ..sources.readers import archive_listing, marc_bodies, marc_values, table, table_rows
 
 FLAGSHIP = "km_curve"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,7 +133,7 @@ with g as (select c_nationkey as nation, avg(c_acctbal) as x from customer group
 select nation, round((x - min(x) over ()) / (max(x) over () - min(x) over ()), 6) as scaled from g""")
 def min_max_scaling(spark: SparkSession, d: str) -> DataFrame:
     means = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.avg("c_acctbal").alias("x"))
-    return means.select("nation", F.round(frames.min_max_scaled(F.col("x")), 6).alias("scaled"))
+    return frames.min_max_scaled(means, scaled="x").select("nation", F.round("scaled", 6).alias("scaled"))
 
 
 @query("""
@@ -215,16 +215,18 @@ def url_harvest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with h as (select distinct regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host from pages where page_id % 7 = 0)
+with h as (select distinct regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host from pages where contains(url, '?'))
 select page_id from pages where exists (select 1 from h where contains(lower(url), host))""")
 def contains_any_semi(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
-    hosts = pages.where("page_id % 7 = 0").select(urls.domain(F.col("url")).alias("host")).distinct()
+    hosts = pages.where(F.col("url").contains("?")).select(urls.domain(F.col("url")).alias("host")).distinct()
     return frames.contains_any_semi(pages, "url", hosts, "host").select("page_id")
 
 
-@query("""
-select page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as title from pages""".replace("regexp_extract(html, '<title>(.*?)</title>', 1)", "replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"))
+@query(r"""
+with t as (select page_id, regexp_extract(html, '<title>(.*?)</title>', 1) as t from pages),
+  d as (select page_id, replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as t from t)
+select page_id, trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as title from d""")
 def page_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.text_of_html(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
 
@@ -232,9 +234,9 @@ def page_titles(spark: SparkSession, d: str) -> DataFrame:
 # --- texts
 
 @query(r"""
-select doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) as key from documents""")
+select doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) as key from documents""")
 def country_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.country_key(F.substring("text", 1, 80)).alias("key"))
+    return table(spark, d, "documents").select("doc_id", text.country_key(F.col("text")).alias("key"))
 
 
 @query(r"""
@@ -244,7 +246,7 @@ def middle_ellipsis(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select p_type, count(*) as n, cast(sum(cast(lower(p_name) similar to '.*(red|blue).*' as int)) as bigint) as flagged from part group by 1""".replace("similar to '.*(red|blue).*'", "like '%red%' or lower(p_name) like '%blue%'").replace("cast(lower(p_name) like '%red%' or lower(p_name) like '%blue%' as int)", "case when lower(p_name) like '%red%' or lower(p_name) like '%blue%' then 1 else 0 end"))
+select p_type, count(*) as n, count(*) filter (where lower(p_name) like '%red%' or lower(p_name) like '%blue%') as flagged from part group by 1""")
 def contains_flag(spark: SparkSession, d: str) -> DataFrame:
     flag = text.contains_any(F.col("p_name"), ["RED", "blue"]).cast("int")
     return table(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n"), F.sum(flag).alias("flagged"))
@@ -391,6 +393,27 @@ def stratified_logrank_oe_v(spark: SparkSession, d: str) -> DataFrame:
     return told.select(*[F.round(c, 6).alias(c) for c in ("o_minus_e", "v", "z")])
 
 
+def figures_sql() -> str:
+    def side(g: str, mark: str) -> str:
+        at = ", ".join(f"round(coalesce((select arg_max(s, t) from k where grp = '{g}' and t <= {x}), 1.0), 6) as s_{x}_{mark}" for x in (25, 50, 100))
+        counts = f"(select count(*) from s where grp = '{g}') as n_{mark}, cast((select sum(event) from s where grp = '{g}') as bigint) as events_{mark}, cast((select sum(1 - event) from s where grp = '{g}') as bigint) as censored_{mark}"
+        return f"{counts}, cast((select min(t) from k where grp = '{g}' and s <= 0.5) as double) as median_{mark}, {at}, round((select area from w where grp = '{g}'), 6) as rmst_{mark}"
+
+    z = lambda strata: f"(select z from ({logrank_sql(strata)}) as o)"
+    return f"""
+with {RISK}, l as (select *, lag(s, 1, 1.0) over (partition by grp order by t) as s0, lag(t, 1, 0) over (partition by grp order by t) as t0 from k),
+  w as (select grp, sum(s0 * greatest(0, least(t, 60) - least(t0, 60))) + arg_max(s, t) * greatest(0, 60 - max(t)) as area from l group by grp)
+select {side("BUILDING", "a")}, {side("MACHINERY", "b")}, {z("1")} as logrank_z, {z(QUINTILE)} as stratified_z,
+  round((select area from w where grp = 'BUILDING') - (select area from w where grp = 'MACHINERY'), 6) as rmst_difference"""
+
+
+@query(figures_sql())
+def two_group_figures(spark: SparkSession, d: str) -> DataFrame:
+    told = survival.two_group_figures(sample(spark, d), "grp", "BUILDING", "MACHINERY", tau=60)
+    whole = [c for c in told.columns if c[:2] in ("n_", "ev", "ce", "me")]
+    return told.select(*[F.col(c) if c in whole else F.round(c, 6).alias(c) for c in told.columns])
+
+
 @query()
 def two_group_summary(spark: SparkSession, d: str) -> DataFrame:
     return survival.two_group_summary(sample(spark, d), "segment", "grp", "BUILDING", "MACHINERY", tau=60)
@@ -414,23 +437,24 @@ def lineage_group(spark: SparkSession, d: str) -> DataFrame:
 
 # --- sets
 
-PAIRS = "(select distinct l_suppkey as site, p_type as hypernym, p_brand as hyponym from lineitem join part on l_partkey = p_partkey where l_quantity >= 46 and l_discount >= 0.09)"
+#: All lines; brands and names are so many pairs that suppliers share few of them.
+PAIRS = "(select distinct l_suppkey as site, p_brand as hypernym, p_name as hyponym from lineitem join part on l_partkey = p_partkey)"
 ITEM = ["hypernym", "hyponym"]
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_quantity >= 46 and l_discount >= 0.09").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return lines.select(F.col("l_suppkey").alias("site"), F.col("p_type").alias("hypernym"), F.col("p_brand").alias("hyponym")).distinct()
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.select(F.col("l_suppkey").alias("site"), F.col("p_brand").alias("hypernym"), F.col("p_name").alias("hyponym")).distinct()
 
 
 @query(f"""
-with s as {PAIRS}, t as (select hypernym, hyponym from s group by 1, 2 having count(*) >= 5), n as (select count(*) as n from t),
+with s as {PAIRS}, t as (select hypernym, hyponym from s group by 1, 2 having count(*) >= 30), n as (select count(*) as n from t),
   h as (select site, count(*) as size, count(t.hypernym) as hits from s left join t using (hypernym, hyponym) group by 1),
   p as (select site, hits / cast(size as double) as p, hits / cast(greatest(n, 1) as double) as r, n - hits as missing from h, n)
 select site, round(p, 9) as precision, round(r, 9) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) as f1, missing from p""")
 def site_prf1(spark: SparkSession, d: str) -> DataFrame:
     own = pairs(spark, d)
-    told = sets.coverage(own, own.groupBy(*ITEM).count().where("count >= 5").select(*ITEM), "site", ITEM)
+    told = sets.coverage(own, own.groupBy(*ITEM).count().where("count >= 30").select(*ITEM), "site", ITEM)
     return told.select("site", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "missing")
 
 
@@ -478,14 +502,14 @@ def top_distinctive(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-with s as {PAIRS}, n as (select site % 3 as cluster, count(distinct site) as n from s group by 1), h as (select distinct site, hyponym from s where hypernym = (select min(hypernym) from s)),
+with s as {PAIRS}, n as (select site % 3 as cluster, count(distinct site) as n from s group by 1), h as (select distinct site, hypernym as hyponym from s),
   k as (select site % 3 as cluster, hyponym, count(*) as k from h group by 1, 2), g as (select cluster, n, hyponym from n, (select distinct hyponym from h))
 select g.cluster, g.hyponym, round(coalesce(k, 0) / cast(n as double), 9) as coverage from g left join k on g.cluster = k.cluster and g.hyponym = k.hyponym""")
 def first_level_coverage(spark: SparkSession, d: str) -> DataFrame:
     own = pairs(spark, d)
+    own = own.union(own.select("site", F.lit("Homepage"), "hypernym").distinct())  # brands stand below the root
     clusters = own.select("site").distinct().withColumn("cluster", F.col("site") % 3)
-    root = own.agg(F.min("hypernym")).first()[0]
-    return sets.first_level_coverage(own, clusters, "site", "cluster", root).withColumn("coverage", F.round("coverage", 9))
+    return sets.first_level_coverage(own, clusters, "site", "cluster").withColumn("coverage", F.round("coverage", 9))
 
 
 @query(f"""
@@ -507,29 +531,35 @@ def ward_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 # --- graphs
 
-EDGES = "(select 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem where l_quantity >= 46 and l_discount >= 0.09)"
+EDGES = "(select distinct 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem)"
+BOTH = f"e as materialized (select src, dst from {EDGES} union select dst, src from {EDGES})"
+#: Rounds after which the least label has reached every node of the tables at hand; the last one shows that none changes any more.
+LABEL_ROUNDS = 14
 
 
 def bipartite(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_quantity >= 46 and l_discount >= 0.09").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    return table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
 
 
-@query(f"""
-with recursive e as (select src, dst from {EDGES} union select dst, src from {EDGES}), r(node, reach) as (select src, src from e union select r.node, e.dst from r join e on r.reach = e.src)
-select node, min(reach) as component from r group by node""")
+@query(
+    f"with {BOTH}, r0 as materialized (select distinct src as node, src as label from e)"
+    + "".join(f", r{k + 1} as materialized (select r.node, least(r.label, min(x.label)) as label from r{k} r join e on e.src = r.node join r{k} x on x.node = e.dst group by r.node, r.label)" for k in range(LABEL_ROUNDS))
+    + f" select r.node, case when r.label = x.label then r.label end as component from r{LABEL_ROUNDS} r join r{LABEL_ROUNDS - 1} x using (node)"
+)
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(bipartite(spark, d))
 
 
 @query(f"""
-with e as (select src, dst from {EDGES} union select dst, src from {EDGES}), r as (select distinct src as node from {EDGES} where hash(0) is not null and cast(substr(src, 2) as bigint) % 10 = 0),
-  a as (select distinct dst as node from e join r on src = node where dst not in (select node from r)), b as (select distinct dst as node from e join a on src = node where dst not in (select node from r) and dst not in (select node from a))
+with {BOTH}, r as materialized (select distinct 'o' || l_orderkey as node from lineitem join orders on l_orderkey = o_orderkey where o_totalprice = (select max(o_totalprice) from lineitem join orders on l_orderkey = o_orderkey)),
+  a as materialized (select distinct dst as node from e join r on src = node where dst not in (select node from r)), b as (select distinct dst as node from e join a on src = node where dst not in (select node from r) and dst not in (select node from a))
 select node, 0 as depth from r union all select node, 1 from a union all select node, 2 from b""")
 def bfs_depth(spark: SparkSession, d: str) -> DataFrame:
+    """From the largest order that has lines, two steps over all lines."""
     own = bipartite(spark, d)
-    both = own.union(own.select("dst", "src").toDF("src", "dst"))
-    start = own.where(F.substring("src", 2, 20).cast("long") % 10 == 0).select(F.col("src").alias("node"))
-    return graph.bfs(both, start, 2)
+    priced = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_totalprice")
+    start = priced.join(priced.agg(F.max("o_totalprice").alias("most")), F.col("o_totalprice") == F.col("most")).select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    return graph.bfs(own.union(own.select("dst", "src").toDF("src", "dst")), start, 2)
 
 
 TAXONOMY = """(select 'Homepage' as parent, r_name as child from region union all select r_name, n_name from nation join region on n_regionkey = r_regionkey union all select n_name, s_name from supplier join nation on s_nationkey = n_nationkey)"""
@@ -546,11 +576,11 @@ def taxonomy(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-with recursive t as {TAXONOMY}, s as (select o_custkey % 50 as sitedomain, n_name as hypernym, s_name as hyponym from orders join lineitem on o_orderkey = l_orderkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey where l_quantity >= 46 and l_discount >= 0.09),
+with recursive t as {TAXONOMY}, s as (select o_custkey % 50 as sitedomain, n_name as hypernym, s_name as hyponym from orders join lineitem on o_orderkey = l_orderkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
   c(sitedomain, hypernym, hyponym) as (select distinct * from s union select c.sitedomain, t.parent, t.child from c join t on t.child = c.hypernym or t.child = c.hyponym)
 select sitedomain, hypernym, hyponym from c""")
 def taxonomy_closure(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "orders").join(table(spark, d, "lineitem").where("l_quantity >= 46 and l_discount >= 0.09"), F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     lines = lines.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     own = lines.select((F.col("o_custkey") % 50).alias("sitedomain"), F.col("n_name").alias("hypernym"), F.col("s_name").alias("hyponym")).distinct()
     return graph.with_missing_ancestors(own, taxonomy(spark, d))
@@ -577,10 +607,11 @@ with b as (select item_id, list_distinct(string_split(trim(regexp_replace(lower(
   s as (select item_id, doc_id, count(*) * 4 as score from x join y using (w) where w <> '' group by 1, 2)
 select item_id, doc_id, score from s where score >= 80 qualify row_number() over (partition by item_id order by score desc, doc_id) = 1""")
 def entity_score_top1(spark: SparkSession, d: str) -> DataFrame:
-    tokens = lambda c: F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " ")))
-    asked = table(spark, d, "benchmark").select("item_id", tokens(F.col("text")).alias("w")).where("w <> ''")
-    held = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
-    points = asked.join(held, "w").groupBy("item_id", "doc_id").agg((F.count("*") * resolve.PER_TOKEN).alias("score")).where(F.col("score") >= resolve.LEAST)
+    tokens = lambda c: F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " "), lambda w: w != ""))
+    asked = table(spark, d, "benchmark").select("item_id", tokens(F.col("text")).alias("words"))
+    held = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("words"))
+    shared = sets.share_words(asked, "item_id", held, "doc_id", "words", resolve.LEAST // resolve.PER_TOKEN)
+    points = shared.select("item_id", "doc_id", (F.col("shared") * resolve.PER_TOKEN).cast("long").alias("score"))
     return frames.first_per_key(points, ["item_id"], [F.desc("score"), "doc_id"])
 
 
@@ -727,10 +758,10 @@ def archive_listings(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 select c_custkey as k, 'Q' || n_nationkey as id, cast(120 + 4 * 2 * len(list_distinct(string_split(lower(n_name), ' '))) + 25 + 8 + 1 as int) as score
-from customer join nation on c_nationkey = n_nationkey where c_custkey <= 100 and n_name = n_name""")
+from customer join nation on c_nationkey = n_nationkey """)
 def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
     nation = table(spark, d, "nation")
-    entities = table(spark, d, "customer").where("c_custkey <= 100").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    entities = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     own = entities.select(F.col("c_custkey").alias("k"), F.array("n_name").alias("names"), F.lower(F.col("n_name")).alias("country"))
     label = F.regexp_replace(F.lower("n_name"), "[^a-z0-9_ ]", " ")
     found = entities.select(F.col("c_custkey").alias("k"), F.concat(F.lit("Q"), "n_nationkey").alias("id"), F.col("n_name").alias("label"), F.concat(F.lit("academy in "), label).alias("description"), F.array().cast("array<string>").alias("aliases"), F.lit(0).alias("position"))
@@ -762,3 +793,97 @@ def geocoded(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_nationkey").cast("string")
     places = table(spark, d, "nation").select(F.concat(F.lit("p"), n).alias("place"), F.concat(F.lit("lat"), n).alias("latitude"), F.lit("N/A").alias("longitude"), F.lit("x").alias("country"))
     return resolve.geocoded(own, places).where("longitude = 'old'").select("c_custkey", "latitude")
+
+
+@query("select c_custkey from customer order by c_acctbal desc, c_custkey limit 7")
+def ordered_limit(spark: SparkSession, d: str) -> DataFrame:
+    return frames.limited(table(spark, d, "customer"), 7, F.desc("c_acctbal"), "c_custkey").select("c_custkey")
+
+
+@query("""
+select c_custkey, case when c_custkey % 6 = 0 then 'no_valid_url' else 'sitemap' end as method,
+  case c_custkey % 6 when 0 then 'failed' when 1 then 'no_urls_found' when 2 then 'domain_extraction_failed' when 3 then 'save_failed' else 'success' end as status from customer""")
+def retrieval_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey") % 6
+    website = F.when(k == 0, F.when(F.col("c_custkey") % 4 == 0, "-")).when(k == 2, "somewhere").otherwise("https://a.org/x")
+    urls = F.when(k == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("https://a.org/1")))
+    method, status = resolve.retrieval_outcome(website, F.lit("sitemap"), urls, k > 3)
+    return table(spark, d, "customer").select("c_custkey", method.alias("method"), status.alias("status"))
+
+
+@query("select c_custkey, case when c_custkey % 3 = 0 then 'none' else 'a' || c_nationkey || '@x.org, b@' || lower(c_mktsegment) || '.org' end as mails from customer")
+def email_lists(spark: SparkSession, d: str) -> DataFrame:
+    own = F.concat(F.lit("<a href='mailto:b@"), F.lower("c_mktsegment"), F.lit(".org?subject=hello'>b</a> <a href=\"MAILTO:a"), F.col("c_nationkey").cast("string"), F.lit("@x.org\">a</a> <a href='mailto:b@"), F.lower("c_mktsegment"), F.lit(".org'>"))
+    html = F.when(F.col("c_custkey") % 3 == 0, "<p>no@link.org</p>").otherwise(own)
+    return table(spark, d, "customer").select("c_custkey", urls.emails(html, "none").alias("mails"))
+
+
+@query("""
+select event_id, case event_id % 4 when 0 then 'standard' when 1 then 'regex' when 2 then 'regex' else 'failed' end as parsing_method,
+  case event_id % 4 when 0 then 'http://s.org/' || user_id when 1 then 'http://r.org/' || user_id || '|http://r.org/x' when 2 then 'http://t.org/' || user_id else '' end as urls from events""")
+def sitemap_ladder(spark: SparkSession, d: str) -> DataFrame:
+    k, u = F.col("event_id") % 4, F.col("user_id").cast("string")
+    content = F.when(k == 1, F.concat(F.lit("<urlset><url><LOC> http://r.org/"), u, F.lit(" </LOC><loc>http://r.org/x</loc>"))).when(k == 2, F.concat(F.lit("broken < http://t.org/"), u, F.lit(" and so on"))).otherwise("ftp://no http:/no")
+    standard = F.when(k == 0, F.array(F.concat(F.lit("http://s.org/"), u)))
+    told = table(spark, d, "events").select("event_id", urls.sitemap_urls(content, standard).alias("s"))
+    return told.select("event_id", "s.parsing_method", F.array_join("s.urls", "|").alias("urls"))
+
+
+@query("select n_nationkey, n_name as name, 'Area ' || n_regionkey as area, 'http://w/' || n_nationkey as href from nation where n_nationkey % 5 <> 0")
+def founding_tables(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey").cast("string")
+    rows = F.concat(F.lit("<tr><td colspan=\"3\"><b>Area "), F.col("n_regionkey").cast("string"), F.lit("</b></td></tr><tr><th>Founded</th><th>Name</th><th>x</th></tr><tr><td>1</td><td><a href=\"http://w/"), n, F.lit("\">"), "n_name", F.lit("</a></td><td>z</td></tr><tr><td>two cells</td><td>only</td></tr>"))
+    html = F.concat(F.lit("<table><tr><td>0</td><td>1</td><td>2</td></tr></table><h2 id=\"list\">List</h2>"), F.when(F.col("n_nationkey") % 5 != 0, F.concat(F.lit("<table>"), rows, F.lit("</table>"))).otherwise(""))
+    told = table_rows(table(spark, d, "nation").select("n_nationkey", html.alias("html")), "n_nationkey", "html", "list")
+    return told.select("n_nationkey", F.col("c1").alias("name"), "area", F.col("link.href").alias("href"))
+
+
+def journals(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as journals: each names the next one as related, five in a row; every third has no end."""
+    k = F.col("p_partkey")
+    title = lambda n: F.concat(F.lit("Journal "), n.cast("string"))
+    related = F.when(k % 5 != 0, F.concat(F.lit("/ "), F.upper(title(k + 1))))
+    published = F.when(k % 3 == 0, F.concat((F.col("p_size") + 1900).cast("string"), F.lit("-"))).otherwise(F.concat_ws("-", F.col("p_size") + 1900, F.col("p_size") + 1930))
+    return table(spark, d, "part").select(k.alias("id"), title(k).alias("title"), related.alias("related"), published.alias("published"))
+
+
+CHAINS = "(select p_partkey as id, cast((p_partkey + 4) // 5 as bigint) as chain, p_size + 1900 as a, p_size + 1930 as b, p_partkey % 3 = 0 as open from part)"
+
+
+@query(f"""
+with j as {CHAINS}, g as (select min(id) as lineage, string_agg(id, '|' order by id) as members, count(*) as n_titles, min(a) as start_year, max(case when not open then b end) as last, bool_or(open) as open from j group by chain)
+select lineage, members, n_titles, start_year, case when open or last is null then {panels.HORIZON} else last end as end_year, case when open or last is null then 0 else 1 end as event, case when open or last is null then {panels.HORIZON} else last end - start_year + 1 as duration from g""")
+def journal_lineages(spark: SparkSession, d: str) -> DataFrame:
+    told = panels.lineages(journals(spark, d), "id", "title", "related", "published")
+    return told.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), "|"))
+
+
+@query(f"select x.id as src, y.id as dst from {CHAINS} x join {CHAINS} y on y.id = x.id + 1 and x.id % 5 <> 0")
+def plain_title_links(spark: SparkSession, d: str) -> DataFrame:
+    return panels.title_links(journals(spark, d), "id", "title", "related")
+
+
+@query(f"select min(id) as component, count(*) as size, string_agg(cast(id as varchar), ' | ' order by cast(id as varchar)) as ids, string_agg('Journal ' || id, ' | ' order by 'Journal ' || id) as titles from {CHAINS} group by chain")
+def journal_families(spark: SparkSession, d: str) -> DataFrame:
+    own = journals(spark, d)
+    told = panels.families(own.withColumn("id", F.col("id").cast("string")), panels.title_links(own, "id", "title", "related").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")), "id", "title")
+    return told.withColumn("component", F.array_min(F.transform(F.split("ids", r" \| "), lambda x: x.cast("long"))))
+
+
+@query("select l_orderkey * 10 + l_linenumber as record, k, v from (select l_orderkey, l_linenumber, unnest(['001', '016_a', '245_a']) as k, unnest(['c' || min(l_partkey), 'z' || min(l_suppkey) || ' | y', 'Title ' || min(l_partkey)]) as v from lineitem group by 1, 2)")
+def marc_flattened(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record")).agg(F.min("l_partkey").cast("string").alias("p"), F.min("l_suppkey").cast("string").alias("s"))
+    part = lambda code, v: F.struct(F.lit(code).alias("_code"), v.alias("_VALUE"))
+    field = lambda tag, *subs: F.struct(F.lit(tag).alias("_tag"), F.array(*subs).alias("marc:subfield"))
+    records = own.select("record", F.array(F.struct(F.lit("001").alias("_tag"), F.concat(F.lit("c"), "p").alias("_VALUE"))).alias("controlfields"), F.array(field("016", part("a", F.concat(F.lit("z"), "s")), part("b", F.lit(""))), field("245", part("a", F.concat(F.lit("Title "), "p"))), field("016", part("a", F.lit("y")))).alias("datafields"))
+    return marc_values(records).select("record", F.explode("values").alias("k", "v"))
+
+
+@query("select s_suppkey, 'Z' || s_suppkey as zdb_id, 'Academy ' || s_nationkey || ' (Section)' as corporate_body, '(DE-588)' || s_suppkey as koeref from supplier union all select s_suppkey, 'Z' || s_suppkey, 'Other body', 'N/A' from supplier")
+def marc_corporate_bodies(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    part = lambda code, v: F.struct(F.lit(code).alias("_code"), v.alias("_VALUE"))
+    field = lambda tag, *subs: F.struct(F.lit(tag).alias("_tag"), F.array(*subs).alias("marc:subfield"))
+    fields = F.array(field("710", part("a", F.lit("Other body"))), field("016", part("2", F.lit("DE-101")), part("a", F.lit("no"))), field("016", part("2", F.lit("DE-600")), part("a", F.concat(F.lit("Z"), k))), field("110", part("a", F.concat(F.lit("Academy "), F.col("s_nationkey").cast("string"))), part("b", F.lit("Section")), part("0", F.concat(F.lit("(DE-588)"), k))))
+    told = marc_bodies(table(spark, d, "supplier").select(fields.alias("datafields")))
+    return told.select(F.regexp_extract("zdb_id", "Z(.*)", 1).cast("long").alias("s_suppkey"), "zdb_id", "corporate_body", "koeref")

@@ -138,3 +138,45 @@ def test_similarity_is_symmetric_and_bounded(spark):
     own = spark.createDataFrame([("p", 1), ("p", 2), ("q", 2), ("q", 1), ("r", 2)], "site string, i int")
     pairs = sets.overlaps(own, "site", ["i"])
     assert {(r["a"], r["b"]): r["jaccard"] for r in sets.jaccard(pairs).collect()} == {("p", "q"): 1.0, ("p", "r"): 0.5, ("q", "r"): 0.5}
+
+
+def test_shared_words_equal_all_pairs(spark):
+    import numpy as np
+
+    from scriptorium.operators import sets
+
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(40)]
+    asked = {i: sorted({"the", *rng.choice(vocabulary, 9)}) for i in range(20)}
+    held = {i: sorted({"the", *rng.choice(vocabulary, int(rng.integers(1, 30)))}) for i in range(60)}
+    got = sets.share_words(spark.createDataFrame(list(asked.items()), "q long, words array<string>"), "q", spark.createDataFrame(list(held.items()), "d long, words array<string>"), "d", "words", 5)
+    want = {(q, d, n) for q, a in asked.items() for d, b in held.items() if (n := len(set(a) & set(b))) >= 5}
+    assert {tuple(r) for r in got.collect()} == want and want
+
+
+def test_components_of_a_chain_and_a_hub(spark):
+    from scriptorium.operators import graph
+
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 500)] + [(5000, 5000)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert all(got[i] == 0 for i in range(301)) and all(got[1000 + i] == 1000 for i in range(500)) and got[5000] == 5000
+
+
+def test_bootstrap_areas_by_counts():
+    import numpy as np
+
+    from scriptorium.operators import survival
+
+    rng = np.random.default_rng(2)
+    t, e, m = rng.integers(1, 40, 30), rng.integers(0, 2, 30), rng.integers(0, 5, 30)
+    assert abs(survival.rmst_of(t, e, 25, m) - survival.rmst_of(np.repeat(t, m), np.repeat(e, m), 25)) < 1e-9
+
+
+def test_prefix_pairs_equal_all_pairs(spark):
+    from scriptorium.operators import frames
+
+    values = ["", "a", "ab", "abc", "b", "bc", "abcd", "x/y", "x/y/z"]
+    df = spark.createDataFrame([(g, v) for g in "pq" for v in values if g == "p" or len(v) != 1], "g string, v string")
+    rows = {tuple(r) for r in df.collect()}
+    want = {(g, a, b) for g, a in rows for h, b in rows if g == h and a != b and b.startswith(a)}
+    assert {tuple(r) for r in frames.prefix_pairs(df, "g", "v").collect()} == want

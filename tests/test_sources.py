@@ -100,3 +100,24 @@ def test_stream_hands_each_key_over_once(spark, tmp_path):
     spark.createDataFrame([("u",), ("v",)], "url string").write.mode("append").parquet(str(tmp_path / "in"))
     pending.handle_new(spark, str(tmp_path / "in"), "url string", str(tmp_path / "c"), take)
     assert sorted(seen) == ["u", "v"]
+
+
+def test_workbook_and_summary_table(spark, tmp_path):
+    import zipfile
+    from xml.etree import ElementTree
+
+    one = spark.createDataFrame([("a & <b>", 1, 0.5, True), (None, 2, float("nan"), False)], "name string, n int, x double, yes boolean")
+    sinks.workbook({"First": one, "Second & last": one.select("n")}, str(tmp_path / "book.xlsx"), widths={"name": 40})
+    file = zipfile.ZipFile(tmp_path / "book.xlsx")
+    space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    sheet = ElementTree.fromstring(file.read("xl/worksheets/sheet1.xml"))
+    assert [["".join(c.itertext()) for c in row] for row in sheet.iterfind(".//m:row", space)] == [["name", "n", "x", "yes"], ["a & <b>", "1", "0.5", "1"], ["", "2", "", "0"]]
+    assert sheet.find(".//m:col", space).get("width") == "40"
+    assert [s.get("name") for s in ElementTree.fromstring(file.read("xl/workbook.xml")).iterfind(".//m:sheet", space)] == ["First", "Second & last"]
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        sinks.workbook({"x": one}, str(tmp_path / "no.xlsx"), most=1)
+    row = {f"{c}_{s}": v for s in "ab" for c, v in {"n": 10, "events": 4, "censored": 6, "median": None if s == "a" else 42.0, "s_25": 0.5, "s_50": 1.2, "s_100": 0.1, "rmst": 33.33}.items()}
+    row |= {"rmst_difference": 1.0, "rmst_low": -0.5, "rmst_high": 2.0, "rmst_p": 0.0004, "logrank_p": 0.25, "stratified_p": None}
+    text = sinks.summary_table([("Engineering vs.\\ non-engineering", "Engineering", "Non-engineering", row)])
+    assert r"Engineering & 10 & 4 & 6 & -- & 0.50 & 1.00 & 0.10 & 33.3 \\" in text and r"Log-rank $p$} & 0.250 \\" in text
+    assert r"1.0 [-0.5, 2.0]; boot $p$=$<0.001$ \\" in text and text.count(r"\midrule") == 1 and r"$\tau=100$ years" in text
