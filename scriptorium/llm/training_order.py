@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .bpe import default_vocabulary, ranks_of, read_ranks
 from .common import fresh_path, staged
 
-END, RECORD, SLOTS, PART, KEY, ROUNDS, MOST_TASKS = 50256, 2048, 8192, 4096, "epoch-0", 6, 20_000
+END, RECORD, SLOTS, PART, KEY, ROUNDS, MOST_TASKS = 50256, 2048, 8192, 1024, "epoch-0", 6, 20_000
 INDEX = "doc_id long, slot long, first_token long, n_tokens long, tokens_sha256 string"
 
 
