@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+import types
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -37,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEAF = 256
+LEAF = 512
 PIECE_LEAF = 64
 LOOK = 2
-#: Pieces whose tokens are remembered at a time; what is forgotten is merged again.
-REMEMBERED = 1 << 17
+#: Pieces whose tokens are remembered at a time, in two generations of half as many; what is forgotten is merged again.
+REMEMBERED = 1 << 19
 #: Bytes from which pairs wait in a heap instead of being scanned: the same merges in the same order.
 SCANNED = 256
 NEVER = 1 << 60
@@ -83,6 +85,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.leaf, self.piece_leaf = leaf, piece_leaf
         self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     # --- the base of the recursion: lowest rank first, leftmost of equals
@@ -93,17 +96,17 @@ class Codec:
         if len(piece) > SCANNED:
             return self.merge_waiting(piece)
         rank = self.ranks.get
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        # Where parts begin, and what each makes with the next one.
+        starts = list(range(len(piece) + 1))
+        pairs = [rank(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
         while pairs and (least := min(pairs)) < NEVER:
             i = pairs.index(least)
-            parts[i] += parts.pop(i + 1)
-            del pairs[i]
+            del starts[i + 1], pairs[i]
             if i < len(pairs):
-                pairs[i] = rank(parts[i] + parts[i + 1], NEVER)
+                pairs[i] = rank(piece[starts[i] : starts[i + 2]], NEVER)
             if i:
-                pairs[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
-        return [self.ranks[p] for p in parts]
+                pairs[i - 1] = rank(piece[starts[i - 1] : starts[i + 1]], NEVER)
+        return [self.ranks[piece[a:b]] for a, b in zip(starts, starts[1:], strict=False)]
 
     def merge_waiting(self, piece: bytes) -> list[int]:
         """As merge, with the pairs in a heap and the parts in a linked list."""
@@ -132,7 +135,7 @@ class Codec:
     def compatible(self, a: int, b: int) -> bool:
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) >= REMEMBERED:
+            if len(self.pairs) >= REMEMBERED // 4:
                 self.pairs.clear()
             found = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return found
@@ -159,13 +162,13 @@ class Codec:
 
     def code(self, piece: str) -> tuple[int, ...]:
         """The tokens of one piece."""
-        found = self.known.get(piece)
+        found = self.known.get(piece) or self.before.get(piece)
         if found is None:
             found = self.piece_ids(piece.encode("utf-8", "replace"))
-            if len(piece) <= self.piece_leaf:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[piece] = found
+        if len(piece) <= self.piece_leaf:
+            if len(self.known) >= REMEMBERED // 2:
+                self.known, self.before = {}, self.known
+            self.known[piece] = found
         return found
 
     # --- text level
@@ -174,7 +177,7 @@ class Codec:
         if b - a > self.leaf:
             m = (a + b) // 2
             return self.join(text, m, b, self.span(text, a, m), self.span(text, m, b))
-        pieces, known, code = self.pattern.findall(text, a, b), self.known.get, self.code
+        pieces, known, code = self.pattern.findall(text, a, b), self.known.get, self.code  # a leaf may begin a generation
         return pieces, [known(p) or code(p) for p in pieces]
 
     def join(self, text: str, m: int, b: int, left: tuple[list, list], right: tuple[list, list]) -> tuple[list, list]:
@@ -214,6 +217,15 @@ class Codec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+def codec_for(rank_file: bytes, pattern: str) -> Codec:
+    """This Python worker's codec: what it remembers serves the worker's later tasks, too."""
+    kept = sys.modules.setdefault("scriptorium codecs of this worker", types.ModuleType("codecs")).__dict__
+    name = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
+    if name not in kept:
+        kept[name] = Codec(rank_file, pattern)
+    return kept[name]
+
+
 def outputs(codec: Codec, text: str, want: tuple[str, ...]) -> dict:
     ids = codec.encode(text)
     row: dict = {"n_tokens": len(ids), "ids": ids}
@@ -248,7 +260,7 @@ def encode_documents(docs: DataFrame, want: tuple[str, ...] = ("ids",), keep: tu
     kinds = {"ids": pa.list_(pa.int32()), "token_bytes": pa.binary(), "decoded": pa.binary(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        codec = codec_for(ranks.value, pattern)
         for batch in batches:
             at = 0
             for texts in slices(batch.column("__text")):
@@ -271,7 +283,7 @@ def decode_documents(tokens: DataFrame, keep: tuple[str, ...] = ("doc_id",), voc
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        codec = codec_for(ranks.value, pattern)
         for batch in batches:
             texts = [codec.decode(x or []).decode("utf-8", "replace") for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, "text"])
