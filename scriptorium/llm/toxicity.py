@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ class Rows:
         return np.bincount(self.to, held if self.value is None else held * self.value, features)
 
     def only(self, active: np.ndarray) -> Rows:
-        number = np.cumsum(active) - 1
+        number = (np.cumsum(active) - 1).astype(np.int32)
         keep = active[self.to]
         return Rows(self.row[keep], number[self.to[keep]], self.n, None if self.value is None else self.value[keep])
 
@@ -192,15 +193,20 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
                 yield pa.RecordBatch.from_arrays([part.column("__toxic"), pa.array(own, pa.list_(pa.string())), pa.array(packed, pa.binary()), pa.array(moved, pa.binary())], names=["toxic", "own", "hashes", "moved"])
 
     rows = staged(sample.mapInArrow(read, "toxic int, own array<string>, hashes binary, moved binary"), "toxicity")
-    got = rows.select("toxic", "hashes", "moved").collect()
-    labelled = np.array([float(r["toxic"]) for r in got])
+    labelled, own, moved = [], [], []
+    for r in rows.select("toxic", "hashes", "moved").toLocalIterator():  # a partition at a time
+        labelled.append(float(r["toxic"]))
+        own.append(np.frombuffer(r["hashes"], "<i8"))
+        moved.append(np.frombuffer(r["moved"], "<i8").reshape(-1, 3))
     if len(set(labelled)) < 2:
-        return Model(bias=30.0 if len(labelled) and labelled[0] else -30.0)
-    own = [np.frombuffer(r["hashes"], "<i8") for r in got]
-    moved = [np.frombuffer(r["moved"], "<i8").reshape(-1, 3) for r in got]
-    names, to = np.unique(np.concatenate([*own, *[m[:, 2] for m in moved]]), return_inverse=True)
-    entries = sum(map(len, own))
-    x = Rows(np.repeat(np.arange(len(own), dtype=np.int32), [len(r) for r in own]), to[:entries].astype(np.int32), len(own))
+        return Model(bias=30.0 if labelled and labelled[0] else -30.0)
+    labelled, lengths = np.array(labelled), [len(r) for r in own]
+    together = np.concatenate([*own, *[m[:, 2] for m in moved]])
+    del own
+    to, names = pd.factorize(together)
+    del together
+    to, entries = to.astype(np.int32), sum(lengths)
+    x = Rows(np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), to[:entries], len(lengths))
     swaps = np.array([int(m[:, 0].max()) + 1 if len(m) else 0 for m in moved])
     before = np.cumsum(swaps) - swaps
     changes = Rows(np.concatenate([m[:, 0] + b for m, b in zip(moved, before, strict=True)]), to[entries:], int(swaps.sum()), np.concatenate([m[:, 1] for m in moved]).astype(float))
