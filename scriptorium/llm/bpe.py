@@ -43,7 +43,7 @@ LEAF = 512
 PIECE_LEAF = 64
 LOOK = 2
 #: Pieces whose tokens are remembered at a time, in two generations of half as many; what is forgotten is merged again.
-REMEMBERED = 1 << 18
+REMEMBERED = 3 << 17
 #: Bytes from which pairs wait in a heap instead of being scanned: the same merges in the same order.
 SCANNED = 256
 NEVER = 1 << 60
