@@ -2,7 +2,9 @@
 
 Two 64-bit fingerprints within k bits agree on at least BLOCKS - k of BLOCKS blocks. Every choice of
 that many blocks is a key; distinct fingerprints meet under equal keys, and there each pair within k
-bits is linked. A task walks the rows of a key range in order. It keeps a forest of the links it has
+bits is linked. Keys that more than COMPARED fingerprints have are counted first; theirs meet by finer keys, which
+add as many blocks of the bits that the key leaves free, so that a group has at most 2**18 members whatever the
+table. A task walks the rows of a key range in order. It keeps a forest of the links it has
 verified instead of all pairs, which leaves components unchanged. Exact copies meet only once, as one
 fingerprint. Components come from rounds of large-star and small-star steps, staged in the shared folder.
 
@@ -25,18 +27,33 @@ from .common import staged
 
 SHINGLE, SEED, BITS, MOST_APART = 3, 42, 64, 3
 BLOCKS = 6
-#: Groups above this many distinct fingerprints look up their neighbours instead of comparing pairs.
+#: Groups above this many distinct fingerprints are split by finer keys; what then still has more looks up its neighbours instead of comparing pairs.
 COMPARED = 1 << 15
 #: Rows of links that a task holds at a time.
 HELD = 1 << 18
 
 
+def signed(n: int) -> int:
+    """The low 64 bits of n as a signed integer."""
+    n &= (1 << 64) - 1
+    return n - (1 << 64) if n >> 63 else n
+
+
+def choices(bits: list[int], blocks: int, apart: int) -> list[int]:
+    """A mask for each choice of blocks - apart of the blocks that the bits are cut into."""
+    edges = [round(len(bits) * i / blocks) for i in range(blocks + 1)]
+    each = [sum(1 << b for b in bits[edges[i] : edges[i + 1]]) for i in range(blocks)]
+    return [sum(c) for c in combinations(each, blocks - apart)]
+
+
 def masks(blocks: int = BLOCKS, apart: int = MOST_APART) -> list[int]:
-    """A mask for each choice of blocks - apart blocks, as signed 64-bit integers."""
-    edges = [round(BITS * i / blocks) for i in range(blocks + 1)]
-    each = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-    chosen = [sum(c) for c in combinations(each, blocks - apart)]
-    return [m - (1 << 64) if m >> 63 else m for m in chosen]
+    """The masks of the keys, as signed 64-bit integers."""
+    return [signed(m) for m in choices(list(range(BITS)), blocks, apart)]
+
+
+def finer_masks(mask: int, blocks: int = BLOCKS, apart: int = MOST_APART) -> list[int]:
+    """Masks that hold `mask` and some blocks of its free bits: two fingerprints that agree on `mask` and are close agree on one of them."""
+    return [signed(mask | m) for m in choices([b for b in range(BITS) if not mask >> b & 1], blocks, apart)]
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -206,15 +223,25 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def close_fingerprints(unique: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """(a, b): a forest of the pairs of the distinct fingerprints fp that are within MOST_APART bits, from the blocks that they share."""
-    keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks)])).alias("c", "k")
-    return links(unique.select("fp", keys).select("c", "k", "fp").repartition("c", "k").sortWithinPartitions("c", "k", "fp"))
+    """(a, b): a forest of the pairs of the distinct fingerprints fp that are within MOST_APART bits, from the blocks that they share.
+
+    unique is read several times and should be a written table.
+    """
+    each = masks(blocks)
+    keyed = unique.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in each])).alias("c", "k")).select("c", "k", "fp")
+    crowded = staged(keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > COMPARED).select("c", "k"), "crowded")
+    if not crowded.isEmpty():
+        finer = F.get(F.array(*[F.array(*map(F.lit, finer_masks(m, blocks))) for m in each]), F.col("c"))
+        split = keyed.join(crowded, ["c", "k"], "left_semi").select("c", "fp", F.posexplode(F.transform(finer, lambda m: F.col("fp").bitwiseAND(m))).alias("s", "k"))
+        named = (F.col("c") + 1) * len(each) + F.col("s")  # beyond the numbers of `masks`
+        keyed = keyed.join(crowded, ["c", "k"], "left_anti").select("c", "k", "fp").union(split.select(named.alias("c"), "k", "fp"))
+    return links(keyed.repartition("c", "k").sortWithinPartitions("c", "k", "fp"))
 
 
 def near_duplicates(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable by links) for every row of docs."""
     own = staged(fingerprints(docs), "fingerprints")
-    unique = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    unique = staged(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "unique")
     root = components(close_fingerprints(unique, blocks))
     rooted = unique.join(root, unique["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -4,6 +4,9 @@ import xxhash
 from scriptorium.llm import simhash as S
 
 
+SPREAD = list(range(10)) + [62, 63]
+
+
 def brute(text):
     words = (text or "").encode().lower().split()
     if not words:
@@ -60,6 +63,46 @@ def test_groups(spark):
     assert got == {i: smallest[k] for (i, _, _), k in zip(rows, label, strict=True)}
 
 
+def test_crowded_keys(spark, monkeypatch):
+    """Fingerprints that crowd under few keys are split and linked as by brute force."""
+    rng = np.random.default_rng(8)
+    base = [int(v) for v in rng.integers(0, 2**63, 3, dtype=np.uint64)]
+    spread = [sum(1 << int(b) for b in rng.choice(SPREAD, rng.integers(0, 9), replace=False)) for _ in range(400)]
+    values = sorted({base[i % 3] ^ f for i, f in enumerate(spread)} | {0, 7, (1 << 64) - 1})
+    df = spark.createDataFrame([(S.signed(v),) for v in values], "fp long")
+    label = closure(values)
+
+    def components():
+        edges = [(r["a"] % 2**64, r["b"] % 2**64) for r in S.close_fingerprints(df).collect()]
+        parent = {v: v for v in values}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in edges:
+                low = min(parent[a], parent[b])
+                changed |= parent[a] != low or parent[b] != low
+                parent[a] = parent[b] = low
+        return [parent[v] for v in values]
+
+    want = [values[k] for k in label]
+    assert components() == want and len(set(want)) > 3
+    for most in (100, 10, 2):
+        monkeypatch.setattr(S, "COMPARED", most)
+        assert components() == want
+
+
+def test_finer_masks():
+    """Close fingerprints that agree on a mask share a finer key; a finer key leaves at most 18 bits free."""
+    rng = np.random.default_rng(2)
+    for mask in S.masks():
+        free = [b for b in range(64) if not mask >> b & 1]
+        finer = S.finer_masks(mask)
+        assert all(m & mask == mask and 64 - (m % 2**64).bit_count() <= 18 for m in finer)
+        for _ in range(50):
+            diff = sum(1 << int(b) for b in rng.choice(free, 3, replace=False))
+            assert any(not m & diff for m in finer)
+
+
 def test_small_inputs(spark):
     schema = "doc_id long, text string"
     assert S.near_duplicates(spark.createDataFrame([], schema)).count() == 0
