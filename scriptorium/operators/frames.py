@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, null_if_missing_like
+from .scratch import staged
 
 #: A side that is joined by broadcast hint is at most this large when it is counted first.
 BROADCAST_ROWS = 100_000
@@ -17,22 +16,9 @@ BROADCAST_ROWS = 100_000
 WINDOW = 512
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints. Where none is configured a session of one machine, as in tests, gets its own; a cluster is refused."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        configured = tempfile.mkdtemp(prefix="scriptorium-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df with its lineage cut by a written table, which the current scope owns."""
+    return staged(df, "cut")
 
 
 def require_columns(df: DataFrame, names: list[str], where: str = "input") -> DataFrame:
