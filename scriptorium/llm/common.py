@@ -2,62 +2,21 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import Scope, fresh_path, shared_dir, staged
+
+__all__ = ["Scope", "fresh_path", "shared_dir", "staged"]
+
 #: ASCII white space: \x20 and \x09-\x0D, which is also what bytes.split() splits on.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = "[\\x20\\x09-\\x0D]+"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-#: Paths handed out in this process, in order.
-GIVEN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is configured a session of one machine, as in tests, gets its own; a cluster is refused."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not configured:
-        current = context.getCheckpointDir()
-        if current:
-            return current
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        configured = tempfile.mkdtemp(prefix="scriptorium-")
-        context.setCheckpointDir(configured)
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(configured)
-    return configured
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; never reused, so a retried job can't read another's rows."""
-    GIVEN.append(f"{shared_dir(spark).rstrip('/')}/scriptorium/{label}-{uuid.uuid4().hex}")
-    return GIVEN[-1]
-
-
-def release(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
-    """Remove the tables whose paths were handed out from position `since` of GIVEN on, but those in `keep`."""
-    for path in [p for p in GIVEN[since:] if p not in keep]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-        GIVEN.remove(path)
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, inside one projection."""
     return F.transform(F.array(value), body)[0]

@@ -9,9 +9,12 @@ from .bpe import encode_documents
 from .common import held_out, read
 from .html_text import extract
 from .langid import identify
+from .manifest import audited, siblings
 from .maxscore import top_k
 from .mixing import mix
+from .packing import pack
 from .quality_rules import quality_rules
+from .resampling import resample
 from .simhash import near_duplicates
 from .site_quality import site_quality
 from .sql import SQL
@@ -64,7 +67,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), carry={"ids_crc32": F.crc32("ids")})
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audited(read(spark, sf_dir, "documents"))
+    proof = F.sha2(siblings(F.col("lefts"), F.col("rights")).cast("binary"), 256)
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_training_order, op2_quality_rules, op3_toxicity, op4_maxscore, op5_mixing, op6_bpe, op7_simhash, op8_html_text, op9_site_quality, op10_language_id)
-}
+    for f in (
+        op1_training_order, op2_quality_rules, op3_toxicity, op4_maxscore, op5_mixing, op6_bpe, op7_simhash, op8_html_text, op9_site_quality, op10_language_id,
+        op11_packing, op12_resampling, op13_manifest,
+    )
+}
