@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import common
 from scriptorium.llm.bpe import encode_documents
-from scriptorium.llm.common import DOCUMENT_COLUMNS, read, staged
+from scriptorium.llm.common import DOCUMENT_COLUMNS, Scope, read, staged
 from scriptorium.llm.langid import UNKNOWN, identify
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.near_copies import near_copies
@@ -84,9 +83,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn. What a stage has written on its way goes when its result stands."""
-    docs, since = read(spark, sf_dir, "documents"), len(common.GIVEN)
+    """All stages in turn. What a stage has written on its way, and what it has read, goes when its result stands."""
+    docs, behind = read(spark, sf_dir, "documents"), Scope(spark)
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.split()[0])
-        common.release(spark, since, keep=(common.GIVEN[-1],))
+        with Scope(spark) as own:
+            result = stage(spark, docs, sf_dir)
+        with Scope(spark) as kept:
+            docs = staged(result, name.split()[0])
+        own.release()
+        behind.release()
+        behind = kept
     return STAGES[-1][1](spark, docs, sf_dir)
