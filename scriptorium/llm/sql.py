@@ -6,9 +6,13 @@ against brute force in the tests.
 
 from __future__ import annotations
 
+from .manifest import COLUMNS, FANOUT
 from .maxscore import EVERY, SCALE, K
 from .mixing import CHECKED, FRACTION, MARGINS, NEAR, ROUNDS, SEED, SYMBOLS, TOPICS
 from .quality_rules import RULES, STOP_WORDS
+from .resampling import BUCKETS, LEAST_WORDS, LOWER, ORDERS, PERCENT, UPPER
+from .resampling import SCALE as RESAMPLING_SCALE
+from .resampling import SEED as RESAMPLING_SEED
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -97,4 +101,60 @@ from d left join p on d.source is not distinct from p.source and d.lang is not d
     )
 
 
-SQL: dict[str, str] = {"op2_quality_rules": quality(), "op4_maxscore": search(), "op5_mixing": mixing()}
+#: What eight shifts make of a byte, for CRC-32.
+CRC_TABLE = """crc_table as materialized (select list(v order by i) as crc_of from (select i, list_reduce(list_prepend(i, range(8)::bigint[]), lambda c, k: xor(c >> 1, case when c % 2 = 1 then 3988292384 else 0 end)) as v from (select unnest(range(256)) as i)))"""
+
+
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of the UTF-8 bytes of an expression; crc_of is in scope."""
+    coded = f"hex(encode({text}))"
+    octets = f"list_transform(range(1, length({coded}), 2), lambda i: ('0x' || substr({coded}, i, 2))::bigint)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, b: xor(crc_of[xor(c, b) % 256 + 1], c >> 8)))"
+
+
+def resampling() -> str:
+    runs = " union all ".join(f"select r, array_to_string(w[i : i + {n - 1}], ' ') as f from (select r, w, unnest(range(1, len(w) + 2 - {n})) as i from {{0}})" for n in range(1, ORDERS + 1))
+    words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    return f"""
+with {CRC_TABLE},
+  d as materialized (select row_number() over () as r, doc_id, {words} as w from documents), e as (select row_number() over () as r, {words} as w from benchmark),
+  df as materialized ({runs.format("d")}), ef as materialized ({runs.format("e")}),
+  c as materialized (select f, {crc32("f")} % {BUCKETS} as b from (select f from df union select f from ef), crc_table),
+  s as (select b, count(*) as n from df join c using (f) group by b), t as (select b, count(*) as n from ef join c using (f) group by b),
+  g as materialized (select b, floor({RESAMPLING_SCALE} * ln((coalesce(t.n, 0) + 1)::double * (coalesce((select sum(n) from s), 0) + {BUCKETS})::double
+    / ((coalesce(s.n, 0) + 1)::double * (coalesce((select sum(n) from t), 0) + {BUCKETS})::double)))::bigint as gain from (select unnest(range({BUCKETS})) as b) left join s using (b) left join t using (b)),
+  w as (select r, count(*) as n, floor(sum(gain)::double / count(*))::bigint as weight from df join c using (f) join g using (b) group by r),
+  o as (select r, doc_id, len(w) as n_words, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, ('0x' || substr(sha256('{RESAMPLING_SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint as h from d left join w using (r)),
+  p as (select *, (weight + floor(-{RESAMPLING_SCALE} * ln(-ln((h + 0.5::double) / 4294967296.0::double))))::bigint as score, n_words >= {LEAST_WORDS} as entitled from o),
+  k as (select *, row_number() over (partition by entitled order by score desc, doc_id nulls last, r) as place, {PERCENT} * (count(*) over (partition by entitled)) // 100 as drawn from p)
+select doc_id, n_features, weight, score, case when entitled and place <= drawn then place end as rank from k"""
+
+
+def merkle() -> str:
+    told = lambda c: f"coalesce(octet_length(encode(cast({c} as varchar)))::varchar || ':' || cast({c} as varchar), '-')"
+    leaf = lambda **other: f"sha256({' || '.join(told(other.get(c, c)) for c in COLUMNS)})"
+    # In either tree: nodes of every level, then a proof and a folded digest carried up level by level.
+    up = "select tree, level + 1, i // {f}, (n + {f} - 1) // {f}, sha256(string_agg(h, '' order by i)) from {t} where n > 1 group by tree, level, i // {f}, n"
+
+    around = f"partition by tree, level, i // {FANOUT} order by i rows between"
+    beside = f"select *, coalesce(string_agg(h, '') over ({around} unbounded preceding and 1 preceding), '') as a, coalesce(string_agg(h, '') over ({around} 1 following and unbounded following), '') as z from {{t}}"
+    climb = "select c.tree, c.r, c.level + 1, c.i // {f}, (c.n + {f} - 1) // {f}, c.proof || s.a || s.z, sha256(s.a || c.fold || s.z) from {c} c join {t} s on s.tree = c.tree and s.level = c.level and s.i = c.i where c.n > 1"
+
+    return f"""
+with recursive {CRC_TABLE},
+  d as materialized (select *, {leaf()} as leaf, {leaf(n_chars="(n_chars::hugeint + 1)")} as wrong from documents),
+  b as materialized (select row_number() over () as r, doc_id, leaf, case when n_chars is not null and coalesce({crc32("cast(doc_id as varchar)")} % 7 = 0, false) then wrong else leaf end as tried, dense_rank() over (order by lang nulls first) - 1 as tree,
+    row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from d, crc_table),
+  nodes as (select tree, 0 as level, i, n, leaf as h from b union all {up.format(f=FANOUT, t="nodes")}),
+  lower_nodes as materialized ({beside.format(t="nodes")}),
+  subroots as materialized (select tree as i, h, count(*) over () as n from lower_nodes where n = 1),
+  tops as (select 0 as tree, 0 as level, i, n, h from subroots union all {up.format(f=FANOUT, t="tops")}),
+  upper_nodes as materialized ({beside.format(t="tops")}),
+  climbed as (select tree, r, 0 as level, i, n, '' as proof, tried as fold from b union all {climb.format(f=FANOUT, c="climbed", t="lower_nodes")}),
+  halfway as materialized (select c.r, c.tree, c.proof, c.fold, s.h as subroot, s.n from climbed c join subroots s on c.tree = s.i where c.n = 1),
+  risen as (select 0 as tree, r, 0 as level, tree as i, n, proof, fold from halfway union all {climb.format(f=FANOUT, c="risen", t="upper_nodes")})
+select b.doc_id, b.leaf, p.subroot, t.h as root, sha256(x.proof) as proof_sha256, x.fold as folded_root, x.fold = t.h as verified
+from b join halfway p using (r) join risen x on x.r = b.r and x.n = 1 join upper_nodes t on t.n = 1"""
+
+
+SQL: dict[str, str] = {"op2_quality_rules": quality(), "op4_maxscore": search(), "op5_mixing": mixing(), "op12_resampling": resampling(), "op13_manifest": merkle()}
