@@ -9,10 +9,12 @@ re-encoding a window around their seam that grows until what lies outside provab
   touches the end of its span. So matches of the left neighbour that end LOOK or more before the seam stay.
   From there the joined text is matched anew until a match ends where one of the right neighbour's ends; as
   matches look at nothing before their start, all that follow stay.
-* piece level: a match that spans the seam and is longer than PIECE_LEAF bytes is itself the joint of two token
-  lists, which neither neighbour has to encode again. They are re-encoded in a window that doubles until the
-  tokens at its edges are compatible with their neighbours outside (a pair is compatible if its bytes encode to
-  that pair). A list whose adjacent pairs are all compatible is the encoding of its bytes, so tokens outside stay.
+  A match that touches an inner edge of its span isn't encoded there, as it may go on.
+* piece level: a match longer than PIECE_LEAF bytes is halved in turn. Two token lists are joined from their seam on: a window is encoded
+  that takes tokens of the left one back where they can't be followed, and goes to the right until its last token is compatible
+  with the one of the right list that begins there (a pair is compatible if its bytes merge to that pair). A list whose adjacent
+  pairs are all compatible is the encoding of its bytes, so tokens outside the window stay. As the encoding of a prefix is unique, a place
+  that can't be gone on from is never tried again: a window costs no more than its length, whatever the bytes repeat.
 
 Merging is done here, from the ranks; no tokenizer library takes part. Decoding concatenates token bytes up a tree.
 
@@ -31,7 +33,7 @@ import sys
 import types
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +42,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAF = 512
-PIECE_LEAF = 64
+PIECE_LEAF = 4096
 LOOK = 2
 #: Pieces whose tokens are remembered at a time, in two generations of half as many; what is forgotten is merged again.
 REMEMBERED = 1 << 19
+#: Longer pieces are merged each time.
+LONGEST = 64
 #: Bytes from which pairs wait in a heap instead of being scanned: the same merges in the same order.
 SCANNED = 256
 NEVER = 1 << 60
@@ -87,12 +91,15 @@ class Codec:
         self.known: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.prefixes: dict[int, int | None] = {}
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.ranks:
+            lengths.setdefault(token[:2], set()).add(len(token))
+        #: How long tokens are that begin with two bytes, the longest first.
+        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items() if len(k) == 2}
 
     # --- the base of the recursion: lowest rank first, leftmost of equals
     def merge(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
         if len(piece) > SCANNED:
             return self.merge_waiting(piece)
         rank = self.ranks.get
@@ -140,68 +147,103 @@ class Codec:
             found = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return found
 
-    def join_ids(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
-        """The encoding of the bytes of a followed by those of b, both of one piece."""
-        if not a or not b:
-            return a or b
-        if self.compatible(a[-1], b[0]):
-            return a + b
-        width = 1
-        while True:
-            i, j = max(0, len(a) - width), min(len(b), width)
-            window = self.merge(b"".join([self.bytes_of[t] for t in a[i:] + b[:j]]))
-            if (i == 0 or self.compatible(a[i - 1], window[0])) and (j == len(b) or self.compatible(window[-1], b[j])):
-                return a[:i] + tuple(window) + b[j:]
-            width *= 2
+    def longest(self, piece: bytes, at: int) -> int:
+        """The longest token that begins there."""
+        for n in self.lengths.get(piece[at : at + 2], ()):
+            token = self.ranks.get(piece[at : at + n])
+            if token is not None:
+                return token
+        return self.ranks[piece[at : at + 1]]
+
+    def shorter(self, token: int) -> int | None:
+        """The longest token that is a proper prefix of another."""
+        if token not in self.prefixes:
+            whole = self.bytes_of[token]
+            self.prefixes[token] = next((t for n in range(len(whole) - 1, 0, -1) if (t := self.ranks.get(whole[:n])) is not None), None)
+        return self.prefixes[token]
+
+    def resume(self, tokens: list[int], piece: bytes, at: int = 0, rest: tuple[int, ...] = ()) -> tuple[int, ...]:
+        """The encoding of piece: tokens, up to byte `at`, may be taken back; rest, from there on, stays from where it fits."""
+        starts = dict(zip(accumulate((len(self.bytes_of[t]) for t in rest), initial=at), range(len(rest)), strict=False))
+        dead: set[int] = set()
+        given = len(tokens)
+        while at < len(piece):
+            if tokens and (k := starts.get(at)) is not None and self.compatible(tokens[-1], rest[k]):
+                return (*tokens, *rest[k:])
+            token: int | None = self.longest(piece, at)
+            while at + len(self.bytes_of[token]) in dead or not (self.compatible(tokens[-1], token) if tokens else self.merge(self.bytes_of[token]) == [token]):
+                token = self.shorter(token)
+                while token is None:
+                    dead.add(at)
+                    last = tokens.pop()
+                    at -= len(self.bytes_of[last])
+                    if len(tokens) < given:  # made where the piece ended; longer ones may begin there now
+                        given, token = len(tokens), self.longest(piece, at)
+                    else:
+                        token = self.shorter(last)
+            tokens.append(token)
+            at += len(self.bytes_of[token])
+        return tuple(tokens)
+
+    def join_ids(self, a: tuple[int, ...], b: tuple[int, ...], piece: bytes, seam: int) -> tuple[int, ...]:
+        """The encoding of piece from those of piece[:seam] and piece[seam:]."""
+        return a + b if self.compatible(a[-1], b[0]) else self.resume(list(a), piece, seam, b)
 
     def piece_ids(self, piece: bytes) -> tuple[int, ...]:
         if len(piece) <= self.piece_leaf:
-            return tuple(self.merge(piece))
+            return tuple(self.merge(piece)) if len(piece) <= SCANNED else self.resume([], piece)
         half = len(piece) // 2
-        return self.join_ids(self.piece_ids(piece[:half]), self.piece_ids(piece[half:]))
+        return self.join_ids(self.piece_ids(piece[:half]), self.piece_ids(piece[half:]), piece, half)
 
     def code(self, piece: str) -> tuple[int, ...]:
         """The tokens of one piece."""
         found = self.known.get(piece) or self.before.get(piece)
         if found is None:
-            found = self.piece_ids(piece.encode("utf-8", "replace"))
-        if len(piece) <= self.piece_leaf:
+            told = piece.encode("utf-8", "replace")
+            whole = self.ranks.get(told)
+            found = self.piece_ids(told) if whole is None else (whole,)
+        if len(piece) <= LONGEST:
             if len(self.known) >= REMEMBERED // 2:
                 self.known, self.before = {}, self.known
             self.known[piece] = found
         return found
 
     # --- text level
-    def span(self, text: str, a: int, b: int) -> tuple[list[str], list[tuple[int, ...]]]:
-        """The pieces of text[a:b] and the tokens of each."""
+    def span(self, text: str, a: int, b: int) -> tuple[list[str], list[tuple[int, ...] | None]]:
+        """The pieces of text[a:b] and the tokens of each; None for those that may go on beyond the span."""
         if b - a > self.leaf:
             m = (a + b) // 2
-            return self.join(text, m, b, self.span(text, a, m), self.span(text, m, b))
+            return self.join(text, a, m, b, self.span(text, a, m), self.span(text, m, b))
         pieces, known, code = self.pattern.findall(text, a, b), self.known.get, self.code  # a leaf may begin a generation
-        return pieces, [known(p) or code(p) for p in pieces]
-
-    def join(self, text: str, m: int, b: int, left: tuple[list, list], right: tuple[list, list]) -> tuple[list, list]:
-        """The encoding of left, which ends at m, and right, text[m:b], together."""
+        first, last, end = int(a > 0), len(pieces), b
+        while b < len(text) and last > first and end > b - LOOK:
+            last -= 1
+            end -= len(pieces[last])
+        own = pieces[first:last]
+        return pieces, [*[None] * min(first, len(pieces)), *[known(p) or code(p) for p in own], *[None] * (len(pieces) - max(first, last))]
+
+    def join(self, text: str, a: int, m: int, b: int, left: tuple[list, list], right: tuple[list, list]) -> tuple[list, list]:
+        """The encoding of left, text[a:m], and right, text[m:b], together."""
         (pieces, codes), (later, later_codes) = left, right
         keep, at = len(pieces), m
         while keep and at > m - LOOK:
             keep -= 1
             at -= len(pieces[keep])
         fresh, fresh_codes, taken, end = [], [], 0, m
+
+        def own(piece: str, start: int) -> tuple[int, ...] | None:
+            return self.code(piece) if (start > a or a == 0) and (start + len(piece) <= b - LOOK or b == len(text)) else None
+
         while at < m or at != end:
             piece = self.pattern.match(text, at, b)[0]
-            start, at = at, at + len(piece)
+            fresh.append(piece)
+            fresh_codes.append(own(piece, at))
+            at += len(piece)
             while end < at:
                 end += len(later[taken])
                 taken += 1
-            fresh.append(piece)
-            if start < m < at and len(piece) > self.piece_leaf:
-                # Both sides have tokens already where the piece is the joint of their last and first one.
-                a = codes[-1] if len(pieces[-1]) == m - start else self.piece_ids(text[start:m].encode("utf-8", "replace"))
-                z = later_codes[0] if len(later[0]) == at - m else self.piece_ids(text[m:at].encode("utf-8", "replace"))
-                fresh_codes.append(self.join_ids(a, z))
-            else:
-                fresh_codes.append(self.code(piece))
+        if taken < len(later) and later_codes[taken] is None:  # what began the right side, and now stands alone
+            later_codes[taken] = own(later[taken], at)
         pieces[keep:], codes[keep:] = fresh, fresh_codes
         pieces += later[taken:] if taken else later
         codes += later_codes[taken:] if taken else later_codes

@@ -73,3 +73,33 @@ def test_documents(spark):
     back = decode_documents(encode_documents(df)).collect()
     assert sorted(str(r["text"]) for r in back) == sorted((t or "") for _, t in texts)
     assert encode_documents(df.limit(0)).count() == 0
+
+
+SMALL = Codec(RANKS, P.PATTERN, leaf=40, piece_leaf=7)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab=-h")), min_size=1, max_size=9), st.integers(1, 400), st.text(alphabet=st.sampled_from(list("ab=- é")), max_size=5))
+def test_repeated_parts(part, times, rest):
+    text = rest + part * times + rest
+    want = ORACLE.encode_ordinary(text)
+    assert SMALL.encode(text) == want
+    assert TINY.encode(text) == want
+    assert USUAL.encode(text) == want
+
+
+@pytest.mark.parametrize("part", ["=", "ha", "=-", "a", "aab"])
+def test_a_million_characters_in_one_piece(part):
+    import time
+
+    text = "x " + part * (1_000_000 // len(part)) + " y"
+    began = time.process_time()
+    found = USUAL.encode(text)
+    assert time.process_time() - began < 5
+    assert found == ORACLE.encode_ordinary(text)
+
+
+def test_a_run_that_the_library_can_not_match():
+    found = USUAL.encode(" " * 1_000_000)  # a token of one space at a time
+    assert USUAL.decode(found) == b" " * 1_000_000
+    assert found[-2000:] == ORACLE.encode_ordinary(" " * 5000)[-2000:]
