@@ -15,7 +15,7 @@ shard alone could mix the records of a shard when it spills. Spark's writer comm
 and second attempts leave no half shards. Beside the shards stands an index: each sequence's place and the digest
 taken when it was encoded. The manifest reads the shards back and fails where they differ from the index.
 
-Tokens come from the tiktoken library here; the operator `bpe` has its own encoder.
+Tokens come from the tiktoken library here; texts with a run of white space that is too long for it are encoded by the operator `bpe`.
 
 Cases: a null or empty text is a sequence of the end mark alone; repeated rows are sequences each; an empty
 table writes no shard; other columns are ignored; docs that aren't whole Parquet files (filtered, joined, made in
@@ -25,6 +25,7 @@ memory) are written once first. The token ids must be below 65,535.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import default_vocabulary, ranks_of, read_ranks
+from .bpe import codec_for, default_vocabulary, ranks_of, read_ranks
 from .common import fresh_path, staged
 
 END, RECORD, SLOTS, PART, KEY, ROUNDS, MOST_TASKS = 50256, 2048, 8192, 1024, "epoch-0", 6, 20_000
+#: Up to so many files, counted first, their first numbers are sent to every task: 16 bytes each. Beyond, rows are joined by file.
+SENT_FILES = 2_000_000
+#: The library can't match runs of white space much longer than this.
+LONG_TEXT = 50_000
+BLANKS = re.compile(r"\s{2,}")
 INDEX = "doc_id long, slot long, first_token long, n_tokens long, tokens_sha256 string"
 
 
@@ -83,7 +89,7 @@ def placed_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, staged(placed.groupBy("__file").agg(F.count("*").alias("__n"), whole.alias("__whole")), "files")
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+def numbered(docs: DataFrame, sent_files: int = SENT_FILES) -> tuple[DataFrame, int]:
     """docs with `number`, 0 to N-1 by file and row of the files that docs is read from, and N."""
     try:
         placed, files = placed_rows(docs)
@@ -93,9 +99,13 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
         placed, files = placed_rows(staged(docs, "documents"))
     # One row for each file; their running sum is taken in one task.
     before = F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = staged(files.select(F.col("__file").alias("__f"), "__n", F.coalesce(before, F.lit(0)).alias("__offset")), "offsets")
-    total = offsets.agg(F.sum("__n").alias("n")).first()["n"] or 0
-    joined = placed.join(offsets, placed["__file"] == offsets["__f"])
+    offsets = staged(files.select(F.col("__file").alias("__f"), F.xxhash64("__file").alias("__h"), "__n", F.coalesce(before, F.lit(0)).alias("__offset")), "offsets")
+    sums = offsets.agg(F.sum("__n").alias("n"), F.count("*").alias("files"), F.count_distinct("__h").alias("hashes")).first()
+    total = sums["n"] or 0
+    if sums["files"] == sums["hashes"] <= sent_files:  # no text is shuffled
+        joined = placed.join(F.broadcast(offsets.select("__h", "__offset")), F.xxhash64("__file") == F.col("__h"))
+    else:
+        joined = placed.join(offsets, placed["__file"] == offsets["__f"])
     return joined.select(*docs.columns, (F.col("__offset") + F.col("__row")).alias("number")), int(total)
 
 
@@ -120,10 +130,16 @@ def write_shards(docs: DataFrame, path: str, key: str = KEY, record: int = RECOR
         import tiktoken
 
         library, order = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks_of(ranks.value), special_tokens={}), Permutation(n, key)
+
+        def encoded(text: str) -> np.ndarray:
+            if len(text) < LONG_TEXT or max(map(len, BLANKS.findall(text)), default=0) < LONG_TEXT:
+                return library.encode_to_numpy(text, disallowed_special=())
+            return np.array(codec_for(ranks.value, pattern).encode(text))
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                tokens = [library.encode_to_numpy(x or "", disallowed_special=()).astype("<u2").tobytes() for x in rows.column("text").to_pylist()]
+                tokens = [encoded(x or "").astype("<u2").tobytes() for x in rows.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(order(rows.column("number").to_numpy())), pa.array(tokens, pa.binary()), pa.array([digest(t) for t in tokens], pa.string())], names=["doc_id", "slot", "tokens", "digest"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +193,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def files_of(spark: SparkSession, path: str) -> DataFrame:
     """shard, part, length and content of the shards' files."""
-    number = F.regexp_extract("path", r"\.c(\d+)\.", 1).cast("long")
+    number = F.regexp_extract("path", r"\.c(\d+)\.[^/]*$", 1).cast("long")  # of the file's own name
     return spark.read.format("binaryFile").load(f"{path}/kind=records").select(F.col("shard").cast("long").alias("shard"), number.alias("part"), "length", "content")
 
 
