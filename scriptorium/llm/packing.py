@@ -12,7 +12,7 @@ writes them; the numbers that earlier tasks have given are added; and the rank's
 where only columns made of them are asked for (`carry`); `sequences` brings the ids of a sequence together.
 
 Words between white space are tokenised by the tokenizers library once and remembered, as its splitting never goes over
-white space nor from an ASCII letter to a stop behind it; a worker remembers REMEMBERED of them at most.
+white space nor from a Latin letter to a stop behind it. A worker remembers about REMEMBERED of them, and forgets those first that it has not met again.
 
 Cases: a null or empty text is the end mark alone; repeated rows and ids are packed each by itself; ties need no rule, as
 any piece of a length may take any of its slots; an empty table has no sequences; a text of any length is cut and packed whole;
@@ -22,10 +22,12 @@ strings of special tokens in a text are ordinary text; other columns are ignored
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 import types
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -44,6 +46,10 @@ REMEMBERED = 1 << 19
 LONGEST = 64
 #: Characters that are tokenised at a time.
 AT_ONCE = 1 << 22
+#: A letter that is one in every version of Unicode, and a stop behind it: no piece goes over these.
+STOP = r"([A-Za-zÀ-ÖØ-öø-ſ])([.,;:!?])"
+#: Fixed value: how the tokenizer splits lower-cased ASCII words.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 PIECE = "task long, local long, piece int, start long, length long, ids binary"
 
 
@@ -64,67 +70,93 @@ class Words:
         model = self.library.get_vocab()
         self.ends = np.zeros(max(model.values()) + 1, bool)
         self.ends[[i for token, i in model.items() if token.endswith("</w>")]] = True
-        self.forget()
+        self.clear()
 
     def forget(self) -> None:
+        """Keep words that were met again, those met most, and at most half as many as may be remembered."""
+        kept = np.flatnonzero(self.met[: self.used] > 1)
+        if len(kept) > REMEMBERED // 2:
+            kept = np.sort(kept[np.argpartition(-self.met[kept], REMEMBERED // 2)[: REMEMBERED // 2]])
+        names = list(self.number)
+        starts, sizes, ids, met = self.starts[kept], self.sizes[kept], self.ids, self.met[kept] // 2
+        self.clear()
+        first = np.cumsum(sizes) - sizes
+        self.add([names[i] for i in kept.tolist()], ids[np.repeat(starts - first, sizes) + np.arange(int(sizes.sum()))], sizes)
+        self.met[: self.used] = met
+
+    def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.starts, self.sizes, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+        self.starts, self.sizes, self.met, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
         self.ids, self.filled = np.zeros(4096, np.uint32), 0
 
-    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, and how many each has."""
-        plain, other = [], []
-        for at, word in enumerate(words):
-            (plain if word.isalpha() and word.isascii() else other).append(at)
-        found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
-        for k in range(0, len(plain), 1024):
-            part = plain[k : k + 1024]
-            ids = np.array(self.library.encode(" ".join([words[at] for at in part]), add_special_tokens=False).ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1  # a word of letters alone is one piece, and ends where that does
-            for at, own in zip(part, np.split(ids, stops[:-1]), strict=True):
-                found[at] = own
-        for k in range(0, len(other), 1024):
-            part = other[k : k + 1024]
-            for at, own in zip(part, self.library.encode_batch([words[at] for at in part], add_special_tokens=False), strict=True):
-                found[at] = np.array(own.ids, np.uint32)
-        return np.concatenate(found) if found else np.zeros(0, np.uint32), np.array([len(x) for x in found], np.int64)
-
-    def keep(self, words: list[str]) -> None:
-        ids, sizes = self.encoded(words)
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(words) > len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+            self.starts, self.sizes, self.met = (np.resize(x, 2 * len(x)) for x in (self.starts, self.sizes, self.met))
         while self.filled + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.starts[self.used : self.used + len(words)] = self.filled + np.cumsum(sizes) - sizes
-        self.sizes[self.used : self.used + len(words)] = sizes
+        own = slice(self.used, self.used + len(words))
+        self.starts[own], self.sizes[own], self.met[own] = self.filled + np.cumsum(sizes) - sizes, sizes, 0
         self.ids[self.filled : self.filled + len(ids)] = ids
-        self.number.update(zip(words, range(self.used, self.used + len(words)), strict=True))
-        self.used, self.filled = self.used + len(words), self.filled + len(ids)
+        self.number.update(zip(words, range(own.start, own.stop), strict=True))
+        self.used, self.filled = own.stop, self.filled + len(ids)
+
+    def keep(self, words: list[str]) -> None:
+        """Encode words and put them behind those that are known."""
+        if not words:
+            return
+        plain = [w for w in words if w.isalpha()]
+        for k in range(0, len(plain), 1024):
+            part = plain[k : k + 1024]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):  # a word of letters alone is one piece, and ends where that does
+                self.add(part, ids, np.diff(stops, prepend=0))
+            else:
+                self.each(part)
+        other = [w for w in words if not w.isalpha()]
+        pieces = {w: PIECES.findall(w.lower()) for w in other if w.isascii()}
+        # Words of one piece first: the others are made of what is known then.
+        self.each([w for w in other if len(pieces.get(w, w)) == 1 or w not in pieces])
+        fresh = dict.fromkeys(p for own in pieces.values() for p in own if p not in self.number)
+        self.each([p for p in fresh if not p.isalpha()])
+        self.keep([p for p in fresh if p.isalpha()])
+        whole = [w for w in pieces if w not in self.number]
+        known = [[self.number[p] for p in pieces[w]] for w in whole]
+        at = np.array([n for own in known for n in own], np.int64)
+        sizes = self.sizes[at]
+        first = np.cumsum(sizes) - sizes
+        ids = self.ids[np.repeat(self.starts[at] - first, sizes) + np.arange(int(sizes.sum()))]
+        ends = np.cumsum([len(own) for own in known], dtype=np.int64)
+        self.add(whole, ids, np.diff(np.r_[0, np.cumsum(sizes)][ends], prepend=0) if whole else sizes)
+
+    def each(self, words: list[str]) -> None:
+        for k in range(0, len(words), 1024):
+            found = [x.ids for x in self.library.encode_batch(words[k : k + 1024], add_special_tokens=False)]
+            self.add(words[k : k + 1024], np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has."""
-        apart = pc.replace_substring_regex(texts, r"([A-Za-z])([.,;:!?])", r"\1 \2")
+        apart = pc.replace_substring_regex(texts, STOP, r"\1 \2")
         lists = pc.ascii_split_whitespace(apart)
         words = pc.list_flatten(lists).dictionary_encode()
         told = words.dictionary.to_pylist()
         if self.used > REMEMBERED:
             self.forget()
-        known = self.number
-        fresh = [w for w in told if w not in known and len(w) <= LONGEST]
-        if fresh:
-            self.keep(fresh)
-        rare = [w for w in told if w not in known]
-        if rare:  # long words stand behind those that are remembered, for this once
-            before = self.used, self.filled
-            self.keep(rare)
-        at = np.array([known[w] for w in told], np.int64)[words.indices.to_numpy(zero_copy_only=False)] if told else np.zeros(0, np.int64)
+        found = np.fromiter(map(self.number.get, told, repeat(-1)), np.int64, len(told))
+        missing = np.flatnonzero(found < 0).tolist()
+        self.keep([told[i] for i in missing if len(told[i]) <= LONGEST])
+        # Long words stand behind those that are remembered, for this once.
+        before, rare = (self.used, self.filled), [told[i] for i in missing if len(told[i]) > LONGEST]
+        self.each(rare)
+        found[missing] = [self.number[told[i]] for i in missing]
+        self.met[found] += 1
+        at = found[words.indices.to_numpy(zero_copy_only=False)]
         sizes = self.sizes[at]
         first = np.cumsum(sizes) - sizes
         ids = self.ids[np.repeat(self.starts[at] - first, sizes) + np.arange(int(sizes.sum()))]
-        if rare:
-            for w in rare:
-                del known[w]
-            self.used, self.filled = before
+        for w in rare:
+            del self.number[w]
+        self.used, self.filled = before
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         total = np.r_[0, np.cumsum(sizes)][bounds]
         return ids, np.diff(total)
