@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, null_if_missing_like
+from .automaton import contains_any_semi
 from .scratch import staged
 
-#: A side that is joined by broadcast hint is at most this large when it is counted first.
-BROADCAST_ROWS = 100_000
-#: Characters by which the windows advance in which parts of texts are looked up.
-WINDOW = 512
+__all__ = ["contains_any_semi"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -99,28 +97,6 @@ def union_distinct(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames).distinct()
 
 
-def contains_any_semi(df: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
-    """Rows whose lower-cased text contains one of the parts.
-
-    Up to BROADCAST_ROWS parts, counted first, are held against every row, as a containment has no key. More of them meet the
-    substrings of the distinct texts that are as long as some part, an equi-join; a text is cut into windows for it, which
-    overlap by the longest part.
-    """
-    low = F.lower(F.col(text))
-    told = parts.select(F.col(part).alias("__part")).where("__part is not null").distinct()
-    if told.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return df.join(F.broadcast(told), low.contains(F.col("__part")), "left_semi")
-    lengths = sorted(r["n"] for r in told.select(F.length("__part").alias("n")).distinct().collect())  # as many as the longest part has characters
-    wide, size = lengths[-1], F.length("__window")
-    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__text")), F.lit(WINDOW))).alias("__at")
-    texts = df.select(low.alias("__text")).where("__text is not null").distinct().select("__text", starts)
-    windows = texts.select("__text", F.col("__text").substr(F.col("__at"), F.lit(WINDOW + wide)).alias("__window"))
-    fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= size)
-    each = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.col("__window").substr(i, n))))
-    hits = windows.select("__text", F.explode(F.array_distinct(each)).alias("__part")).join(told, "__part", "left_semi").select("__text").distinct()
-    return df.join(hits, low == F.col("__text"), "left_semi")
-
-
 def prefix_pairs(df: DataFrame, group: str, column: str) -> DataFrame:
     """(group, parent, child): pairs of distinct values of a group of which one is a prefix of the other.
 

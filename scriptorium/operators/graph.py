@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, first_per_key
+from .frames import cut
+
+#: So many edges, counted, are tied together in one task: the end of every contraction.
+FEW_EDGES = 1 << 18
 
 
 def bfs(edges: DataFrame, roots: DataFrame, most_depth: int = 2, seen: DataFrame | None = None) -> DataFrame:
@@ -27,52 +33,86 @@ def bfs(edges: DataFrame, roots: DataFrame, most_depth: int = 2, seen: DataFrame
     return found
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def forests(edges: DataFrame) -> DataFrame:
+    """Of each partition of edges (a, b) its trees, as rows (a, b): a node and the smallest of its tree. A task holds its own nodes."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+        kinds = None
+        for batch in batches:
+            kinds = batch.schema
+            for a, b in zip(*[batch.column(c).to_pylist() for c in ("a", "b")], strict=True):
+                while (x := up.setdefault(a, a)) != a:
+                    up[a] = a = up[x]  # halves the path on the way
+                while (x := up.setdefault(b, b)) != b:
+                    up[b] = b = up[x]
+                if a < b:
+                    up[b] = a
+                elif b < a:
+                    up[a] = b
+        nodes, roots = [], []
+        for node in list(up):
+            root = node
+            while up[root] != root:
+                root = up[root]
+            up[node] = root
+            if root != node:
+                nodes.append(node)
+                roots.append(root)
+        for at in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + (1 << 16)], kinds.field("a").type), pa.array(roots[at : at + (1 << 16)], kinds.field("b").type)], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(joined, edges.select("a", "b").schema)
+
+
+def components(edges: DataFrame, few_edges: int = FEW_EDGES) -> DataFrame:
     """(node, component) for the nodes of undirected edges (src, dst); a component is its smallest node.
 
-    Large-star and small-star rounds: every node is tied to the smallest it knows until nothing changes,
-    in a number of rounds that grows with the logarithm of the graph.
+    Every partition is reduced to its forest before anything is shuffled. Then, in rounds, each node is contracted into the one of its neighbours and
+    itself that comes first by a hash that changes with the round, which takes away a share of the nodes whatever the graph's shape; edges
+    between what is left are made forests again. When few_edges are left, counted, one task ties them together. The rounds are
+    gone back through then, each telling what its nodes were contracted into.
     """
     own = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     loops = own.select("a").union(own.select("b")).distinct()
-    now = cut(own.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    was = None
-    for _ in range(most_rounds):
-        both = now.union(now.select("b", "a").toDF("a", "b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, both["a"] == low["u"]).where("b > u and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(low, large["a"] == low["u"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.union(low.toDF("a", "b")).distinct())
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(row) == was:
-            break
-        was = tuple(row)
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return loops.join(now, "a", "left").select(F.col("a").alias("node"), F.coalesce("b", "a").alias("component"))
-
-
-def ancestors(edges: DataFrame, most_depth: int = 100) -> DataFrame:
+    now, rounds = cut(forests(own.where("a <> b"))), []
+    while (left := now.count()) > few_edges:
+        both = now.union(now.select("b", "a"))
+        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(rounds))).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        first = both.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least("m", order("a"))["v"].alias("to"))
+        rounds.append(cut(first))
+        into = lambda c: rounds[-1].select(F.col("a").alias(f"__{c}"), F.col("to").alias(c))  # noqa: B023, E731
+        ends = now.toDF("x", "y").join(into("a"), F.col("x") == F.col("__a")).join(into("b"), F.col("y") == F.col("__b")).where("a <> b").select("a", "b")
+        now = cut(forests(ends.distinct()))
+    tied = cut(forests(now.coalesce(1))) if left else now
+    for told in reversed(rounds):
+        named = tied.toDF("__node", "__root")
+        tied = cut(told.join(named, told["to"] == named["__node"], "left").select("a", F.coalesce("__root", "to").alias("b")))
+    if rounds:  # named by what was left, not by the smallest
+        least = tied.groupBy("b").agg(F.min("a").alias("__least")).select(F.col("b").alias("__b"), F.least("b", "__least").alias("__least"))
+        tied = tied.join(least, tied["b"] == least["__b"]).select("a", F.col("__least").alias("b"))
+    return loops.join(tied, "a", "left").select(F.col("a").alias("node"), F.coalesce("b", "a").alias("component"))
+
+
+def ancestors(edges: DataFrame, most_depth: int | None = None) -> DataFrame:
     """(node, ancestor, distance): the transitive closure of (parent, child), with the shortest distance; cycles end.
 
-    Raises if there are ancestors beyond most_depth.
+    Paths are doubled: what lies beyond twice 2**k steps is what lies beyond the nodes at 2**k, so rounds grow with the logarithm of the depth.
+    With most_depth, raises if there are ancestors beyond.
     """
-    base = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("node <> ancestor").distinct()
-    frontier = cut(base.withColumn("distance", F.lit(1)))
-    found = frontier
-    for distance in range(2, most_depth + 1):
-        up = base.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
-        step = frontier.join(up, "ancestor").select("node", F.col("next").alias("ancestor")).where("node <> ancestor").distinct()
-        frontier = cut(step.join(found, ["node", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)))
-        if frontier.isEmpty():
-            break
-        found = cut(found.unionByName(frontier))
-    else:
-        step = frontier.join(base.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("node", F.col("next").alias("ancestor")).where("node <> ancestor")
-        if not step.join(found, ["node", "ancestor"], "left_anti").isEmpty():
-            raise RuntimeError(f"there are ancestors more than {most_depth} levels up")
-    return found
+    found = cut(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("node <> ancestor").distinct().withColumn("distance", F.lit(1)))
+    reach = 1
+    while True:
+        ends = found.where(F.col("distance") == reach).select("node", F.col("ancestor").alias("__mid"))
+        beyond = found.select(F.col("node").alias("__mid"), "ancestor", (F.col("distance") + reach).alias("distance"))
+        step = ends.join(beyond, "__mid").where("node <> ancestor").groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+        fresh = cut(step.join(found, ["node", "ancestor"], "left_anti").select("node", "ancestor", "distance"))
+        if fresh.isEmpty():
+            if most_depth is not None and not found.where(F.col("distance") > most_depth).isEmpty():
+                raise RuntimeError(f"there are ancestors more than {most_depth} levels up")
+            return found
+        found = cut(found.unionByName(fresh))
+        reach *= 2
 
 
 def with_missing_ancestors(pairs: DataFrame, edges: DataFrame, key: str = "sitedomain") -> DataFrame:
@@ -84,26 +124,16 @@ def with_missing_ancestors(pairs: DataFrame, edges: DataFrame, key: str = "sited
     return pairs.select(key, "hypernym", "hyponym").union(own.select(key, "hypernym", F.col("node").alias("hyponym"))).distinct()
 
 
-def tree(edges: DataFrame, root: str = "Homepage", most_depth: int = 100) -> DataFrame:
-    """(node, parent, depth) of the tree below root: each node once, under its smallest parent of least depth.
-
-    Raises if there are nodes beyond most_depth.
-    """
-    spark = edges.sparkSession
-    found = spark.createDataFrame([(root, None, 0)], "node string, parent string, depth int")
-    frontier = found
-    for depth in range(1, most_depth + 1):
-        step = edges.join(frontier.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"), "parent")
-        fresh = first_per_key(step.join(found, "node", "left_anti"), ["node"], ["parent"]).withColumn("depth", F.lit(depth))
-        frontier = cut(fresh)
-        if frontier.isEmpty():
-            break
-        found = cut(found.unionByName(frontier))
-    else:
-        step = edges.join(frontier.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"))
-        if not step.join(found, "node", "left_anti").isEmpty():
-            raise RuntimeError(f"there are nodes more than {most_depth} levels down")
-    return found
+def tree(edges: DataFrame, root: str = "Homepage", most_depth: int | None = None) -> DataFrame:
+    """(node, parent, depth) of the tree below root: each node once, under its smallest parent of least depth. With most_depth, raises if there are nodes beyond."""
+    below = ancestors(edges).where(F.col("ancestor") == root).select("node", F.col("distance").alias("depth"))
+    if most_depth is not None and not below.where(F.col("depth") > most_depth).isEmpty():
+        raise RuntimeError(f"there are nodes more than {most_depth} levels down")
+    placed = cut(edges.sparkSession.createDataFrame([(root, 0)], "node string, depth int").unionByName(below.select("node", F.col("depth").cast("int").alias("depth"))))
+    above = placed.select(F.col("node").alias("parent"), (F.col("depth") + 1).alias("depth"))
+    parents = edges.select("parent", F.col("child").alias("node")).join(above, "parent").join(placed, ["node", "depth"])
+    least = parents.groupBy("node", "depth").agg(F.min("parent").alias("parent"))
+    return placed.join(least, ["node", "depth"], "left").select("node", "parent", "depth")
 
 
 def roots(edges: DataFrame) -> DataFrame:

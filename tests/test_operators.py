@@ -182,12 +182,11 @@ def test_prefix_pairs_equal_all_pairs(spark):
     assert {tuple(r) for r in frames.prefix_pairs(df, "g", "v").collect()} == want
 
 
-def test_contains_any_semi_beyond_the_bound(spark, monkeypatch):
+def test_contains_any_semi_beyond_the_bound(spark):
     texts = ["http://A.org/", "b", "", None, "x" * 1200 + "needle" + "y" * 700, "x" * 509 + "needle", "x" * 511 + "needl", "b"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, u string")
     for found in (["a.org", "needle", "zz", "needle", None], ["", "q"], ["A.org", "q"], ["y" * 701, "/"]):
         parts = spark.createDataFrame([(p,) for p in found], "d string")
         want = [i for i, t in enumerate(texts) if t is not None and any(p is not None and p in t.lower() for p in found)]
         for most in (100, 1):
-            monkeypatch.setattr(frames, "BROADCAST_ROWS", most)
-            assert sorted(r["i"] for r in frames.contains_any_semi(df, "u", parts, "d").collect()) == want
+            assert sorted(r["i"] for r in frames.contains_any_semi(df, "u", parts, "d", automaton_chars=most).collect()) == want
