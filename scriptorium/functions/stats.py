@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from math import erf, sqrt
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+
+from .distributions import two_sided_p
+
+__all__ = ["log_log_interval", "two_sided_p", "wilson"]
 
 Z95 = 1.959963984540054
 
@@ -28,9 +27,3 @@ def log_log_interval(s: Column, greenwood: Column, z: float = 1.96, least: float
     spread = z * F.sqrt(greenwood) / F.abs(F.log(inside))
     center = F.log(-F.log(inside))
     return F.exp(-F.exp(center + spread)), F.exp(-F.exp(center - spread))
-
-
-@pandas_udf(DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """P(|Z| >= |z|) of a standard normal Z."""
-    return z.map(lambda x: None if pd.isna(x) else 2 * (1 - 0.5 * (1 + erf(abs(x) / sqrt(2)))))

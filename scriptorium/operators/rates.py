@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distributions import t_two_sided_p
 from ..functions.stats import wilson
 
 
@@ -35,6 +36,9 @@ def engineering_flag(c):
 
 
 def regression(df: DataFrame, y: str, x: str) -> DataFrame:
-    """(n, r, slope, intercept, r2) of y on x over rows with both."""
+    """(n, r, slope, intercept, r2, p) of y on x over rows with both; p is that of a slope of 0, two-sided, by Student's t with n - 2 degrees of freedom."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return both.agg(F.count("*").alias("n"), F.corr(y, x).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+    told = both.agg(F.count("*").alias("n"), F.corr(y, x).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
+    exact = F.when((F.col("n") > 2) & (F.abs("r") >= 1), 0.0)
+    return told.withColumn("p", F.coalesce(exact, t_two_sided_p(t, F.col("n") - 2)))

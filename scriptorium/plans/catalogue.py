@@ -184,6 +184,21 @@ def url_depth_ols(spark: SparkSession, d: str) -> DataFrame:
     return rates.regression(pages, "y", "x").select("n", *[F.round(c, 6).alias(c) for c in ("r", "slope", "intercept", "r2")])
 
 
+#: P(|T| >= |t|) with f degrees of freedom by the finite sums over powers of the cosine, which Student's T has for whole f.
+T_TAIL = """case when f % 2 = 0 then 1 - sin(h) * list_sum(list_transform(range(0, f // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * power(cos(h), 2 * k)))
+  else 1 - 2 / pi() * (h + sin(h) * coalesce(list_sum(list_transform(range(0, (f - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * power(cos(h), 2 * k + 1))), 0)) end"""
+
+
+@query(f"""
+with g as (select {HOST} as domain, log10(count(*)) as x, avg(length(html)) / 1000.0 as y from pages group by 1), r as (select count(*) - 2 as f, corr(y, x) as r from g),
+  a as (select f, r, atan(abs(r) * sqrt(f / (1 - r * r)) / sqrt(f)) as h from r)
+select f + 2 as n, round(r, 9) as r, round({T_TAIL}, 9) as p from a""")
+def url_depth_p(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the number of a host's pages goes with their length."""
+    pages = table(spark, d, "pages").groupBy(urls.domain(F.col("url")).alias("domain")).agg(F.log10(F.count("*")).alias("x"), (F.avg(F.length("html")) / 1000).alias("y"))
+    return rates.regression(pages, "y", "x").select("n", F.round("r", 9).alias("r"), F.round("p", 9).alias("p"))
+
+
 LINKS = f"""(select distinct {HOST} as host, page_id, unnest(regexp_extract_all(html, 'href="(.*?)"', 1)) as href from pages)"""
 
 
@@ -383,6 +398,12 @@ def logrank_oe_v(spark: SparkSession, d: str) -> DataFrame:
     return survival.logrank(sample(spark, d), "grp", "BUILDING", "MACHINERY").select(*[F.round(c, 6).alias(c) for c in ("o_minus_e", "v", "z")])
 
 
+def normal_tail(z: str) -> str:
+    """P(|Z| >= |z|) by the series of the error function."""
+    x = f"(greatest(abs({z}), 1e-300) / sqrt(2))"
+    return f"1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln({x}) + 2 * k * ln(2) + lgamma(k + 1.0) - lgamma(2 * k + 2.0))))"
+
+
 QUINTILE = " + ".join(["1", *[f"case when start_year > (select quantile_cont(start_year, {q}) from s where grp in ('BUILDING', 'MACHINERY')) and (select quantile_cont(start_year, {q}) from s where grp in ('BUILDING', 'MACHINERY')) > (select quantile_cont(start_year, {p}) from s where grp in ('BUILDING', 'MACHINERY')) then 1 else 0 end" for p, q in ((0, 0.2), (0.2, 0.4), (0.4, 0.6), (0.6, 0.8))]])
 
 
@@ -414,6 +435,18 @@ def two_group_figures(spark: SparkSession, d: str) -> DataFrame:
     return told.select(*[F.col(c) if c in whole else F.round(c, 6).alias(c) for c in told.columns])
 
 
+@query(f"""
+with a as ({logrank_sql("1")}), b as ({logrank_sql(QUINTILE)}), z as (select a.z as logrank_z, b.z as stratified_z from a, b)
+select logrank_z, round({normal_tail("logrank_z")}, 6) as logrank_p, stratified_z, round({normal_tail("stratified_z")}, 6) as stratified_p from z""")
+def two_group_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Both log-rank tests of two groups with their p values."""
+    two = sample(spark, d).where(F.col("grp").isin("BUILDING", "MACHINERY"))
+    test = lambda df, strata: survival.with_p(survival.logrank(df, "grp", "BUILDING", "MACHINERY", strata).withColumn("z", F.round("z", 6)))
+    plain = test(two, None).select(F.col("z").alias("logrank_z"), F.round("p", 6).alias("logrank_p"))
+    layered = test(survival.strata(two, "start_year"), "stratum").select(F.col("z").alias("stratified_z"), F.round("p", 6).alias("stratified_p"))
+    return plain.crossJoin(layered)  # one row each
+
+
 @query()
 def two_group_summary(spark: SparkSession, d: str) -> DataFrame:
     return survival.two_group_summary(sample(spark, d), "segment", "grp", "BUILDING", "MACHINERY", tau=60)
@@ -607,7 +640,7 @@ with b as (select item_id, list_distinct(string_split(trim(regexp_replace(lower(
   s as (select item_id, doc_id, count(*) * 4 as score from x join y using (w) where w <> '' group by 1, 2)
 select item_id, doc_id, score from s where score >= 80 qualify row_number() over (partition by item_id order by score desc, doc_id) = 1""")
 def entity_score_top1(spark: SparkSession, d: str) -> DataFrame:
-    tokens = lambda c: F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " "), lambda w: w != ""))
+    tokens = lambda c: F.array_distinct(F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), ""))
     asked = table(spark, d, "benchmark").select("item_id", tokens(F.col("text")).alias("words"))
     held = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("words"))
     shared = sets.share_words(asked, "item_id", held, "doc_id", "words", resolve.LEAST // resolve.PER_TOKEN)
