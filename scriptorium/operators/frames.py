@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, null_if_missing_like
 from .automaton import contains_any_semi
+from .scans import FEW_ROWS, numbered_by, quantiles, scan
 from .scratch import staged
 
 __all__ = ["contains_any_semi"]
@@ -183,22 +184,25 @@ def unit_histogram(df: DataFrame, column: str) -> DataFrame:
 
 def five_numbers(df: DataFrame, group: str, column: str) -> DataFrame:
     """Minimum, quartiles and maximum of each group, by linear interpolation."""
-    q = F.percentile(column, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return df.groupBy(group).agg(q.alias("__q")).select(group, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
+    told = quantiles(df, [group], column, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return told.select(group, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
 
 
-def runs(df: DataFrame, order: str, column: str) -> DataFrame:
-    """Runs of equal values along the order: value, first and last position. For orders of display size."""
-    w = Window.orderBy(order)
-    starts = F.coalesce((F.col(column) != F.lag(column).over(w)).cast("int"), F.lit(1))
-    numbered = df.select(order, column, starts.alias("__s")).withColumn("run", F.sum("__s").over(w))
+def runs(df: DataFrame, order: str, column: str, few: int = FEW_ROWS) -> DataFrame:
+    """Runs of equal values along the order: value, first and last position. A null is a run of its own."""
+    # A row's predecessor: the last row of all before it, so a range's first row looks into the range before.
+    placed = numbered_by(df.select(order, column), order, name="__n")
+    before = placed.select((F.col("__n") + 1).alias("__n"), F.col(column).alias("__was"))
+    starts = placed.join(before, "__n", "left").withColumn("__s", F.coalesce((F.col(column) != F.col("__was")).cast("int"), F.lit(1)))
+    numbered = scan(starts.select(order, column, "__n", "__s"), [], ["__n"], sums={"run": F.col("__s")}, few=few)
     return numbered.groupBy("run", column).agg(F.min(order).alias("first"), F.max(order).alias("last"))
 
 
 def relabelled(df: DataFrame, order: str, column: str) -> DataFrame:
-    """Labels 1, 2, ... in the order of their first appearance."""
-    first = df.groupBy(column).agg(F.min(order).alias("__at"))
-    numbered = first.withColumn("label", F.dense_rank().over(Window.orderBy("__at"))).drop("__at")
+    """Labels 1, 2, ... in the order of their first appearance; values that appear at one place share one."""
+    first = df.groupBy(column).agg(F.min(order).alias("__at_first"))
+    places = numbered_by(first.select("__at_first").distinct(), "__at_first", name="__n")
+    numbered = first.join(places, first["__at_first"].eqNullSafe(places["__at_first"])).select(column, (F.col("__n") + 1).cast("int").alias("label"))
     return df.join(numbered, column)
 
 

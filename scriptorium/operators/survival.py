@@ -1,7 +1,7 @@
 """Survival statistics: everything is aggregated by group and time first, and then accumulated over times.
 
-A sample has an integer duration and event (1, or 0 for censored). The windows over times hold a row for
-each distinct duration of a group, whatever the number of subjects.
+A sample has a duration and event (1, or 0 for censored). What runs along the times holds a row for each distinct duration of a group, whatever
+the number of subjects; where these are many, as continuous ones are, it runs over ranges of them.
 """
 
 from __future__ import annotations
@@ -12,31 +12,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import log_log_interval, two_sided_p
+from .scans import FEW_ROWS, quantiles, scan
 
 
-def risk_table(sample: DataFrame, by: list[str], duration: str = "duration", event: str = "event") -> DataFrame:
+def risk_table(sample: DataFrame, by: list[str], duration: str = "duration", event: str = "event", few: int = FEW_ROWS) -> DataFrame:
     """(by, t, d, c, n): events, censored and at risk at each distinct duration."""
     counted = sample.groupBy(*by, F.col(duration).alias("t")).agg(F.sum(F.col(event).cast("long")).alias("d"), F.count("*").alias("all"))
-    later = Window.partitionBy(*by).orderBy(F.desc("t"))
-    return counted.select(*by, "t", "d", (F.col("all") - F.col("d")).alias("c"), F.sum("all").over(later).alias("n"))
+    told = scan(counted, by, [F.desc("t")], sums={"n": F.col("all")}, few=few)
+    return told.select(*by, "t", "d", (F.col("all") - F.col("d")).alias("c"), "n")
 
 
-def km(sample: DataFrame, by: list[str], duration: str = "duration", event: str = "event") -> DataFrame:
+def km(sample: DataFrame, by: list[str], duration: str = "duration", event: str = "event", few: int = FEW_ROWS) -> DataFrame:
     """(by, t, n, d, s, greenwood, low, high) at each time with an event."""
-    steps = risk_table(sample, by, duration, event).where("d > 0")
-    sofar = Window.partitionBy(*by).orderBy("t")
+    steps = risk_table(sample, by, duration, event, few).where("d > 0")
     n, d = F.col("n").cast("double"), F.col("d").cast("double")
-    curve = steps.withColumn("s", F.product(1 - d / n).over(sofar)).withColumn("greenwood", F.sum(F.when(n > d, d / (n * (n - d))).otherwise(0.0)).over(sofar))
+    curve = scan(steps, by, ["t"], products={"s": 1 - d / n}, sums={"greenwood": F.when(n > d, d / (n * (n - d))).otherwise(0.0)}, few=few)
     low, high = log_log_interval(F.col("s"), F.col("greenwood"))
     return curve.select(*by, "t", "n", "d", "s", "greenwood", low.alias("low"), high.alias("high"))
 
 
-def censor_marks(sample: DataFrame, curve: DataFrame, by: list[str], duration: str = "duration", event: str = "event") -> DataFrame:
+def censor_marks(sample: DataFrame, curve: DataFrame, by: list[str], duration: str = "duration", event: str = "event", few: int = FEW_ROWS) -> DataFrame:
     """(by, t, s): the curve's height at each time at which somebody is censored."""
-    marks = risk_table(sample, by, duration, event).where("c > 0").select(*by, "t", F.lit(None).cast("double").alias("s"), F.lit(1).alias("mark"))
+    marks = risk_table(sample, by, duration, event, few).where("c > 0").select(*by, "t", F.lit(None).cast("double").alias("s"), F.lit(1).alias("mark"))
     both = marks.unionByName(curve.select(*by, "t", "s", F.lit(0).alias("mark")))
-    height = F.last("s", ignorenulls=True).over(Window.partitionBy(*by).orderBy("t", "mark"))
-    return both.withColumn("s", F.coalesce(height, F.lit(1.0))).where("mark = 1").drop("mark")
+    told = scan(both, by, ["t", "mark"], lasts={"s": F.col("s")}, few=few)
+    return told.where("mark = 1").withColumn("s", F.coalesce("s", F.lit(1.0))).drop("mark")
 
 
 def survival_at(curve: DataFrame, by: list[str], times: list[int]) -> DataFrame:
@@ -86,8 +86,8 @@ def with_p(test: DataFrame) -> DataFrame:
 
 def strata(df: DataFrame, column: str, q: int = 5) -> DataFrame:
     """df with `stratum`, 1.. : quantile bins, closed on the right, the lowest value included; equal edges are one."""
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(i / q) for i in range(q + 1)])).alias("e")).first()["e"]
-    inner = sorted(set(edges or []))[1:-1]
+    edges = quantiles(df, [], column, [i / q for i in range(q + 1)]).first()["q"]
+    inner = sorted({e for e in edges if e is not None})[1:-1]
     number = sum([(F.col(column) > e).cast("int") for e in inner], F.lit(1))
     return df.withColumn("stratum", F.when(F.col(column).isNotNull(), number))
 
