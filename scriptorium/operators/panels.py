@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.multivalue import bodies, former_and_later, joined_set, related_titles, titles_in
 from ..functions.text import clean_text, link_title, plain_title
 from ..functions.years import HORIZON, published_span, stated_years
+from .frames import first_per_key
 from .graph import components
 
 
@@ -71,7 +72,7 @@ def title_links_checked(journals: DataFrame, key: str, title: str, related: str,
 
 def families(journals: DataFrame, links: DataFrame, key: str, title: str) -> DataFrame:
     """(component, size, ids, titles) of journals tied together."""
-    nodes = journals.select(F.col(key).alias("node"), F.col(title).alias("title")).dropDuplicates(["node"])
+    nodes = first_per_key(journals.select(F.col(key).alias("node"), F.col(title).alias("title")), ["node"], ["title"])
     tied = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     return tied.groupBy("component").agg(F.count("*").alias("size"), joined_set(F.col("node")).alias("ids"), joined_set(F.col("title")).alias("titles"))
 
@@ -81,7 +82,7 @@ def lineages(journals: DataFrame, key: str, title: str, related: str, published:
 
     A lineage is open if a member is, or if no member has an end; it then ends at the horizon.
     """
-    unique = journals.dropDuplicates([key])
+    unique = first_per_key(journals, [key], [F.col(c).cast("string") for c in journals.columns if c != key])
     parsed = unique.withColumn("__y", stated_years(F.col(published)))
     tied = parsed.select(F.col(key).alias("node"), "__y").join(components(title_links(unique, key, title, related)), "node", "left")
     folded = tied.groupBy(F.coalesce("component", "node").alias("lineage")).agg(
