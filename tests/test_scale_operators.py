@@ -151,3 +151,14 @@ def test_scopes_own_their_tables(spark):
         with pytest.raises(Exception, match="(?i)not.*exist"):
             table.count()
     outer.release()
+
+
+def test_pairs_of_many_tiles_are_not_shuffled(spark):
+    """Dense items are multiplied, rare ones added by place; a pair of tiles is added up whole, so pairs meet no exchange of their own."""
+    rng = random.Random(5)
+    held = {i: {k for k in range(130) if rng.random() < (0.9 if k < 120 else 0.03)} | {"all"} for i in range(800)}
+    df = spark.createDataFrame([(i, f"i{k}") for i, own in held.items() for k in own], "site long, item string")
+    pairs = sets.overlaps(df, "site", ["item"], tile=70)  # 78 pairs of tiles
+    assert "hashpartitioning(x" not in pairs._jdf.queryExecution().executedPlan().toString()
+    found = {(r["a"], r["b"]): r["both"] for r in pairs.collect()}
+    assert found == {(a, b): len(held[a] & held[b]) for a, b in combinations(range(800), 2)}
