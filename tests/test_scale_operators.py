@@ -162,3 +162,32 @@ def test_pairs_of_many_tiles_are_not_shuffled(spark):
     assert "hashpartitioning(x" not in pairs._jdf.queryExecution().executedPlan().toString()
     found = {(r["a"], r["b"]): r["both"] for r in pairs.collect()}
     assert found == {(a, b): len(held[a] & held[b]) for a, b in combinations(range(800), 2)}
+
+
+def test_trees_of_a_large_partition_come_in_parts(spark):
+    """A task that may hold few nodes passes trees on in parts; components are the same."""
+    rng = random.Random(9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(300)], "a long, b long").coalesce(1)
+        parts, whole = graph.forests(edges, 16).collect(), graph.forests(edges, None).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(parts) > len(whole)
+    ends = [{tuple(r) for r in graph.components(spark.createDataFrame(rows, "src long, dst long")).collect()} for rows in (parts, whole)]
+    assert ends[0] == ends[1]
+
+
+def test_marc_values_are_made_once(spark, tmp_path):
+    """No filter on the size of the map is inferred, which would make it again; repeated keys are joined in order."""
+    from scriptorium.plans import catalogue
+    from scriptorium.sources.readers import marc_values
+
+    spark.createDataFrame([(1, 2, 3, 1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    told = catalogue.marc_flattened(spark, str(tmp_path))
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("map_from_arrays") == 1
+    assert sorted(map(tuple, told.collect())) == [(11, "001", "c2"), (11, "016_a", "z3 | y"), (11, "245_a", "Title 2")]
+    schema = "record long, controlfields array<struct<_tag:string,_VALUE:string>>, datafields array<struct<_tag:string,`marc:subfield`:array<struct<_code:string,_VALUE:string>>>>"
+    rows = [(1, [("001", "a"), ("001", "b"), ("002", None)], [("016", [("a", "x"), ("a", "")]), ("016", None)]), (2, None, None)]
+    values = {r["record"]: r["values"] for r in marc_values(spark.createDataFrame(rows, schema)).collect()}
+    assert values == {1: {"001": "a | b", "016_a": "x"}, 2: {}}
