@@ -12,6 +12,8 @@ from .frames import cut
 
 #: So many edges, counted, are tied together in one task: the end of every contraction.
 FEW_EDGES = 1 << 18
+#: A task that makes trees holds so many nodes, then passes them on and begins anew.
+MOST_NODES = 1 << 19
 
 
 def bfs(edges: DataFrame, roots: DataFrame, most_depth: int = 2, seen: DataFrame | None = None) -> DataFrame:
@@ -33,12 +35,36 @@ def bfs(edges: DataFrame, roots: DataFrame, most_depth: int = 2, seen: DataFrame
     return found
 
 
-def forests(edges: DataFrame) -> DataFrame:
-    """Of each partition of edges (a, b) its trees, as rows (a, b): a node and the smallest of its tree. A task holds its own nodes."""
+def forests(edges: DataFrame, most_nodes: int | None = MOST_NODES) -> DataFrame:
+    """Of each partition of edges (a, b) its trees, as rows (a, b): a node and the smallest of its tree.
+
+    A task holds at most most_nodes nodes and those of one batch: then it passes on what it has and begins anew, so that trees of a large
+    partition come in parts, which hold together by their nodes. With None a partition is tied together whole.
+    """
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up: dict = {}
         kinds = None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            nodes, roots = [], []
+            for node in up:
+                root = node
+                while up[root] != root:
+                    root = up[root]
+                up[node] = root
+                if root != node:
+                    nodes.append(node)
+                    roots.append(root)
+                if len(nodes) == 1 << 16:
+                    yield batch_of(nodes, roots)
+                    nodes, roots = [], []
+            if nodes:
+                yield batch_of(nodes, roots)
+
+        def batch_of(nodes: list, roots: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(nodes, kinds.field("a").type), pa.array(roots, kinds.field("b").type)], names=["a", "b"])
+
         for batch in batches:
             kinds = batch.schema
             for a, b in zip(*[batch.column(c).to_pylist() for c in ("a", "b")], strict=True):
@@ -50,17 +76,11 @@ def forests(edges: DataFrame) -> DataFrame:
                     up[b] = a
                 elif b < a:
                     up[a] = b
-        nodes, roots = [], []
-        for node in list(up):
-            root = node
-            while up[root] != root:
-                root = up[root]
-            up[node] = root
-            if root != node:
-                nodes.append(node)
-                roots.append(root)
-        for at in range(0, len(nodes), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + (1 << 16)], kinds.field("a").type), pa.array(roots[at : at + (1 << 16)], kinds.field("b").type)], names=["a", "b"])
+            if most_nodes is not None and len(up) >= most_nodes:
+                yield from told()
+                up.clear()
+        if up:
+            yield from told()
 
     return edges.select("a", "b").mapInArrow(joined, edges.select("a", "b").schema)
 
@@ -84,7 +104,7 @@ def components(edges: DataFrame, few_edges: int = FEW_EDGES) -> DataFrame:
         into = lambda c: rounds[-1].select(F.col("a").alias(f"__{c}"), F.col("to").alias(c))  # noqa: B023, E731
         ends = now.toDF("x", "y").join(into("a"), F.col("x") == F.col("__a")).join(into("b"), F.col("y") == F.col("__b")).where("a <> b").select("a", "b")
         now = cut(forests(ends.distinct()))
-    tied = cut(forests(now.coalesce(1))) if left else now
+    tied = cut(forests(now.coalesce(1), None)) if left else now  # few edges, counted
     for told in reversed(rounds):
         named = tied.toDF("__node", "__root")
         tied = cut(told.join(named, told["to"] == named["__node"], "left").select("a", F.coalesce("__root", "to").alias("b")))
