@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.multivalue import bodies, former_and_later, joined_set, related_titles, titles_in
 from ..functions.text import clean_text, link_title, plain_title
 from ..functions.years import HORIZON, published_span, stated_years
-from .frames import first_per_key
+from .frames import cut, first_per_key
 from .graph import components
 
 
@@ -53,27 +53,41 @@ def title_links(journals: DataFrame, key: str, title: str, related: str) -> Data
     """(src, dst): journals tied to every journal whose title is among their related ones."""
     named = journals.select(F.col(key).alias("dst"), plain_title(F.col(title)).alias("t")).where("t <> ''")
     asked = journals.select(F.col(key).alias("src"), F.explode(related_titles(F.col(related))).alias("t"))
-    return asked.join(named, "t").where("src <> dst").select("src", "dst").distinct()
+    return asked.join(named.hint("merge"), "t").where("src <> dst").select("src", "dst").distinct()
 
 
 def title_links_checked(journals: DataFrame, key: str, title: str, related: str, body: str) -> DataFrame:
-    """(src, dst): as title_links, but a title that several journals have ties only those that share a body."""
+    """(src, dst): as title_links, but a title that several journals have ties only those that share a body.
+
+    Titles of several journals meet by title and body, so only pairs that are tied are made; each under the first body that it shares, so that
+    none needs to be looked for twice, but those with journals that have several titles.
+    """
     journals = journals.select(F.col(key).alias("id"), link_title(F.col(title)).alias("t"), clean_text(F.col(body)).alias("body"), clean_text(F.col(related)).alias("related"))
-    own = journals.select("id", "t", bodies(F.col("body")).alias("bodies"))
-    named = own.where("t <> ''")
-    named = named.join(named.groupBy("t").agg(F.count("*").alias("many")), "t")
+    journals = cut(journals.select("id", "t", bodies(F.col("body")).alias("bodies"), "related"))
+    # A journal's bodies are those of all its rows: of the ones under a title where it is named, of any where it asks.
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("bodies"))))
+    named = journals.where("t <> ''").groupBy("t", F.col("id").alias("dst")).agg(every.alias("bodies"), F.count("*").alias("n"))
+    many = named.groupBy("t").agg(F.sum("n").alias("many"))
+    titles = named.groupBy("dst").agg((F.count("*") > 1).alias("several"))
+    named = cut(named.join(many, "t").join(titles, "dst"))
     former, later = former_and_later(F.col("related"))
     asked = journals.select(F.col("id").alias("src"), F.explode(F.concat(titles_in(former), titles_in(later))).alias("raw"))
     asked = asked.select("src", link_title(F.col("raw")).alias("t")).where("t <> ''").distinct()
-    asked = asked.join(own.select(F.col("id").alias("src"), F.col("bodies").alias("mine")), "src")
-    pairs = asked.join(named.select(F.col("id").alias("dst"), "t", "bodies", "many"), "t").where("src <> dst")
-    return pairs.where((F.col("many") == 1) | F.arrays_overlap("mine", "bodies")).select("src", "dst").distinct()
+    asked = cut(asked.join(journals.groupBy(F.col("id").alias("src")).agg(every.alias("mine")), "src"))
+    only = asked.join(named.where("many = 1"), "t").where("src <> dst").select("src", "dst", "several")
+    theirs = named.where("many > 1").select("t", "dst", "bodies", "several", F.explode("bodies").alias("body"))
+    shared = asked.select("src", "t", "mine", F.explode("mine").alias("body")).join(theirs, ["t", "body"]).where("src <> dst")
+    first = (F.size("mine") == 1) | (F.size("bodies") == 1) | (F.array_min(F.array_intersect("mine", "bodies")) == F.col("body"))
+    pairs = only.union(shared.where(first).select("src", "dst", "several"))
+    if titles.where("several").isEmpty():
+        return pairs.select("src", "dst")
+    return pairs.where("not several").select("src", "dst").union(pairs.where("several").select("src", "dst").distinct())
 
 
 def families(journals: DataFrame, links: DataFrame, key: str, title: str) -> DataFrame:
     """(component, size, ids, titles) of journals tied together."""
     nodes = first_per_key(journals.select(F.col(key).alias("node"), F.col(title).alias("title")), ["node"], ["title"])
-    tied = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tied = nodes.join(components(links).hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     return tied.groupBy("component").agg(F.count("*").alias("size"), joined_set(F.col("node")).alias("ids"), joined_set(F.col("title")).alias("titles"))
 
 
@@ -84,7 +98,7 @@ def lineages(journals: DataFrame, key: str, title: str, related: str, published:
     """
     unique = first_per_key(journals, [key], [F.col(c).cast("string") for c in journals.columns if c != key])
     parsed = unique.withColumn("__y", stated_years(F.col(published)))
-    tied = parsed.select(F.col(key).alias("node"), "__y").join(components(title_links(unique, key, title, related)), "node", "left")
+    tied = parsed.select(F.col(key).alias("node"), "__y").join(components(title_links(unique, key, title, related)).hint("merge"), "node", "left")
     folded = tied.groupBy(F.coalesce("component", "node").alias("lineage")).agg(
         F.array_sort(F.collect_set("node")).alias("members"), F.count("*").alias("n_titles"), F.min("__y.start").alias("start_year"), F.max("__y.end").alias("last"), F.bool_or("__y.censored").alias("open")
     )

@@ -191,3 +191,35 @@ def test_marc_values_are_made_once(spark, tmp_path):
     rows = [(1, [("001", "a"), ("001", "b"), ("002", None)], [("016", [("a", "x"), ("a", "")]), ("016", None)]), (2, None, None)]
     values = {r["record"]: r["values"] for r in marc_values(spark.createDataFrame(rows, schema)).collect()}
     assert values == {1: {"001": "a | b", "016_a": "x"}, 2: {}}
+
+
+def test_checked_links_meet_by_title_and_body(spark):
+    """Against all pairs: repeated ids, journals with several titles and bodies, titles that one journal has."""
+    from scriptorium.operators import panels
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(25), rng.choice(["A", "B", "C", f"own {i}"]), f"/ {rng.choice('ABC')}; own {rng.randrange(60)}" if i % 2 else None, "; ".join(rng.sample(["x", "y", "z"], rng.randrange(3)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, title string, related string, body string")
+    told = panels.title_links_checked(df, "id", "title", "related", "body")
+    found = [tuple(r) for r in told.collect()]
+    held = [(i, t.lower(), {b for b in body.split("; ") if b}) for i, t, _, body in rows]
+    want = set()
+    for src, _, related, _ in rows:
+        for t in (x.strip().lower() for x in (related or "/ ")[1:].split(";")):
+            named = [x for x in held if x[1] == t]
+            mine = set().union(*[b for i, _, b in held if i == src])
+            want |= {(src, i) for i, _, b in named if i != src and (len(named) == 1 or b & mine)}
+    assert len(found) == len(set(found)) and set(found) == want
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" not in plan  # pairs of a title that share no body are never made
+
+
+def test_components_go_round_the_driver(spark):
+    """Tables of nodes are merged, whatever size their files have."""
+    from scriptorium.operators import panels
+
+    links = spark.range(200).selectExpr("cast(id as string) as src", "cast(id + 1 as string) as dst")
+    journals = spark.range(300).selectExpr("cast(id as string) as id", "'t' as title")
+    told = panels.families(journals, links, "id", "title")
+    told.collect()
+    assert "BroadcastHashJoin" not in told._jdf.queryExecution().executedPlan().toString()
