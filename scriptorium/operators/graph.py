@@ -91,7 +91,8 @@ def components(edges: DataFrame, few_edges: int = FEW_EDGES) -> DataFrame:
     Every partition is reduced to its forest before anything is shuffled. Then, in rounds, each node is contracted into the one of its neighbours and
     itself that comes first by a hash that changes with the round, which takes away a share of the nodes whatever the graph's shape; edges
     between what is left are made forests again. When few_edges are left, counted, one task ties them together. The rounds are
-    gone back through then, each telling what its nodes were contracted into.
+    gone back through then, each telling what its nodes were contracted into. Tables of nodes are written small, so Spark would broadcast them
+    by way of the driver until they are large; they are asked to be merged.
     """
     own = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     loops = own.select("a").union(own.select("b")).distinct()
@@ -102,16 +103,16 @@ def components(edges: DataFrame, few_edges: int = FEW_EDGES) -> DataFrame:
         first = both.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least("m", order("a"))["v"].alias("to"))
         rounds.append(cut(first))
         into = lambda c: rounds[-1].select(F.col("a").alias(f"__{c}"), F.col("to").alias(c))  # noqa: B023, E731
-        ends = now.toDF("x", "y").join(into("a"), F.col("x") == F.col("__a")).join(into("b"), F.col("y") == F.col("__b")).where("a <> b").select("a", "b")
+        ends = now.toDF("x", "y").join(into("a").hint("merge"), F.col("x") == F.col("__a")).join(into("b").hint("merge"), F.col("y") == F.col("__b")).where("a <> b").select("a", "b")
         now = cut(forests(ends.distinct()))
     tied = cut(forests(now.coalesce(1), None)) if left else now  # few edges, counted
     for told in reversed(rounds):
-        named = tied.toDF("__node", "__root")
+        named = tied.toDF("__node", "__root").hint("merge")
         tied = cut(told.join(named, told["to"] == named["__node"], "left").select("a", F.coalesce("__root", "to").alias("b")))
     if rounds:  # named by what was left, not by the smallest
-        least = tied.groupBy("b").agg(F.min("a").alias("__least")).select(F.col("b").alias("__b"), F.least("b", "__least").alias("__least"))
+        least = tied.groupBy("b").agg(F.min("a").alias("__least")).select(F.col("b").alias("__b"), F.least("b", "__least").alias("__least")).hint("merge")
         tied = tied.join(least, tied["b"] == least["__b"]).select("a", F.col("__least").alias("b"))
-    return loops.join(tied, "a", "left").select(F.col("a").alias("node"), F.coalesce("b", "a").alias("component"))
+    return loops.join(tied.hint("merge"), "a", "left").select(F.col("a").alias("node"), F.coalesce("b", "a").alias("component"))
 
 
 def ancestors(edges: DataFrame, most_depth: int | None = None) -> DataFrame:
