@@ -5,9 +5,10 @@ from collections import defaultdict
 from itertools import combinations
 from math import sqrt
 
+import numpy as np
 import pytest
 
-from scriptorium.operators import frames, graph, sets, tiles
+from scriptorium.operators import cluster, frames, graph, sets, tiles
 from scriptorium.operators.scans import numbered_by
 from scriptorium.operators.scratch import Scope, staged
 
@@ -237,3 +238,53 @@ def test_taxonomy_closure_makes_numbers_distinct_first(spark, tmp_path):
     finally:
         frames.cut = cut
     assert ["sitedomain", "l_suppkey"] in written
+
+
+def plain_ward(points):
+    """Merges (squared height, i, j) by looking through all pairs each time; of equal ones the first."""
+    d = ((points[:, None] - points[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    size, alive, merges = np.ones(len(points)), set(range(len(points))), []
+    while len(alive) > 1:
+        height, i, j = min((d[i, j], i, j) for i, j in combinations(sorted(alive), 2))
+        merges.append((height, i, j))
+        alive.remove(j)
+        for x in alive - {i}:
+            d[i, x] = d[x, i] = ((size[i] + size[x]) * d[i, x] + (size[j] + size[x]) * d[j, x] - size[x] * height) / (size[i] + size[j] + size[x])
+        size[i] += size[j]
+    return merges
+
+
+def test_ward_of_points_with_ties():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 40):
+        for points in (rng.normal(size=(n, 3)), rng.integers(0, 3, size=(n, 2)).astype(float)):
+            found, want = cluster.merged(cluster.distances(points), np.ones(n)), plain_ward(points)
+            assert [m[0] for m in found] == pytest.approx([m[0] for m in want], abs=1e-9)
+            if len({tuple(p) for p in points}) == n and points.shape[1] == 3:
+                assert [m[1:] for m in found] == [m[1:] for m in want]
+
+
+@pytest.mark.parametrize("few", [1000, 20, 5, 1])
+def test_ward_of_more_sites_than_one_task_takes(spark, few):
+    rng = random.Random(11)
+    sites = {f"s{i:03}": {rng.randrange(40) for _ in range(rng.randrange(5, 20))} for i in range(90)}
+    for i in range(0, 60, 4):
+        sites[f"s{i:03}"] = sites[f"s{i % 8 + 70:03}"]  # copies
+    own = spark.createDataFrame([(s, x) for s, items in sites.items() for x in items], "site string, i int").repartition(5)
+    same = sets.same_sets(own, "site", ["i"])
+    names = sorted(sites)
+    first = {}
+    assert {r["site"]: r["first"] for r in same.collect()} == {s: first.setdefault(frozenset(sites[s]), s) for s in names}
+    points = np.array([[len(sites[a] & sites[b]) / len(sites[a] | sites[b]) for b in names] for a in names])
+    tree = cluster.in_order(plain_ward(points), len(names))
+    want = [(names[x], int(c)) for x, c in enumerate(cluster.flat(tree, len(names), 6))]
+    at = {names[x]: p for p, x in enumerate(cluster.leaves(tree, len(names)))}
+    firsts = own.join(same.where("site = first").select("site"), "site", "left_semi")
+    for pairs, copies in ((own, None), (firsts, same)):
+        found = cluster.ward_clusters(own, sets.jaccard(sets.overlaps(pairs, "site", ["i"])), "site", "jaccard", 6, same=copies, few=few, tile=16, chunk=7).collect()
+        told = {r["site"]: r["cluster"] for r in found}
+        assert len(found) == len(names) and sorted(r["position"] for r in found) == list(range(len(names)))
+        assert len({(told[s], c) for s, c in want}) == 6  # without `same` rounding decides which of equal sites is left
+        if copies is not None:
+            assert sorted(told.items()) == want and {r["site"]: r["position"] for r in found} == at
