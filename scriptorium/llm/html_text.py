@@ -15,9 +15,9 @@ text outside than in it, unless they call it a comment. Attributes are read one
 that isn't marked otherwise counts as important, so a text that the host's pages share stays, and importance decides
 on elements with layout words. An article that stands in elements with layout words alone is an article, too.
 
-Each page is parsed once, and what was found is written. The tree is made for hosts that have a page on which
-importance decides anything. Counts are aggregated before any shuffle, so that a host of any size is spread; the
-numbers of style nodes are joined, salted, with the nodes of such pages, and never with their html.
+Each page is parsed once, and what was found is written. The tree is made of all pages, and every page's text comes by the importance of
+its nodes; marks and priors are checked on that. Counts are aggregated before any shuffle, so that a host of any size is spread. Up to FEW_NODES
+style nodes, counted, go to every task; more are joined, salted, with the nodes of pages, and never with their html.
 
 Cases: null and empty pages, and pages without such text, give an empty text; null urls share one nameless
 host; repeated rows are extracted each by itself and counted each; broken markup is read as far as it goes, and
@@ -43,6 +43,8 @@ from .common import staged
 LEAST_IMPORTANCE, LEAST_PAGES, DECAY = 0.2, 5, 0.9
 WEAK, UNKNOWN = 0.25, 0.5
 SALT = 16
+#: So many style nodes of all hosts, counted, are sent to every task: 24 bytes and a host's name each.
+FEW_NODES = 1 << 16
 
 #: Names of elements and words of classes, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -155,8 +157,8 @@ class Page:
         within = sum(n for n, a, x in zip(held, around, inside, strict=True) if x and a > 0)
         return found if 2 * within >= sum(n for n, a in zip(held, around, strict=True) if a > 0) else []
 
-    def judged(self) -> tuple[list[float | None], bool]:
-        """For each node its prior with those around it, None where its text is kept whatever its importance; whether importance decides anything."""
+    def judged(self) -> list[float | None]:
+        """For each node its prior with those around it, None where its text is kept whatever its importance."""
         n = len(self.parent)
         priors = [min(own, named) for own, named in zip(self.prior, self.named, strict=True)]
         for i in self.own_words_apart():
@@ -178,10 +180,8 @@ class Page:
                     inside[i] = clean[i] = True
                     around[i] = min(around[up], priors[i])
         if any(clean):
-            out = [(None if a == 1.0 else a) if c else 0.0 for a, c in zip(around, clean, strict=True)]
-        else:
-            out = around
-        return out, any(out[node] for node, _ in self.blocks)
+            return [(None if a == 1.0 else a) if c else 0.0 for a, c in zip(around, clean, strict=True)]
+        return around
 
 
 def parse(html: str | None) -> Page:
@@ -281,21 +281,17 @@ def low_nodes(parent: np.ndarray, prior: np.ndarray, importance: np.ndarray, lea
     return low | gone
 
 
-def decided_text(page: Page, prior: list[float | None]) -> str:
-    """The text of a page on which importance decides nothing."""
-    return "\n".join(text for node, text in page.blocks if prior[node] is None)
+def kept_text(parent: list[int], prior: list[float | None], known: list[tuple | None], nodes: list[int], texts: list[str], least: float = LEAST_IMPORTANCE) -> str:
+    """The blocks of text in nodes that aren't low, given what the host knows of each node."""
+    up = np.array(parent)
+    low = low_nodes(up, np.array([np.nan if p is None else p for p in prior], float), importances(up, known, nodes), least)
+    return "\n".join(text for node, text in zip(nodes, texts, strict=True) if not low[node])
 
 
 def main_text(html: str | None, known: dict[int, tuple[float, float, float | None]] | None = None, least: float = LEAST_IMPORTANCE) -> str:
     """The main text of one page, given what its host knows of paths."""
     page = parse(html)
-    prior, open_ = page.judged()
-    if not open_:
-        return decided_text(page, prior)
-    own = [(known or {}).get(p) for p in page.path]
-    parent = np.array(page.parent)
-    low = low_nodes(parent, np.array([np.nan if p is None else p for p in prior], float), importances(parent, own, [b for b, _ in page.blocks]), least)
-    return "\n".join(text for node, text in page.blocks if not low[node])
+    return kept_text(page.parent, page.judged(), [(known or {}).get(p) for p in page.path], [n for n, _ in page.blocks], [t for _, t in page.blocks], least)
 
 
 def host_of(url: Column) -> Column:
@@ -303,10 +299,9 @@ def host_of(url: Column) -> Column:
 
 
 LONGS, KIND = pa.list_(pa.int64()), T.ArrayType(T.LongType())
-#: What is written of a page besides the columns asked for: its text if that is decided; for the tree the distinct (path, children) and (path, text);
-#: where importance decides, its nodes and blocks.
+#: What is written of a page besides the columns asked for: for the tree the distinct (path, children) and (path, text); its nodes and blocks.
 PARSED = {
-    "text": (pa.string(), T.StringType()), "style_path": (LONGS, KIND), "style": (LONGS, KIND), "text_path": (LONGS, KIND), "text_hash": (LONGS, KIND),
+    "style_path": (LONGS, KIND), "style": (LONGS, KIND), "text_path": (LONGS, KIND), "text_hash": (LONGS, KIND),
     "node_path": (LONGS, KIND), "node_parent": (LONGS, KIND), "node_prior": (pa.list_(pa.float64()), T.ArrayType(T.DoubleType())), "block_node": (LONGS, KIND), "block_text": (pa.list_(pa.string()), T.ArrayType(T.StringType())),
 }
 
@@ -321,13 +316,10 @@ def parsed(pages: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
     def row(html: str | None) -> dict:
         page = parse(html)
-        prior, open_ = page.judged()
         styles = list({(p, number(",".join(k))): 0 for p, k in zip(page.path[1:], page.kids[1:], strict=True)})
         texts = list({(page.path[node], number(text)): 0 for node, text in page.blocks})
         out = {"style_path": [p for p, _ in styles], "style": [h for _, h in styles], "text_path": [p for p, _ in texts], "text_hash": [h for _, h in texts]}
-        if not open_:
-            return out | {"text": decided_text(page, prior)}
-        return out | {"node_path": page.path, "node_parent": page.parent, "node_prior": prior, "block_node": [n for n, _ in page.blocks], "block_text": [t for _, t in page.blocks]}
+        return out | {"node_path": page.path, "node_parent": page.parent, "node_prior": page.judged(), "block_node": [n for n, _ in page.blocks], "block_text": [t for _, t in page.blocks]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,31 +348,44 @@ def style_tree(found: DataFrame, decay: float = DECAY) -> DataFrame:
     return sums.where(F.col("pages") >= LEAST_PAGES).select("host", "path", "pages", presentation.alias("presentation"), "styles", (1 - F.col("log_n") / m).alias("content"))
 
 
-def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), least: float = LEAST_IMPORTANCE) -> DataFrame:
+def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), least: float = LEAST_IMPORTANCE, few: int = FEW_NODES) -> DataFrame:
     """The columns `keep` of pages, and the text of each."""
-    own = staged(parsed(pages, keep), "pages").withColumn("__row", F.monotonically_increasing_id())
-    undecided = staged(own.where("__text is null"), "undecided")
-    hosts = undecided.select("__host").distinct()
-    tree = staged(style_tree(own.where("__style_path is not null").join(hosts, "__host", "left_semi")), "tree")
-    salt = F.pmod(F.xxhash64("__row"), F.lit(SALT))
-    nodes = undecided.select("__row", "__host", salt.alias("__salt"), F.posexplode("__node_path").alias("__at", "__path"))
-    spread = tree.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "presentation", "styles", "content", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<long>")).alias("__salt"))
-    known = nodes.join(spread, ["__host", "__path", "__salt"]).groupBy(F.col("__row").alias("__r")).agg(F.collect_list(F.struct("__at", "presentation", "styles", "content")).alias("__known"))
+    own = staged(parsed(pages, keep), "pages")
+    tree = staged(style_tree(own), "tree")
     names = [f"__keep{i}" for i in range(len(keep))]
-    joined = undecided.join(known, undecided["__row"] == known["__r"], "left").select(*names, "__node_parent", "__node_prior", "__block_node", "__block_text", "__known")
-    schema = T.StructType([undecided.schema[c] for c in names]).add("__text", T.StringType())
+    schema = T.StructType([own.schema[c] for c in names]).add("__text", T.StringType())
+    parts = ["__node_parent", "__node_prior", "__block_node", "__block_text"]
+    sent = None
+    if tree.count() <= few:
+        hosts: dict[str, dict[int, tuple]] = {}
+        for host, path, *told in tree.select("host", "path", "presentation", "styles", "content").collect():
+            hosts.setdefault(host, {})[path] = tuple(told)
+        sent = pages.sparkSession.sparkContext.broadcast(hosts)
+        given, parts = own, [*parts, "__host", "__node_path"]
+    else:
+        rows = own.withColumn("__row", F.monotonically_increasing_id())
+        salt = F.pmod(F.xxhash64("__row"), F.lit(SALT))
+        nodes = rows.select("__row", "__host", salt.alias("__salt"), F.posexplode("__node_path").alias("__at", "__path"))
+        spread = tree.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "presentation", "styles", "content", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<long>")).alias("__salt"))
+        known = nodes.join(spread, ["__host", "__path", "__salt"]).groupBy(F.col("__row").alias("__r")).agg(F.collect_list(F.struct("__at", "presentation", "styles", "content")).alias("__known"))
+        given, parts = rows.join(known, rows["__row"] == known["__r"], "left"), [*parts, "__known"]
+
+    def knows(r: dict) -> list[tuple | None]:
+        if sent is not None:
+            paths = sent.value.get(r["__host"], {})
+            return [paths.get(p) for p in r["__node_path"]]
+        found: list[tuple | None] = [None] * len(r["__node_parent"])
+        for k in r["__known"] or ():
+            found[k["__at"]] = (k["presentation"], k["styles"], k["content"])
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for r in batch.select(["__node_parent", "__node_prior", "__block_node", "__block_text", "__known"]).to_pylist():
-                known: list[tuple | None] = [None] * len(r["__node_parent"])
-                for k in r["__known"] or ():
-                    known[k["__at"]] = (k["presentation"], k["styles"], k["content"])
-                parent = np.array(r["__node_parent"])
-                low = low_nodes(parent, np.array([np.nan if p is None else p for p in r["__node_prior"]], float), importances(parent, known, r["__block_node"]), least)
-                texts.append("\n".join(t for n, t in zip(r["__block_node"], r["__block_text"], strict=True) if not low[n]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, pa.string())], names=schema.names)
-
-    told = own.where("__text is not null").select(*names, "__text").unionByName(joined.mapInArrow(run, schema))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                rows = batch.select(parts).to_pylist()
+                texts = [kept_text(r["__node_parent"], r["__node_prior"], knows(r), r["__block_node"], r["__block_text"], least) for r in rows]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, pa.string())], names=schema.names)
+
+    told = given.select(*names, *parts).mapInArrow(run, schema)
     return told.select(*[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)], F.col("__text").alias("text"))

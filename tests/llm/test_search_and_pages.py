@@ -250,3 +250,17 @@ def test_query_equals_the_article_read_plainly(spark):
 def test_shared_article_text_stays(spark):
     df = spark.createDataFrame([(i, f"http://c.org/{i}", PAGE) for i in range(20)], "page_id long, url string, html string")
     assert {r["text"] for r in H.extract(df).collect()} == {H.main_text(PAGE)}
+
+
+def test_pages_that_mark_their_article_pass_through_the_tree_too(spark, monkeypatch):
+    rows = [(i, f"http://c.org/{i}", PAGE.replace("<article", f"<p>{i}</p><article")) for i in range(20)] + pages(8)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = H.parsed(df, ("page_id",))
+    assert found.where("size(__node_path) > 0 and size(__node_path) = size(__node_prior)").count() == len(rows)
+    made, style_tree = [], H.style_tree
+    monkeypatch.setattr(H, "style_tree", lambda found: made.append(style_tree(found)) or made[-1])
+    texts = [{r["page_id"]: r["text"] for r in H.extract(df, few=few).where("url like '%c.org%'").collect()} for few in (H.FEW_NODES, 0)]
+    assert texts[0] == texts[1] == {i: H.main_text(PAGE) for i in range(20)}
+    assert all({r["host"] for r in tree.select("host").distinct().collect()} == {"c.org", "h.org"} for tree in made)
+    both = [sorted(tuple(r) for r in H.extract(df, few=few).collect()) for few in (H.FEW_NODES, 0)]
+    assert both[0] == both[1]
