@@ -288,3 +288,19 @@ def test_ward_of_more_sites_than_one_task_takes(spark, few):
         assert len({(told[s], c) for s, c in want}) == 6  # without `same` rounding decides which of equal sites is left
         if copies is not None:
             assert sorted(told.items()) == want and {r["site"]: r["position"] for r in found} == at
+
+
+@pytest.mark.parametrize("few", [sets.FEW_WORDS, 0])
+def test_shared_words_without_a_shuffle_of_words(spark, few, monkeypatch):
+    monkeypatch.setattr(sets, "PAIRS_AT_ONCE", 50)
+    rng = random.Random(7)
+    asked = [(f"q{i}", rng.sample([f"w{x}" for x in range(60)], rng.randrange(0, 25))) for i in range(23)] + [("none", None), ("empty", [])]
+    held = [(i, rng.sample([f"w{x}" for x in range(90)], rng.randrange(0, 60))) for i in range(157)] + [(900, None), (901, [])]
+    want = {(q, d, n) for q, a in asked for d, b in held if (n := len(set(a or ()) & set(b or ()))) >= 5}
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind).repartition(3)
+    got = sets.share_words(frame(asked, "q string, words array<string>"), "q", frames.cut(frame(held, "d long, words array<string>")), "d", "words", 5, few=few)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 100
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert few == 0 or not any(x in plan for x in ("Exchange", "Generate", "Join"))
+    nothing = sets.share_words(frame(asked, "q string, words array<string>").limit(0), "q", frame(held, "d long, words array<string>"), "d", "words", 5, few=few)
+    assert nothing.count() == 0
