@@ -290,6 +290,29 @@ def test_ward_of_more_sites_than_one_task_takes(spark, few):
             assert sorted(told.items()) == want and {r["site"]: r["position"] for r in found} == at
 
 
+@pytest.mark.parametrize("few, block, sent", [(20, 16, 1 << 20), (5, 4096, 1 << 20), (1, 7, 1 << 20), (20, 16, 0)])
+def test_ward_from_sets_writes_no_matrix(spark, few, block, sent, monkeypatch):
+    """Of more distinct sites than one task takes, the tree is that of all pairs, without a row for a pair of sites or a table of products."""
+    monkeypatch.setattr(cluster, "SENT", sent)
+    rng = random.Random(13)
+    sites = {f"s{i:03}": {rng.randrange(i // 60 * 30, i // 60 * 30 + 40) for _ in range(rng.randrange(5, 20))} for i in range(120)}  # two halves that share little
+    for i in range(0, 60, 4):
+        sites[f"s{i:03}"] = sites[f"s{i % 8 + 70:03}"]  # copies
+    own = spark.createDataFrame([(s, x) for s, items in sites.items() for x in items], "site string, i int").repartition(5)
+    same = sets.same_sets(own, "site", ["i"])
+    names = sorted(sites)
+    points = np.array([[len(sites[a] & sites[b]) / len(sites[a] | sites[b]) for b in names] for a in names])
+    tree = cluster.in_order(plain_ward(points), len(names))
+    at = {names[x]: p for p, x in enumerate(cluster.leaves(tree, len(names)))}
+    firsts = own.join(same.where("site = first").select("site"), "site", "left_semi")
+    asked = []
+    pairs = lambda: asked.append(1) or sets.jaccard(sets.overlaps(firsts, "site", ["i"]))
+    found = cluster.ward_clusters(own, pairs, "site", "jaccard", 6, same=same, few=few, tile=16, chunk=7, items=firsts, block=block).collect()
+    assert sorted((r["site"], r["cluster"]) for r in found) == [(names[x], int(c)) for x, c in enumerate(cluster.flat(tree, len(names), 6))]
+    assert {r["site"]: r["position"] for r in found} == at
+    assert len(asked) == (sent == 0)
+
+
 @pytest.mark.parametrize("few", [sets.FEW_WORDS, 0])
 def test_shared_words_without_a_shuffle_of_words(spark, few, monkeypatch):
     monkeypatch.setattr(sets, "PAIRS_AT_ONCE", 50)
